@@ -1,0 +1,6 @@
+"""Manifest queries: identity, tree digest and closed-world diff of a reviewed baseline against a current table."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
