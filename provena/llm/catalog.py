@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from provena.llm import quality
+from provena.llm import bpe, decontaminate, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_shards": sharding.op2_shards,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op6_bpe": bpe.op6_bpe,
         "op10_quality": quality.op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontaminate": decontaminate.ORACLE,
         "op10_quality": quality.ORACLE,
     }
