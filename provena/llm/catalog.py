@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontaminate, quality, sharding
+from provena.llm import bpe, decontaminate, html, quality, sharding, tokencount
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op2_shards": sharding.op2_shards,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op6_bpe": bpe.op6_bpe,
+        "op8_tokens": tokencount.op8_tokens,
+        "op9_html": html.op9_html,
         "op10_quality": quality.op10_quality,
     }
 
