@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontaminate, html, quality, sharding, tokencount
+from provena.llm import bpe, decontaminate, html, pii, quality, sharding, tokencount
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op2_shards": sharding.op2_shards,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op6_bpe": bpe.op6_bpe,
