@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontaminate, html, pii, quality, sharding, tokencount
+from provena.llm import bpe, decontaminate, html, jaccard, pii, quality, sharding, tokencount
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_shards": sharding.op2_shards,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op6_bpe": bpe.op6_bpe,
+        "op7_near": jaccard.op7_near,
         "op8_tokens": tokencount.op8_tokens,
         "op9_html": html.op9_html,
         "op10_quality": quality.op10_quality,
