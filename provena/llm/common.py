@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -68,3 +69,9 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else as it is. Pure ASCII takes the fast path, on which lower() is the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def let_go(spark: SparkSession) -> None:
+    """Lets the cleaner remove shuffle files of finished jobs now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
