@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontaminate, html, jaccard, pii, quality, repeats, sharding, tokencount
+from provena.llm import bpe, decontaminate, html, jaccard, pii, pitmanyor, quality, repeats, sharding, tokencount
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_shards": sharding.op2_shards,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_repeats": repeats.op4_repeats,
+        "op5_scores": pitmanyor.op5_scores,
         "op6_bpe": bpe.op6_bpe,
         "op7_near": jaccard.op7_near,
         "op8_tokens": tokencount.op8_tokens,

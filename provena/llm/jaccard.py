@@ -61,8 +61,8 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of concatenated texts (bytes, A-Z in lower case) the hashes of all words, and the number of words of each text."""
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, last: bool = False) -> tuple[np.ndarray, ...]:
+    """Of concatenated texts (bytes, A-Z in lower case) the hashes of all words, the number of words of each text, and the words' last bytes if asked for."""
     word = ~_BLANK[raw]
     start = word.copy()
     start[1:] &= ~word[:-1]
@@ -77,7 +77,8 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
     hashes = _mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
-    return hashes, np.searchsorted(s, offsets[1:]) - np.searchsorted(s, offsets[:-1])
+    n = np.searchsorted(s, offsets[1:]) - np.searchsorted(s, offsets[:-1])
+    return (hashes, n, raw[e - 1]) if last else (hashes, n)
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:
