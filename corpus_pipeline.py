@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm import bpe, decontaminate, jaccard, pii, quality
-from provena.llm.common import importable, small, table, written
+from provena.llm.common import importable, kept_after, small, table, written
 
 #: Keys of dropped documents that are broadcast at most.
 MOST_KEYS = 1_000_000
@@ -31,8 +31,7 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     poor = quality.depleted(docs.select("doc_id", "text", "source"))
-    failed = ~F.col("base_failed")
-    return _without(quality.base_rules(docs).filter(failed).select(docs.columns), poor)
+    return _without(kept_after(quality.base_rules(docs), ~F.col("base_failed")).select(docs.columns), poor)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +55,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = decontaminate.hits(keyed, items, ["_id", "_text"]).select(F.col("_id").alias("i"), F.col("_text").alias("t"), "n_hit")
     n_words = F.regexp_count(decontaminate.ascii_lower(body), F.lit(decontaminate.TOKEN))
     sized = keyed.select("_id", "_text", n_words.alias("n_words")).join(found, F.col("_id").eqNullSafe(F.col("i")) & (F.col("_text") == F.col("t")))
-    return _without(docs, sized.filter(20 * F.col("n_hit") >= F.col("n_words")))
+    return _without(docs, kept_after(sized, 20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

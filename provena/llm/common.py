@@ -75,3 +75,11 @@ def let_go(spark: SparkSession) -> None:
     """Lets the cleaner remove shuffle files of finished jobs now, not when the driver next happens to collect garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def kept_after(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows that meet a condition on computed columns, filtered where these are computed.
+
+    A plain filter is pushed below the steps that make such a column and takes their expressions along; inside a lambda
+    these would be computed anew for each element. The row number, which differs from run to run, holds it back."""
+    return df.withColumn("_number", F.monotonically_increasing_id()).filter(condition & (F.col("_number") >= 0)).drop("_number")
