@@ -1,0 +1,75 @@
+"""The given tables in the shapes of the data model: manifests, event logs, attempts, task lists, ledger records."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from provena.functions import identity as I
+from provena.operators import manifest
+
+
+def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return manifest.from_contents(docs, F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")), F.col("text"))
+
+
+def recorded_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewed baseline: what each order's record says its state is."""
+    rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus")
+    return manifest.from_contents(rows, F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")), F.col("o_orderstatus"))
+
+
+def derived_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What its lines say: F if all are, O if all are, else P."""
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linestatus").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("lo"), F.max("l_linestatus").alias("hi"))
+    return manifest.from_contents(lines, F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string")), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("P"))
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as the log of a run: run, seq, micros, line."""
+    e = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "props")
+    micros = I.epoch_micros(F.col("ts"))
+    line = F.concat_ws("|", F.col("event_id").cast("string"), micros.cast("string"), F.col("event_type"), F.col("props"))
+    return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), micros.alias("micros"), F.concat(line, F.lit("\n")).alias("line"), "event_type")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as attempts: run = order, task = part, number = line number, done = shipped."""
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_returnflag")
+    return rows.select(F.col("l_orderkey").alias("run"), F.col("l_partkey").alias("task"), F.col("l_suppkey").alias("worker"), F.col("l_linenumber").alias("number"), (F.col("l_linestatus") == "F").alias("done"), F.col("l_returnflag").alias("flag"))
+
+
+def task_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks in key order that read the parts of their lines."""
+    return read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey").select(F.col("l_orderkey").alias("task"), F.concat(F.lit("n/"), F.col("l_partkey").cast("string")).alias("path")).distinct()
+
+
+def task_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """... and that make what their customer key names."""
+    return read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select(F.col("o_orderkey").alias("task"), F.concat(F.lit("n/"), F.col("o_custkey").cast("string")).alias("path"))
+
+
+def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of the pages' URLs, without scheme, query and fragment."""
+    return read(spark, sf_dir, "pages", "url").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ledger records: the segment gives the kind, the customer is the subject, status P is retracted."""
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "reproduction").when(F.col("c_mktsegment") == "MACHINERY", "review").when(F.col("c_mktsegment") == "HOUSEHOLD", "user").otherwise("institution")
+    retracted = F.col("o_orderstatus") == "P"
+    return rows.select(
+        F.concat(F.lit("EXT-"), F.substring(day, 1, 4), F.lit("-"), F.lpad(F.col("o_orderkey").cast("string"), 4, "0")).alias("id"), kind.alias("kind"), F.col("c_name").alias("subject"), F.col("o_orderpriority").alias("scope"),
+        F.lit("independent").alias("relationship"), F.lit(True).alias("consent_to_list"), F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 40).alias("source_commit"), day.alias("observed_date"), day.alias("verified_date"),
+        F.concat(F.lit("https://example.org/orders/"), F.col("o_orderkey").cast("string")).alias("evidence_url"), F.when(retracted, "retracted").otherwise("verified").alias("status"),
+        F.when(retracted, day).alias("retracted_date"), F.when(retracted, F.col("o_orderpriority")).alias("retraction_reason"), "o_orderkey",
+    )
