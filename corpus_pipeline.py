@@ -22,29 +22,34 @@ MOST_KEYS = 1_000_000
 ORACLE_SQL = None
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Text beside the whole row as one column, so that no column of the row can clash with what an operator adds."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_provena_row"), "text")
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` whose id and text hash are not among keys (_id, _text)."""
-    gone = small(written(keys.select("_id", "_text").distinct()), MOST_KEYS)
+    gone = keys.select(F.col("_id").alias("_provena_id"), F.col("_text").alias("_provena_text")).distinct()
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_text")), "left_anti")
+    return docs.join(small(written(gone), MOST_KEYS), F.col("doc_id").eqNullSafe(F.col("_provena_id")) & (text == F.col("_provena_text")), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     poor = quality.depleted(docs.select("doc_id", "text", "source"))
-    return _without(kept_after(quality.base_rules(docs), ~F.col("base_failed")).select(docs.columns), poor)
+    return _without(kept_after(quality.base_rules(_whole(docs)), ~F.col("base_failed")).select("_provena_row.*"), poor)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
     found = written(jaccard.joined(docs.select("doc_id", "text"), k=5, percent=80))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    again = found.filter(kept).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id"))
-    gone = small(written(found.filter(~kept).select(F.col("doc_id").alias("_id")).distinct()), MOST_KEYS)
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    twice = written(again)
+    same = F.col("doc_id").eqNullSafe(F.col("_provena_id"))
+    gone = small(written(found.filter(~kept).select(F.col("doc_id").alias("_provena_id")).distinct()), MOST_KEYS)
+    left = docs.join(gone, same, "left_anti")
+    twice = written(found.filter(kept).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_provena_id")))
     if twice.isEmpty():
         return left
-    same, hint = F.col("doc_id").eqNullSafe(F.col("_id")), small(twice, MOST_KEYS)
+    hint = small(twice, MOST_KEYS)
     return left.join(hint, same, "left_anti").unionByName(left.join(hint, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -59,10 +64,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(docs, key=spark.conf.get("spark.provena.pii.key", pii.DEMO_KEY))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    out = pii.pseudonymised(_whole(docs), key=spark.conf.get("spark.provena.pii.key", pii.DEMO_KEY))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return out.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col(f"_provena_row.`{f.name}`")).alias(f.name) for f in docs.schema])
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
