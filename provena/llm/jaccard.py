@@ -8,10 +8,10 @@ part, at distance 0 there, so each class goes into one region per part (the proj
 those of the next smaller size range if its size lies in the window of that range. Every linked pair meets in a region.
 
 Within a region the pivot is one class; each other one is compared with it (a star, not all pairs). Regions whose members
-are now in one component are done. In the others the distance to the pivot, known exactly, makes rings of width 1 - t; by the
-triangle inequality linked classes lie in the same or in neighbouring rings, so each is replicated to the next ring, the
-pivot leaves, and the rings are joined recursively. Regions of at most SMALL classes end with the pairs whose components
-differ. Components, not all links, are the result; copies of a class are never compared.
+are now in one component are done. In the others, members outside the pivot's component are open. They are the next pivots:
+each is compared with those members of another component whose distance from the first pivot, known exactly, differs from
+its own by at most 1 - t; by the triangle inequality no other can be linked. A member that was compared is closed, and so the
+recursion ends when no region has an open one. Components, not all links, are the result; copies of a class are not compared.
 
 Everything is a DataFrame job on (region, class) rows; sums come before shuffles, joins on a hot pivot are ones that
 adaptive execution can split, and nothing of the corpus reaches the driver. Level tables are written to the shared folder.
@@ -28,12 +28,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import dropped, table, written
+from provena.llm.common import dropped, let_go, table, written
 
-SMALL = 48
+#: Open members of a region that are compared in a round, or all if so few pairs come of it.
+PROBES, DIRECT = 32, 2_000_000
 #: Ratio of the sizes of a range, and parts beyond the least number, so that up to this many may be empty in a set.
 RANGE, SPARE = 1.5, 2
 #: Bytes of text that are hashed at a time.
@@ -246,35 +247,30 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     reps = rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(id_col).alias("rep"))
     wanted = met.select("cls").distinct().join(reps, "cls")
     sets = written(_sets(docs, wanted, id_col, text, k))
-    links, level, pivot_of = None, 0, met
-    comps = None
+    let_go(docs.sparkSession)
+    star = written(compared(met.filter("cls != a").select("a", F.col("cls").alias("b")).distinct(), sets, [], percent))
+    links = star.filter("linked").select("a", "b")
+    comps = components(links)
+    # members with their distance from the pivot, by which the triangle inequality keeps apart who cannot be linked
+    placed = written(met.join(star.select("a", F.col("b").alias("cls"), "dist"), ["a", "cls"], "left").fillna(0.0, ["dist"]).withColumn("done", F.col("cls") == F.col("a")))
     while True:
-        pairs = pivot_of.filter("cls != a").select("a", F.col("cls").alias("b")).distinct()
-        seen = written(compared(pairs, sets, [], percent))
-        found = seen.filter("linked").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        comps = components(links)
-        # regions that are not in one component go on without their pivot
-        placed = _with_comp(pivot_of, comps)
-        pivot_comp = F.max(F.when(F.col("cls") == F.col("a"), F.col("comp")))
-        state = placed.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), pivot_comp.alias("pc")).filter("lo != hi").select("region", "n")
-        rest = written(placed.filter("cls != a").join(state, "region"))
-        small = rest.filter(F.col("n") <= SMALL)
-        x, y = small.select("region", F.col("cls").alias("a"), F.col("comp").alias("ca")), small.select("region", F.col("cls").alias("b"), F.col("comp").alias("cb"))
-        last = x.join(y, "region").filter("a < b and ca != cb").select("a", "b").distinct()
-        last = written(compared(last, sets, [], percent).filter("linked").select("a", "b"))
-        links = links.unionByName(last)
-        comps = components(links)
-        # the others are split into rings around the pivot; a member also joins the ring above its own
-        wide = rest.filter(F.col("n") > SMALL).drop("comp").join(seen.select("a", F.col("b").alias("cls"), "dist"), ["a", "cls"])
-        ring = F.floor(F.col("dist") * 100 / (100 - percent)).cast("long")
-        wide = wide.select("cls", F.explode(F.array(F.struct(F.xxhash64("region", "a", ring).alias("region")), F.struct(F.xxhash64("region", "a", ring + 1).alias("region")))).alias("r")).select("r.region", "cls")
-        inside = _with_comp(wide, comps)
-        next_pivot = inside.groupBy("region").agg(F.min_by("cls", F.xxhash64("cls", F.lit(level))).alias("a"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("region", "a")
-        pivot_of = written(wide.join(next_pivot, "region").select("region", "a", "cls").distinct())
-        level += 1
-        if pivot_of.isEmpty():
+        now = _with_comp(placed, comps)
+        pivot_comp = F.max(F.when(F.col("cls") == F.col("a"), F.col("comp"))).alias("home")
+        state = now.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), pivot_comp).filter("lo != hi").select("region", "n", "home")
+        now = now.join(state, "region").withColumn("open", ~F.col("done") & (F.col("comp") != F.col("home")))
+        now = written(now.select("region", "cls", "a", "dist", "done", "comp", "open", "n"))
+        count = now.filter("open").groupBy("region").agg(F.count("*").alias("n_open"))
+        ranked = Window.partitionBy("region").orderBy(F.xxhash64("cls"), "cls")
+        probes = now.filter("open").join(count, "region").withColumn("k", F.row_number().over(ranked)).filter((F.col("k") <= PROBES) | (F.col("n_open") * F.col("n") <= DIRECT))
+        probes = written(probes.select("region", F.col("cls").alias("x"), F.col("dist").alias("dx"), F.col("comp").alias("cx")))
+        if probes.isEmpty():
             break
+        near = F.abs(F.col("dist") - F.col("dx")) <= (100 - percent) / 100 + 1e-9
+        pairs = probes.join(now, "region").filter(near & (F.col("comp") != F.col("cx"))).select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
+        links = links.unionByName(written(compared(pairs, sets, [], percent).filter("linked").select("a", "b")))
+        comps = components(links)
+        tried = probes.select("region", F.col("x").alias("cls"), F.lit(True).alias("_tried"))
+        placed = written(now.join(tried, ["region", "cls"], "left").select("region", "cls", "a", "dist", (F.col("done") | F.col("_tried").isNotNull()).alias("done")))
     classes = _with_comp(rows.filter("n_shingles > 0").select(id_col, "cls"), comps)
     named = classes.groupBy("comp").agg(F.min(id_col).alias("component_id"))
     of_class = _with_comp(classes.select("cls").distinct(), comps).join(named, "comp").select("cls", "component_id")
