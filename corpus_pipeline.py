@@ -35,7 +35,7 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    poor = quality.depleted(docs.select("doc_id", "text", "source"))
+    poor = quality.depleted(docs.select("doc_id", "text", "source"), copies=False)
     return _without(kept_after(quality.base_rules(_whole(docs)), ~F.col("base_failed")).select("_provena_row.*"), poor)
 
 

@@ -5,12 +5,12 @@ limit are boilerplate, and a document that keeps too little besides such lines i
 that, base rules reject documents with few words or much repetition inside the text.
 
 The text never crosses a shuffle: what does is one (host, line hash) row per distinct line of a document, summed
-on the map side first, and one row of numbers per document. A host or a line that holds a third of all rows only
+on the map side first (where copies count once, before that the line hashes of each distinct text of a host, once a task), and one row of numbers per document. A host or a line that holds a third of all rows only
 adds to counts. The table of boilerplate lines is bounded per host (each is in over ``share`` of its documents);
 it is broadcast after a check of its row count and joined with a shuffle beyond that.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; documents
-with equal id and text are counted one by one and get equal verdicts; an empty table gives an empty result. Lines
+with equal id and text are counted one by one (unless copies count once) and get equal verdicts; an empty table gives an empty result. Lines
 of equal 64-bit hash are taken as equal.
 """
 
@@ -65,17 +65,22 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def depleted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = 20, share: float = 0.1, least_left: float = 0.3, broadcast_rows: int = 200_000) -> DataFrame:
+def depleted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = 20, share: float = 0.1, least_left: float = 0.3, broadcast_rows: int = 200_000, copies: bool = True) -> DataFrame:
     """Keys (id, text hash) of documents that boilerplate lines deplete, with ``left``, the share of their line characters that remains.
 
     A line is boilerplate in a host when over max(least_docs, share * documents of the host) of its documents have
-    it. A document is depleted when less than ``least_left`` of its normalised characters remain."""
+    it. A document is depleted when less than ``least_left`` of its normalised characters remain. Without ``copies``,
+    lines and documents are counted once per distinct text of a host, so a group of copies cannot make its own lines
+    boilerplate, however large it is; with it, each row counts, as in the SQL of op10."""
     body = F.coalesce(F.col(text), F.lit(""))
     kept = F.filter(F.transform(F.split(body, "\n"), normal_line), lambda line: line != "")
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(body).alias("_text"), F.col(host).alias("_host"), kept.alias("_lines"))
     rows = rows.select("_id", "_text", "_host", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(x).cast("long").alias("w"))).alias("_lines"))
-    per_host = docs.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_docs"))
-    counted = rows.select("_host", F.explode(F.array_distinct(F.col("_lines.h"))).alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
+    texts = rows.select("_host", "_text", F.array_distinct(F.col("_lines.h")).alias("_hs"))
+    texts = texts if copies else texts.dropDuplicates(["_host", "_text"])
+    per_host = docs.select(F.col(host).alias("_host"), F.xxhash64(body).alias("_text"))
+    per_host = (per_host if copies else per_host.distinct()).groupBy("_host").agg(F.count("*").alias("_docs"))
+    counted = texts.select("_host", F.explode("_hs").alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
     limits = per_host.select(F.col("_host").alias("_host2"), F.greatest(F.lit(float(least_docs)), share * F.col("_docs")).alias("_limit")).filter(F.col("_limit").isNotNull())
     above = counted.filter(F.col("_n") > least_docs).join(limits, F.col("_host").eqNullSafe(F.col("_host2"))).filter(F.col("_n") > F.col("_limit"))
     above = small(written(above.select(F.col("_host").alias("_bhost"), F.col("_h").alias("_bh"))), broadcast_rows)

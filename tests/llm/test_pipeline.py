@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
+from tests.llm.conftest import prose
 
 
 def test_stages_on_the_smallest_tables(spark, data):
@@ -25,3 +28,13 @@ def test_near_duplicates_keep_one_of_each_group(spark, docs, data):
 def test_empty_documents(spark, none, data):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, data).count() == 0
+
+
+def test_copies_do_not_make_their_own_lines_boilerplate(spark, data):
+    rng = random.Random(3)
+    copy, spread = prose(rng, 90), prose(rng, 90)
+    rows = [(i, copy if i < 31 else prose(rng, 90), "h") for i in range(300)]
+    rows += [(1000 + i, spread if i % 3 == 0 else prose(rng, 90), f"s{i % 2}") for i in range(240)]
+    docs = spark.createDataFrame([(i, x, h, "en", len(x)) for i, x, h in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, data).collect()}
+    assert kept >= set(range(31)) | set(range(1000, 1240, 3)) and len(kept) > 500
