@@ -4,7 +4,7 @@
 all its predecessor kept; all but the last return the columns of documents. What a stage drops is a list of keys that is
 broadcast after a check of its size and joined with a shuffle beyond that, so texts move only where they must.
 
-Edge cases are those of the operators; besides, of rows with equal id and text one stays at the near-duplicate stage, and
+The quality stage also passes texts on without their boilerplate lines. Edge cases are those of the operators; besides, of rows with equal id and text one stays at the near-duplicate stage, and
 rows with a null id stay unless they belong to a component that has an id.
 """
 
@@ -35,8 +35,7 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    poor = quality.depleted(docs.select("doc_id", "text", "source"), copies=False)
-    return _without(kept_after(quality.base_rules(_whole(docs)), ~F.col("base_failed")).select("_provena_row.*"), poor)
+    return quality.cleaned(docs, copies=False)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

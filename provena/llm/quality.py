@@ -1,13 +1,14 @@
 """Quality rules by cross-document line frequency (native: DataFrame functions only).
 
-Normalised lines are hashed, the distinct documents with each are counted per host, lines above the host's
-limit are boilerplate, and a document that keeps too little besides such lines is rejected as depleted. Before
+Normalised lines are hashed, the documents (or distinct texts) with each are counted per host, lines above the host's
+limit are boilerplate and are removed, and a document that keeps too little besides them is rejected as depleted. Before
 that, base rules reject documents with few words or much repetition inside the text.
 
-The text never crosses a shuffle: what does is one (host, line hash) row per distinct line of a document, summed
-on the map side first (where copies count once, before that the line hashes of each distinct text of a host, once a task), and one row of numbers per document. A host or a line that holds a third of all rows only
-adds to counts. The table of boilerplate lines is bounded per host (each is in over ``share`` of its documents);
-it is broadcast after a check of its row count and joined with a shuffle beyond that.
+For the counts what crosses a shuffle is one (host, line hash) row per distinct line of a document, summed on the map
+side first (where copies count once, before that the line hashes of each distinct text of a host, once a task). A host or a
+line that holds a third of all rows only adds to counts. The table of boilerplate lines is bounded per host (each is in over
+``share`` of its documents); it is broadcast after a check of its row count, and texts stay in their tasks. Beyond that the
+texts meet their own boilerplate lines by a shuffle.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; documents
 with equal id and text are counted one by one (unless copies count once) and get equal verdicts; an empty table gives an empty result. Lines
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import WORD, small, table, written
+from provena.llm.common import WORD, kept_after, table, written
 
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -65,53 +66,85 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def depleted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", least_docs: int = 20, share: float = 0.1, least_left: float = 0.3, broadcast_rows: int = 200_000, copies: bool = True) -> DataFrame:
-    """Keys (id, text hash) of documents that boilerplate lines deplete, with ``left``, the share of their line characters that remains.
+def boilerplate(docs: DataFrame, text: str = "text", host: str = "source", least_docs: int = 20, share: float = 0.1, copies: bool = True) -> DataFrame:
+    """The lines above their host's limit: (_bhost, _bh), a host and the hash of a normalised line, written.
 
     A line is boilerplate in a host when over max(least_docs, share * documents of the host) of its documents have
-    it. A document is depleted when less than ``least_left`` of its normalised characters remain. Without ``copies``,
-    lines and documents are counted once per distinct text of a host, so a group of copies cannot make its own lines
-    boilerplate, however large it is; with it, each row counts, as in the SQL of op10."""
+    it. Without ``copies``, lines and documents are counted once per distinct text of a host, so a group of copies
+    cannot make its own lines boilerplate, however large it is; with it, each row counts, as in the SQL of op10."""
     body = F.coalesce(F.col(text), F.lit(""))
-    kept = F.filter(F.transform(F.split(body, "\n"), normal_line), lambda line: line != "")
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(body).alias("_text"), F.col(host).alias("_host"), kept.alias("_lines"))
-    rows = rows.select("_id", "_text", "_host", F.transform("_lines", lambda x: F.struct(F.xxhash64(x).alias("h"), F.char_length(x).cast("long").alias("w"))).alias("_lines"))
-    texts = rows.select("_host", "_text", F.array_distinct(F.col("_lines.h")).alias("_hs"))
+    hashes = F.transform(F.filter(F.transform(F.split(body, "\n"), normal_line), lambda line: line != ""), lambda x: F.xxhash64(x))
+    texts = docs.select(F.col(host).alias("_host"), F.xxhash64(body).alias("_text"), F.array_distinct(hashes).alias("_hs"))
     texts = texts if copies else texts.dropDuplicates(["_host", "_text"])
     per_host = docs.select(F.col(host).alias("_host"), F.xxhash64(body).alias("_text"))
     per_host = (per_host if copies else per_host.distinct()).groupBy("_host").agg(F.count("*").alias("_docs"))
     counted = texts.select("_host", F.explode("_hs").alias("_h")).groupBy("_host", "_h").agg(F.count("*").alias("_n"))
     limits = per_host.select(F.col("_host").alias("_host2"), F.greatest(F.lit(float(least_docs)), share * F.col("_docs")).alias("_limit")).filter(F.col("_limit").isNotNull())
     above = counted.filter(F.col("_n") > least_docs).join(limits, F.col("_host").eqNullSafe(F.col("_host2"))).filter(F.col("_n") > F.col("_limit"))
-    above = small(written(above.select(F.col("_host").alias("_bhost"), F.col("_h").alias("_bh"))), broadcast_rows)
-    rows = rows.withColumn("_all", F.aggregate("_lines", F.lit(0).cast("long"), lambda acc, x: acc + x["w"]))
-    each = rows.select("_id", "_text", "_host", "_all", F.posexplode("_lines").alias("_k", "_line")).select("_id", "_text", "_host", "_all", "_k", F.col("_line.h").alias("_h"), F.col("_line.w").alias("_w"))
-    hit = each.join(above, (F.col("_h") == F.col("_bh")) & F.col("_host").eqNullSafe(F.col("_bhost")), "left_semi")
-    # documents with equal id, text and host are one key here: each of its lines counts once
-    hit = hit.groupBy("_id", "_text", "_host", "_k").agg(F.max("_w").alias("_w"), F.max("_all").alias("_all"))
-    gone = hit.groupBy("_id", "_text", "_host").agg((1 - F.sum("_w") / F.max("_all")).alias("left"))
-    return gone.filter(F.col("left") < least_left)
-
-
-def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", **limits) -> DataFrame:
-    """``docs`` with the base figures, base_failed, depleted and kept (neither). All columns of ``docs`` stay."""
+    return written(above.select(F.col("_host").alias("_bhost"), F.col("_h").alias("_bh")))
+
+
+def stripped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", broadcast_rows: int = 200_000, **limits) -> DataFrame:
+    """``docs`` with _stripped, the text without its boilerplate lines, and _left, the share of its normalised characters that remains.
+
+    The other lines stay as they are, blank ones included. A text without boilerplate lines, null too, is unchanged
+    and has all of it left. Few boilerplate lines are broadcast as one array a host, so texts stay where they are;
+    many are joined with line hashes, and what meets the text by id, hash and host is the array of its own."""
+    above = boilerplate(docs, text, host, **limits)
     body = F.coalesce(F.col(text), F.lit(""))
-    base = base_rules(docs, text).withColumn("_text", F.xxhash64(body))
-    poor = depleted(docs, id_col, text, host, **limits).select(F.col("_id").alias("_pid"), F.col("_text").alias("_ptext"), F.col("_host").alias("_phost"))
-    same = F.col(id_col).eqNullSafe(F.col("_pid")) & (F.col("_text") == F.col("_ptext")) & F.col(host).eqNullSafe(F.col("_phost"))
-    out = base.join(poor, same, "left").withColumn("depleted", F.col("_ptext").isNotNull())
-    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")).drop("_text", "_pid", "_ptext", "_phost")
+    if above.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        hot = above.groupBy("_bhost").agg(F.collect_list("_bh").alias("_bhs"))
+        out = docs.join(F.broadcast(hot), F.col(host).eqNullSafe(F.col("_bhost")), "left").drop("_bhost")
+    else:
+        each = docs.select(F.col(id_col).alias("_bid"), F.xxhash64(body).alias("_btext"), F.col(host).alias("_bhost2"), F.explode(F.array_distinct(F.transform(F.split(body, "\n"), lambda line: F.xxhash64(normal_line(line))))).alias("_h"))
+        hit = each.join(above, (F.col("_h") == F.col("_bh")) & F.col("_bhost2").eqNullSafe(F.col("_bhost")), "left_semi")
+        hit = hit.groupBy("_bid", "_btext", "_bhost2").agg(F.collect_set("_h").alias("_bhs"))
+        same = F.col(id_col).eqNullSafe(F.col("_bid")) & (F.xxhash64(body) == F.col("_btext")) & F.col(host).eqNullSafe(F.col("_bhost2"))
+        out = docs.join(hit, same, "left").drop("_bid", "_btext", "_bhost2")
+    # hashes and widths first, then the verdict of each line: what a lambda encloses is computed anew for each element
+    normal = F.when(F.col("_bhs").isNotNull(), F.transform(F.split(body, "\n"), lambda line: F.struct(line.alias("l"), normal_line(line).alias("n"))))
+    out = out.withColumn("_normal", normal)
+    out = out.withColumn("_lines", F.transform("_normal", lambda x: F.struct(x["l"].alias("l"), F.char_length(x["n"]).cast("long").alias("w"), ((x["n"] != "") & F.array_contains("_bhs", F.xxhash64(x["n"]))).alias("hot"))))
+    total = F.aggregate("_lines", F.lit(0).cast("long"), lambda acc, x: acc + x["w"])
+    gone = F.aggregate("_lines", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["hot"], x["w"]).otherwise(0))
+    out = out.withColumns({"_total": total, "_gone": gone})
+    rest = F.array_join(F.transform(F.filter("_lines", lambda x: ~x["hot"]), lambda x: x["l"]), "\n")
+    out = out.withColumns({"_stripped": F.when(F.col("_gone") > 0, rest).otherwise(F.col(text)), "_left": F.when(F.col("_gone") > 0, 1 - F.col("_gone") / F.col("_total")).otherwise(1.0)})
+    return out.drop("_bhs", "_normal", "_lines", "_total", "_gone")
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", least_left: float = 0.3, **limits) -> DataFrame:
+    """``docs`` with the text without its boilerplate lines (n_chars, where there is one, follows it), the base figures and
+    base_failed of the text as it came, depleted (less than ``least_left`` of the text is left) and kept (neither).
+
+    All columns of ``docs`` stay."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_provena_row"), F.col(text).alias("text"))
+    out = stripped(base_rules(whole), f"_provena_row.`{id_col}`", "text", f"_provena_row.`{host}`", **limits)
+    out = out.withColumn("depleted", F.col("_left") < least_left).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
+    figures = [c for c in out.columns if c not in ("_provena_row", "text", "_stripped", "_left")]
+    return out.select(*_with_text(docs, text), *figures)
+
+
+def _with_text(docs: DataFrame, text: str = "text") -> list[Column]:
+    """The columns of ``docs`` from _provena_row, the text and its n_chars from _stripped where lines are gone."""
+    new = {text: F.col("_stripped"), "n_chars": F.when(F.col("_left") < 1, F.char_length("_stripped")).otherwise(F.col("_provena_row.n_chars")) if "n_chars" in docs.columns else None}
+    return [(new[f.name].cast(f.dataType) if f.name in new else F.col(f"_provena_row.`{f.name}`")).alias(f.name) for f in docs.schema]
+
+
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source", least_left: float = 0.3, **limits) -> DataFrame:
+    """The documents that base rules and boilerplate leave, without their boilerplate lines; the columns of ``docs``."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_provena_row"), F.col(text).alias("text"))
+    base = base_rules(whole).withColumn("_provena_failed", F.col("base_failed"))
+    base = base.select("_provena_row", "text", "_provena_failed")
+    out = stripped(base, f"_provena_row.`{id_col}`", "text", f"_provena_row.`{host}`", **limits)
+    return kept_after(out, ~F.col("_provena_failed") & (F.col("_left") >= least_left)).select(*_with_text(docs, text))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: the base figures, base_failed and the verdict. The text is dropped before the verdicts are joined."""
+    """Per document: the base figures, base_failed and the verdict by what is left of the text without its boilerplate lines."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
-    body = F.coalesce(F.col("text"), F.lit(""))
-    base = base_rules(docs).withColumn("_text", F.xxhash64(body)).drop("text")
-    poor = depleted(docs).select(F.col("_id").alias("_pid"), F.col("_text").alias("_ptext"), F.col("_host").alias("_phost"))
-    same = F.col("doc_id").eqNullSafe(F.col("_pid")) & (F.col("_text") == F.col("_ptext")) & F.col("source").eqNullSafe(F.col("_phost"))
-    out = base.join(poor, same, "left")
-    kept = ~F.col("base_failed") & F.col("_ptext").isNull()
+    out = stripped(base_rules(docs))
+    kept = ~F.col("base_failed") & (F.col("_left") >= 0.3)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 

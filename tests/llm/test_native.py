@@ -121,3 +121,11 @@ def test_depleted_documents(spark, none):
     assert all(got[i].depleted and not got[i].kept for i in range(40)) and not any(got[100 + i].depleted for i in range(40))
     assert not got[200].depleted and not got[201].depleted
     assert quality.quality(none.select("doc_id", "text", "source")).count() == 0
+
+
+def test_stripped_without_broadcast(spark, docs):
+    rows = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    for copies in (True, False):
+        few, many = (quality.stripped(docs, broadcast_rows=n, copies=copies, least_docs=5) for n in (200_000, 0))
+        assert few.columns == many.columns and rows(few) == rows(many)
+        assert few.filter("_stripped != text").count() == 32 and few.count() == docs.count()

@@ -38,3 +38,13 @@ def test_copies_do_not_make_their_own_lines_boilerplate(spark, data):
     docs = spark.createDataFrame([(i, x, h, "en", len(x)) for i, x, h in rows], "doc_id long, text string, source string, lang string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, data).collect()}
     assert kept >= set(range(31)) | set(range(1000, 1240, 3)) and len(kept) > 500
+
+
+def test_boilerplate_lines_do_not_go_on(spark, data):
+    rng = random.Random(5)
+    texts = [prose(rng, 90) for _ in range(45)]
+    rows = [(i, f"All rights, reserved.\n\n{x}\nall RIGHTS reserved\n", "h", "en", 0) for i, x in enumerate(texts)] + [(100, texts[0] + "\nAll rights, reserved.", None, "en", -1), (101, None, "h", "en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    got = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs, data).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: f"\n{x}\n" for i, x in enumerate(texts)} | {100: rows[45][1]}
+    assert all(got[i].n_chars == len(x) + 2 for i, x in enumerate(texts)) and got[100].n_chars == -1
