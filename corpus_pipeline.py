@@ -40,11 +40,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    found = written(jaccard.joined(docs.select("doc_id", "text"), k=5, percent=80))
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_provena_text")
+    found = written(jaccard.joined(docs.select("doc_id", "text", text), k=5, percent=80, also=("_provena_text",)))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
     same = F.col("doc_id").eqNullSafe(F.col("_provena_id"))
-    gone = small(written(found.filter(~kept).select(F.col("doc_id").alias("_provena_id")).distinct()), MOST_KEYS)
-    left = docs.join(gone, same, "left_anti")
+    left = _without(docs, found.filter(~kept).select(F.col("doc_id").alias("_id"), F.col("_provena_text").alias("_text")))
     twice = written(found.filter(kept).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_provena_id")))
     if twice.isEmpty():
         return left

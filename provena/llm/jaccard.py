@@ -154,9 +154,9 @@ def _class_of(s: np.ndarray) -> int:
     return whole - (1 << 64) if whole >> 63 else whole
 
 
-def described(docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """Per document: id, n_shingles, cls (the class of its set) and regions."""
-    source = docs.select(id_col, text)
+def described(docs: DataFrame, id_col: str, text: str, k: int, percent: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: id, the columns named in ``also``, n_shingles, cls (the class of its set) and regions."""
+    source = docs.select(id_col, text, *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -170,9 +170,10 @@ def described(docs: DataFrame, id_col: str, text: str, k: int, percent: int) ->
                     regions.append(regions_of(s, percent, cache).astype(np.int64) if len(s) else np.zeros(0, np.int64))
                 at = np.concatenate([[0], np.cumsum([len(r) for r in regions])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(regions) if regions else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists], names=[id_col, "n_shingles", "cls", "regions"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists], names=[id_col, *also, "n_shingles", "cls", "regions"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_shingles long, cls long, regions array<long>")
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (id_col, *also))
+    return source.mapInArrow(run, f"{kinds}, n_shingles long, cls long, regions array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
@@ -238,9 +239,9 @@ def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
 
 
-def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs``: id, n_shingles and component_id, the least id reachable by links of Jaccard similarity of ``percent`` or more."""
-    rows = written(described(docs, id_col, text, k, percent))
+def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of ``docs``: id, the columns named in ``also``, n_shingles and component_id, the least id reachable by links of Jaccard similarity of ``percent`` or more."""
+    rows = written(described(docs, id_col, text, k, percent, also))
     members = rows.select("cls", F.explode("regions").alias("region"))
     pivots = members.groupBy("region").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("region", "a")
     met = written(members.join(pivots, "region").select("region", "a", "cls").distinct())
@@ -274,8 +275,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     classes = _with_comp(rows.filter("n_shingles > 0").select(id_col, "cls"), comps)
     named = classes.groupBy("comp").agg(F.min(id_col).alias("component_id"))
     of_class = _with_comp(classes.select("cls").distinct(), comps).join(named, "comp").select("cls", "component_id")
-    out = rows.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
-    return out.select(id_col, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
+    out = rows.select(id_col, *also, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
+    return out.select(id_col, *also, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
 
 
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:

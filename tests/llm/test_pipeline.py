@@ -48,3 +48,13 @@ def test_boilerplate_lines_do_not_go_on(spark, data):
     got = {r.doc_id: r for r in corpus_pipeline.quality_rules(spark, docs, data).collect()}
     assert {i: r.text for i, r in got.items()} == {i: f"\n{x}\n" for i, x in enumerate(texts)} | {100: rows[45][1]}
     assert all(got[i].n_chars == len(x) + 2 for i, x in enumerate(texts)) and got[100].n_chars == -1
+
+
+def test_near_duplicates_drop_by_id_and_text(spark, data):
+    rng = random.Random(11)
+    a, b, c, d, e, f = (prose(rng, 120) for _ in range(6))
+    near = lambda x, k: f"{x} w{k}"
+    rows = [(1, a), (None, near(a, 1)), (None, b), (None, c), (None, c), (3, d), (5, near(d, 1)), (5, e), (9, near(e, 1)), (7, f), (7, f)]
+    docs = spark.createDataFrame([(i, x, "h", "en", len(x)) for i, x in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, data).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (None, b), (None, c), (3, d), (5, e), (7, f)], key=str)
