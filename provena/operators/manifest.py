@@ -4,6 +4,10 @@ A manifest has columns path, kind ('file' or 'directory'), sha256 and size (null
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +28,54 @@ def entry_json() -> Column:
     return F.to_json(F.struct("kind", "path", "sha256", "size"))
 
 
-def tree_summary(entries: DataFrame, *by: str, most: int = MAX_ENTRIES) -> DataFrame:
+def tree_summary(entries: DataFrame, *by: str, most: int | None = None) -> DataFrame:
     """Per group: entries, directories, files, total bytes, and the digest of all entries in path order.
 
-    The digest needs all entries of a group in one place; groups over ``most`` entries get none and are counted only,
-    so no task ever holds more than that many."""
+    The digest is sequential in a group, so a group is hashed where its sorted rows stream by: time and traffic are linear,
+    and memory is one batch, however large a group is. With ``most``, larger groups are counted only; ``within_limits`` tells
+    of a passed limit without that."""
     total = entries.groupBy(*by).agg(F.count("*").alias("n_entries"), F.count_if(F.col("kind") == "directory").alias("n_directories"), F.count_if(F.col("kind") == "file").alias("n_files"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("total_bytes"))
-    few = total.filter(F.col("n_entries") <= most)
-    kept = entries.join(few.select(*by), list(by), "left_semi") if by else entries.join(few.limit(1).select(F.lit(1).alias("_one")), F.lit(True), "left_semi")
-    body = F.concat(F.lit('{"entries":['), F.expr(f"listagg({_sql_entry()}, ',') WITHIN GROUP (ORDER BY path)"), F.lit('],"kind":"tree","schema_version":1}\n'))
-    digests = kept.groupBy(*by).agg(F.sha2(body, 256).alias("tree_sha256"))
-    return total.join(digests, list(by), "left") if by else total.join(digests, F.lit(True), "left")
-
-
-def _sql_entry() -> str:
-    return "to_json(struct(kind, path, sha256, size))"
+    found = _tree_digests(entries, by).select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "tree_sha256")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    digest = F.col("tree_sha256") if most is None else F.when(F.col("n_entries") <= most, F.col("tree_sha256"))
+    return total.join(found, same, "left").select(*total.columns, digest.alias("tree_sha256"))
+
+
+def within_limits(summary: DataFrame, most: int = MAX_ENTRIES, most_bytes: int = MAX_TOTAL) -> DataFrame:
+    """A tree summary with whether each group keeps to the limits of entries and bytes."""
+    return summary.withColumn("within_limits", (F.col("n_entries") <= most) & (F.col("total_bytes") <= most_bytes))
+
+
+def _tree_digests(entries: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Per group: tree_sha256."""
+    rows = entries.select(*by, "path", entry_json().alias("_entry"))
+    # one place per group, whose rows come in the byte order of paths; equal paths by their entries
+    rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, "path", "_entry").drop("path")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, row = None, None, []
+
+        def ended() -> pa.RecordBatch:
+            state.update(b'],"kind":"tree","schema_version":1}\n')
+            return pa.RecordBatch.from_arrays([*row, pa.array([state.hexdigest()], pa.string())], names=[*by, "tree_sha256"])
+
+        for batch in batches:
+            groups = zip(*[batch.column(i).to_pylist() for i in range(len(by))], strict=True) if by else [()] * batch.num_rows
+            for k, (group, body) in enumerate(zip(groups, batch.column(len(by)).to_pylist(), strict=True)):
+                if state is None or group != now:
+                    if state is not None:
+                        yield ended()
+                    now, state, row = group, hashlib.sha256(b'{"entries":['), [batch.column(i).slice(k, 1) for i in range(len(by))]
+                else:
+                    state.update(b",")
+                state.update(body.encode())
+        if state is not None:
+            yield ended()
+
+    return rows.mapInArrow(hashed, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "tree_sha256 string"]))
 
 
 def diff(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -32,6 +32,21 @@ def test_tree_summary_and_cap(spark):
     assert manifest.tree_summary(df.drop("g")).first().n_entries == 3
 
 
+def test_tree_summary_of_a_large_group(spark):
+    n = 10_001
+    df = spark.range(n).select(F.when(F.col("id") < 3, F.lit(None)).otherwise("s").alias("g"), F.concat(F.lit("p/é"), "id").alias("path"), F.lit("file").alias("kind"), F.lit(H).alias("sha256"), F.lit(3).cast("long").alias("size"))
+    df = df.unionByName(df.filter("path in ('p/é9', 'p/é10')").withColumn("g", F.lit("t")))
+
+    def want(ids):
+        entries = ",".join(f'{{"kind":"file","path":"{p}","sha256":"{H}","size":3}}' for p in sorted((f"p/é{i}" for i in ids), key=str.encode))
+        return hashlib.sha256(('{"entries":[' + entries + '],"kind":"tree","schema_version":1}\n').encode()).hexdigest()
+
+    got = {r.g: r for r in manifest.within_limits(manifest.tree_summary(df, "g"), most=9_000).collect()}
+    assert {g: r.tree_sha256 for g, r in got.items()} == {None: want(range(3)), "s": want(range(3, n)), "t": want([9, 10])}
+    assert {g: r.within_limits for g, r in got.items()} == {None: True, "s": False, "t": True}
+    assert manifest.tree_summary(df.drop("g").filter("path != 'p/é9' and path != 'p/é10'")).first().tree_sha256 == want(i for i in range(n) if i not in (9, 10))
+
+
 def test_manifest_violations(spark):
     rows = [("a", "file", H, 1), ("a/b", "file", H, 1), ("../x", "file", H, 1), ("c", "file", "bad", 1), ("d", "directory", H, 1), ("e/f", "file", H, 1), ("g", "file", H, 1), ("g", "file", H, 1)]
     got = {(r.path, r.rule) for r in manifest.violations(table(spark, rows, M)).collect()}
