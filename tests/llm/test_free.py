@@ -113,6 +113,32 @@ def test_language_model_of_nothing(spark, none):
     assert r.held_out and r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score)
 
 
+def test_sweeps_see_the_totals_of_the_sweep_before(docs, monkeypatch):
+    seen, sweep = [], pitmanyor.Sampler.sweep
+
+    def spied(self, *args):
+        t = self.totals
+        seen.append((int(t["tables"].sum()), t["of_root"], t["root"]))
+        return sweep(self, *args)
+
+    monkeypatch.setattr(pitmanyor.Sampler, "sweep", spied)
+    assert pitmanyor.scored(docs).count() == docs.count()
+    assert len(seen) == pitmanyor.BURN + pitmanyor.SAMPLES and all(a == b for a, b, _ in seen)
+    assert seen[1][0] > seen[0][0] and len({a for a, *_ in seen}) > 2 and seen[1][2] > seen[0][2]
+
+
+def test_parent_sums_to_one_after_sweeps():
+    rng = np.random.default_rng(1)
+    row, context = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50)
+    count = rng.integers(1, 30, 200)
+    totals = {"tables": np.full(4, 50), "customers": np.bincount(context, count), "discount": 0.7, "strength": 3.0, "root": 50, "of_root": 200, "uniform": 1 / 51, "n": int(count.sum()), "v": 50, "n_contexts": 4}
+    sampler = pitmanyor.Sampler(50, row, context, count, totals, 0)
+    sampler.run(4)
+    t = sampler.totals
+    unknown = (10.0 + 0.6 * t["root"]) * t["uniform"] / (10.0 + t["of_root"])
+    assert abs(sampler.parent().sum() + unknown - 1) < 1e-9
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     row, context = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50)
