@@ -1,14 +1,15 @@
 """HTML extraction by line-block distribution.
 
 The page becomes lines: parts that never hold article text (scripts, styles, forms, navigation, headers, footers, side
-bars, notices, adverts, comments of readers) are cut with all that is in them, block tags end a line, other tags vanish.
+bars, notices, adverts, comments of readers) are cut with all that is in them (but a container known only by its class, id or
+role is kept if it holds the only named article, or, comments of readers aside, most of the page's text), block tags end a line, other tags vanish.
 Each line is as long as its text outside links. Line blocks are the sums over a sliding window of lines; the text surges
 where a block is well above zero and dives where blocks fall to zero again. What lies between the surge and dive points
 of the heaviest run is the article, its short lines included. A page whose markup names its article (``article`` or
 ``main``) is measured within that, from its first surge to its last dive.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page order by two newlines; character
-references are decoded. Nothing is capped: a page of any length is one pass of a tokenizing pattern that cannot
+references are decoded. Nothing is capped: a page of any length is one pass (PASSES + 1 at most, where marks mislead) of a tokenizing pattern that cannot
 backtrack far. A page is a row, so there is no shuffle and no skew but the page itself. Null, empty and textless pages
 give the empty text.
 """
@@ -32,11 +33,13 @@ DROPPED = frozenset(["nav", "footer", "aside", "form", "button", "select", "dial
 HEADER = "header"
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 BLOCK = frozenset(["address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"])
-#: Words of class, id or role that mark what surrounds an article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|respond|reply|replies|pagination|pager|toolbar|search\w*|widget\w*|skip-link|copyright|contentinfo|complementary|navigation)(?=$|[\s_-])",
-    re.IGNORECASE,
-)
+#: Words that mark what surrounds an article, and words that may stand beside them in one class, id or role ("related-posts").
+#: Any other word beside them makes it a state of the page or something unknown ("has-sidebar", "comments-open"), no mark.
+READERS = r"comments?|commentlist|disqus|respond|reply|replies"
+MARK = rf"ads?|advert[a-z]*|adsense|banner|promo[a-z]*|sponsor[a-z]*|nav|navs|navbar|menu|menus|menubar|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend[a-z]*|{READERS}|pagination|pager|toolbar|search[a-z]*|widgets?|skip-link|copyright|contentinfo|complementary|navigation"
+BESIDE = r"\d+|area|articles?|bars?|block|bottom|box|buttons?|col|column|container|content|form|global|group|head|header|icons?|inner|items?|left|links?|list|main|media|outer|page|panel|posts?|primary|right|row|secondary|section|side|site|slot|stories|sub|text|top|unit|wrap|wrapper"
+MARKS = re.compile(rf"(?:(?:{BESIDE})[_-]+)*(?:side-bar|{MARK})(?:[_-]+(?:{BESIDE}|{MARK}))*", re.IGNORECASE)
+OF_READERS = re.compile(rf"(?:^|[_-])(?:{READERS})(?:$|[_-])", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
@@ -44,14 +47,43 @@ HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|s
 WINDOW, SURGE = 3, 1
 
 
-def _marked(tag: str, attributes: str) -> bool:
+#: Passes over a page in which marked elements may prove to hold its article; after these, marks are not regarded.
+PASSES = 4
+
+
+def _marked(tag: str, attributes: str) -> str:
+    """Why an element is dropped: "mark", "readers" (their comments), "hidden", or the empty text if it is not."""
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    return any(MARKS.search(m[2] or m[3] or m[4] or "") for m in NAMED.finditer(attributes)) or bool(HIDDEN.search(attributes))
+        return ""
+    found = [x for m in NAMED.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").split() if MARKS.fullmatch(x)]
+    if found:
+        return "readers" if any(OF_READERS.search(x) for x in found) else "mark"
+    return "hidden" if HIDDEN.search(attributes) else ""
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The lines in page order: text, characters outside links, whether inside a named article."""
+    """The lines in page order: text, characters outside links, whether inside a named article.
+
+    A marked element is spared if it holds the only named article, or most of the text of a page without one."""
+    spared: set[int] | None = set()
+    for _ in range(PASSES):
+        out, held = _lines(page, spared)
+        if any(named for *_, named in out):
+            return out
+        total = sum(free for _, free, _ in out) + sum(h[2] for h in held if h[1] == "mark")
+        more = {h[0] for h in held if h[3]} or {h[0] for h in held if h[1] == "mark" and 2 * h[2] > total}
+        if not more:
+            return out
+        spared |= more
+    return _lines(page, None)[0]
+
+
+def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, bool]], list[list]]:
+    """The lines, and the marked elements dropped: place, why, characters outside links, whether a named article is in it.
+
+    Elements at the places in ``spared`` are not dropped for a mark; none is if it is None."""
+    held: list[list] = []
+    marked = False  # whether the skip began at a marked element
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     state = {"free": 0}
@@ -66,6 +98,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         state["free"] = 0
 
     def add(raw: str) -> None:
+        if skip and marked and not link and DROPPED.isdisjoint(skip):
+            held[-1][2] += len(raw.strip())
         if raw and not skip:
             body = entities.unescape(raw)
             parts.append(body)
@@ -95,8 +129,13 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             if tag in VOID:
                 continue
             if not closing:
-                if tag == skip[0] or tag in DROPPED:
+                if marked and tag in ("article", "main"):
+                    held[-1][3] |= DROPPED.isdisjoint(skip)
+                    skip.append(tag)  # its end is not that of the skip
+                elif tag == skip[0] or tag in DROPPED:
                     skip.append(tag)
+                elif marked and tag == "a":
+                    link = 1
                 elif tag in ("article", "main") and skip[0] in ("head", "header"):
                     skip.clear()  # an element that was never closed does not swallow the article
                 elif tag == "body" and skip[0] == "head":
@@ -104,15 +143,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             elif tag in skip:
                 while skip.pop() != tag:
                     pass
+            elif marked and tag == "a":
+                link = 0
             elif tag in ("body", "html", "article", "main"):
                 skip.clear()
             if skip or not closing or tag not in ("article", "main"):
                 if skip or closing:
                     continue
-        if not closing and tag not in VOID and (tag in DROPPED or (tag == HEADER and not article) or _marked(tag, attributes)):
-            end()
-            skip.append(tag)
-            continue
+        if not closing and tag not in VOID:
+            plain = tag in DROPPED or (tag == HEADER and not article)
+            why = "" if plain or spared is None or m.start() in spared else _marked(tag, attributes)
+            if plain or why:
+                end()
+                skip.append(tag)
+                if marked := bool(why):
+                    held.append([m.start(), why, 0, False])
+                    link = 0
+                continue
         if tag in BLOCK:
             end()
         if tag in ("article", "main"):
@@ -122,7 +169,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         elif tag == "br" and not skip:
             parts.append(" ")
     end()
-    return out
+    return out, held
 
 
 def main_text(page: str | None) -> str:

@@ -248,6 +248,25 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("state", ["content has-sidebar", "no-sidebar", "post comments-open", "social-enabled", "ad", "main-nav", "widget"])
+def test_marked_wrappers_do_not_lose_the_article(state):
+    body = "<p>" + "Some words of an article. " * 20 + "</p>"
+    want = ("Some words of an article. " * 20).strip()
+    assert html.main_text(f"<body><div class='{state}'><article><h1>T</h1>{body}</article></div><footer>f</footer></body>") == f"T\n\n{want}"
+    assert html.main_text(f"<body><div class='{state}'>{body}</div><p><a href=x>more</a></p></body>") == want
+
+
+def test_marked_elements_beside_the_article_stay_out():
+    body = "<p>" + "Some words of an article. " * 20 + "</p>"
+    want = ("Some words of an article. " * 20).strip()
+    card = "<div class='related-posts'><article><p>teaser</p></article><p>after</p></div>"
+    assert html.main_text(f"<body><article>{body}</article>{card}</body>") == want
+    for mark in ("comments-area", "cookie-banner", "site-footer", "ad-slot-1", "social share"):
+        assert html.main_text(f"<body><div>{body}</div><div class='{mark}'><p>no</p></div></body>") == want
+    assert html.main_text(f"<body><div>{body}</div><div id='comments'>{body * 3}</div></body>") == want
+    assert html.main_text("<div class=ad>" * 300 + body) == want
+
+
 def test_surges():
     assert html.surges([0, 0, 0, 9, 9, 0, 9, 0, 0, 0, 0, 5]) == [(3, 7), (11, 12)]
     assert html.surges([]) == [] and html.surges([0, 0]) == []
