@@ -4,9 +4,13 @@ The page becomes lines: parts that never hold article text (scripts, styles, for
 bars, notices, adverts, comments of readers) are cut with all that is in them (but a container known only by its class, id or
 role is kept if it holds the only named article, or, comments of readers aside, most of the page's text), block tags end a line, other tags vanish.
 Each line is as long as its text outside links. Line blocks are the sums over a sliding window of lines; the text surges
-where a block is well above zero and dives where blocks fall to zero again. What lies between the surge and dive points
-of the heaviest run is the article, its short lines included. A page whose markup names its article (``article`` or
-``main``) is measured within that, from its first surge to its last dive.
+where a block reaches a share of a block of the page's prose and dives where blocks fall below it: lines of copyright,
+teasers and notices behind the article are short beside it. What lies between the surge and dive points of the heaviest run
+is the article, with near runs (lists dive inside an article) and the title before it. A page of short lines only has no such
+scale; any text there is a surge, and only lines without text outside links dive.
+
+A page whose markup names its article (``article`` or ``main``) is not measured: the markup decides, and what is left of the
+element after the cuts is the article.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page order by two newlines; character
 references are decoded. Nothing is capped: a page of any length is one pass (PASSES + 1 at most, where marks mislead) of a tokenizing pattern that cannot
@@ -43,8 +47,12 @@ OF_READERS = re.compile(rf"(?:^|[_-])(?:{READERS})(?:$|[_-])", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
-#: Lines of a block, and the least mean of characters outside links per line at a surge.
+#: Lines of a block, and the least sum of characters outside links in a block at a surge, where a page has no longer lines.
 WINDOW, SURGE = 3, 1
+#: Lines that hold half of a page's characters: from this length on, prose, a block of which is told from one of short lines.
+PROSE = 80
+#: A surge is a block of this share of a block of such lines, but of no more characters than the second figure asks.
+SHARE, MOST = 0.25, 240
 
 
 #: Passes over a page in which marked elements may prove to hold its article; after these, marks are not regarded.
@@ -61,16 +69,16 @@ def _marked(tag: str, attributes: str) -> str:
     return "hidden" if HIDDEN.search(attributes) else ""
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """The lines in page order: text, characters outside links, whether inside a named article.
+def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
+    """The lines in page order: text, characters outside links, whether inside a named article, whether a top heading.
 
     A marked element is spared if it holds the only named article, or most of the text of a page without one."""
     spared: set[int] | None = set()
     for _ in range(PASSES):
         out, held = _lines(page, spared)
-        if any(named for *_, named in out):
+        if any(x[2] for x in out):
             return out
-        total = sum(free for _, free, _ in out) + sum(h[2] for h in held if h[1] == "mark")
+        total = sum(x[1] for x in out) + sum(h[2] for h in held if h[1] == "mark")
         more = {h[0] for h in held if h[3]} or {h[0] for h in held if h[1] == "mark" and 2 * h[2] > total}
         if not more:
             return out
@@ -78,22 +86,22 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
     return _lines(page, None)[0]
 
 
-def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, bool]], list[list]]:
+def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, bool, bool]], list[list]]:
     """The lines, and the marked elements dropped: place, why, characters outside links, whether a named article is in it.
 
     Elements at the places in ``spared`` are not dropped for a mark; none is if it is None."""
     held: list[list] = []
     marked = False  # whether the skip began at a marked element
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    state = {"free": 0}
+    state = {"free": 0, "heading": False}
     article = link = 0
     skip: list[str] = []  # open elements from the first dropped one on
 
     def end() -> None:
         body = " ".join("".join(parts).split())
         if body:
-            out.append((body, state["free"], article > 0))
+            out.append((body, state["free"], article > 0, state["heading"]))
         parts.clear()
         state["free"] = 0
 
@@ -162,6 +170,7 @@ def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, boo
                 continue
         if tag in BLOCK:
             end()
+            state["heading"] = tag == "h1" and not closing
         if tag in ("article", "main"):
             article = max(0, article - 1) if closing else article + 1
         elif tag == "a":
@@ -177,32 +186,61 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    named = [x for x in lines if x[2]]
-    size = [len(body) for body, *_ in named] if named else [free for _, free, _ in lines]
-    lines = named or lines
-    runs = surges(size)
+    named = [x[0] for x in lines if x[2]]
+    if named:  # the markup says that all of it is one article
+        return "\n\n".join(named)
+    size = [free for _, free, *_ in lines]
+    runs = surges(size, least_of(size))
     if not runs:
         return ""
-    if named:  # the markup says that all of it is one article, dives inside included
-        first, last = runs[0][0], runs[-1][1]
-    else:
-        first, last = max(runs, key=lambda r: (sum(size[r[0] : r[1]]), -r[0]))
+    first, last = article_of(size, runs)
+    top = next((i for i in range(first, -1, -1) if lines[i][3]), first)
+    if sum(size[top:first]) < sum(size[first:last]):
+        first = top  # by-lines and dates part a title from its article
     return "\n\n".join(body for body, *_ in lines[first:last])
 
 
-def surges(size: list[int]) -> list[tuple[int, int]]:
-    """From the lengths of lines, the runs between a surge and its dive, by sums over WINDOW lines."""
+def least_of(size: list[int]) -> float:
+    """The least block of a surge, from the length of lines that hold half of all characters: one outlier does not move it far."""
+    half, seen = sum(size) / 2, 0
+    for n in sorted(size, reverse=True):
+        seen += n
+        if seen >= half:
+            return max(SURGE, min(MOST, SHARE * WINDOW * n)) if n >= PROSE else SURGE
+    return SURGE
+
+
+def surges(size: list[int], least: float = SURGE) -> list[tuple[int, int]]:
+    """From the lengths of lines, the runs between a surge and its dive below ``least``, by sums over WINDOW lines."""
     blocks = [sum(size[i : i + WINDOW]) for i in range(len(size))]
     runs, start = [], None
     for i, (block, n) in enumerate(zip(blocks, size, strict=True)):
-        if start is None and block >= SURGE and n > 0:
+        if start is None and block >= least and n > 0:
             start = i
-        if start is not None and block < SURGE:
+        if start is not None and block < least:
             runs.append((start, i))
             start = None
     return [*runs, (start, len(size))] if start is not None else runs
 
 
+def article_of(size: list[int], runs: list[tuple[int, int]]) -> tuple[int, int]:
+    """The heaviest run with its neighbours: those of a tenth of it, with less text between than either side has.
+
+    Lists and dialogues dive inside an article; what goes on behind them is still the article."""
+    weight = [sum(size[a:b]) for a, b in runs]
+    lo = hi = max(range(len(runs)), key=lambda k: (weight[k], -k))
+    heaviest = weight[lo]
+
+    def joins(k: int, gap: int, side: int) -> bool:
+        return 10 * weight[k] >= heaviest and gap < min(weight[k], weight[side])
+
+    while hi + 1 < len(runs) and joins(hi + 1, sum(size[runs[hi][1] : runs[hi + 1][0]]), hi):
+        hi += 1
+    while lo > 0 and joins(lo - 1, sum(size[runs[lo - 1][1] : runs[lo][0]]), lo):
+        lo -= 1
+    return runs[lo][0], runs[hi][1]
+
+
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with text and n_chars in the place of the markup."""
     at = pages.columns.index(html)

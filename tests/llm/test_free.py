@@ -267,6 +267,20 @@ def test_marked_elements_beside_the_article_stay_out():
     assert html.main_text("<div class=ad>" * 300 + body) == want
 
 
+def test_line_blocks_of_pages_without_semantic_tags():
+    lines = ["The first words of a paragraph of this article, and some more of them. " * k for k in (3, 4, 2, 5)]
+    paras = [x.strip() for x in lines]
+    items = [f"item {i}" for i in range(8)]
+    before = "".join(f"<div class=x>{x}</div>" for x in ("Example Daily", "Your news", "Mild, 12 degrees", "Edition of today"))
+    after = "".join(f"<div class=y>{x}</div>" for x in ("© 2024 Example Media", "Also of interest: a teaser", "Prices with tax", "Made with care"))
+    div = lambda xs: "".join(f"<div>{x}</div>" for x in xs)
+    page = f"<body>{before}<h1>Title</h1><div>By A. Writer</div><div>Monday</div><div>3 minutes</div>{div(paras[:2])}{div(items)}{div(paras[2:])}{after}</body>"
+    assert html.main_text(page).split("\n\n") == ["Title", "By A. Writer", "Monday", "3 minutes", *paras[:2], *items, *paras[2:]]
+    long = "A line far longer than all the others. " * 400
+    assert html.main_text(f"<body>{div([*paras, long, *paras])}{after}</body>").split("\n\n") == [*paras, long.strip(), *paras]
+    assert html.main_text(f"<body>{div(items)}</body>").split("\n\n") == items
+
+
 def test_surges():
     assert html.surges([0, 0, 0, 9, 9, 0, 9, 0, 0, 0, 0, 5]) == [(3, 7), (11, 12)]
     assert html.surges([]) == [] and html.surges([0, 0]) == []
