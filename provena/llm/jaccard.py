@@ -1,24 +1,34 @@
 """N-gram Jaccard join in metric space: regions around pivots, windows by the triangle inequality, exact recursion.
 
-A document is its set of distinct word shingles; documents of equal sets are one class. Unrelated texts all lie at a
-distance near 1 from each other, so windows around pivots that are documents would replicate every class to every region.
-The first level therefore measures distance on projections: the shingles are dealt by hash into m parts, m being more
-than the largest symmetric difference that a linked pair of that size may have. Two linked sets then agree wholly in some
-part, at distance 0 there, so each class goes into one region per part (the projection itself is the pivot), and into
-those of the next smaller size range if its size lies in the window of that range. Every linked pair meets in a region.
-
-Within a region the pivot is one class; each other one is compared with it (a star, not all pairs). Regions whose members
-are now in one component are done. In the others, members outside the pivot's component are open. They are the next pivots:
-each is compared with those members of another component whose distance from the first pivot, known exactly, differs from
-its own by at most 1 - t; by the triangle inequality no other can be linked. A member that was compared is closed, and so the
-recursion ends when no region has an open one. Components, not all links, are the result; copies of a class are not compared.
-
-Everything is a DataFrame job on (region, class) rows; sums come before shuffles, joins on a hot pivot are ones that
-adaptive execution can split, and nothing of the corpus reaches the driver. Level tables are written to the shared folder.
+A document is its set of distinct word shingles; documents of equal sets are one class, and one class is one point.
+
+1. *Regions.* Unrelated texts all lie at a distance near 1 from each other, so windows around pivots that are documents would
+   replicate every class to every region. The first level therefore measures distance on projections: the shingles are dealt
+   by hash into m parts, m being more than the largest symmetric difference that a linked pair of that size may have. Two
+   linked sets then agree wholly in some part, at distance 0 there, so each class goes into one region per part, and into
+   those of the next smaller size range if its size lies in the window of that range. Every linked pair meets in a region.
+   A region of one class is dropped where its hash is counted: what crosses the shuffle is packed, one entry per region
+   and class of a pack, and a region that a pack has twice or more sends one entry only.
+2. *Pivots and cells.* The pivot of a region is its most central class, the one that meets most others in its regions.
+   Regions of one pivot are one cell. Every member is compared with the pivot (a star, not all pairs); its symmetric difference from
+   the pivot is its deviation. Who is linked with the pivot, directly or over others, is settled.
+3. *Windows.* A member is open while it is in another component than its pivot. If an open x is linked with any member y, then
+   |dev(x)| - |dev(y)| is within their largest symmetric difference (the triangle inequality), and as x lies farther from the pivot
+   than a link reaches, the deviations share an element: at least half of |dev(x)| + |dev(y)| less that difference. In small
+   cells the windows alone select pairs. In others x and y must also share one of the first elements of their deviations,
+   those outside the pivot first, so edits that members do not have in common never make a pair, however large a group of near copies is.
+4. *Recursion.* A cell in which that still leaves too many pairs (a dense group away from the pivot) is split: its most central open
+   members become pivots, every member gets its distance from each, goes to the Voronoi cell of the nearest, and as a guest into
+   every other cell whose pivot is at most two link distances farther. Pairs with one who is at home meet there; and so on
+   from 2. The last level joins whatever is left, so nothing is lost at any depth.
+
+Components, not all links, are the result; copies of a class are not compared. Everything is a DataFrame job; joins on a hot
+pivot are ones that adaptive execution can split, and nothing of the corpus reaches the driver. Tables of a level are written
+to the shared folder and deleted when the next stands.
 
 Edge cases: null, empty and wordless texts have an empty set, and are linked with nothing; a text shorter than a shingle
 is one shingle; repeated rows are one class; a null id is its own class member and never names a component if another can;
-an empty table gives no rows. Shingles and sets are compared by 64-bit hashes.
+an empty table gives no rows; other columns, whatever their names, are not read. Shingles and sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,13 +38,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import dropped, let_go, table, written
+from provena.llm.common import dropped, let_go, small, table, written
 
-#: Open members of a region that are compared in a round, or all if so few pairs come of it.
-PROBES, DIRECT = 32, 2_000_000
+#: Members of a cell whose pairs in the window are compared without looking at deviations.
+SMALL = 8
+#: Pairs for each member from which a cell is split; pivots it is split by; depth at which no cell is split any more.
+DENSE, PIVOTS, DEPTH = 32, 4, 4
+#: Entries and documents of a pack, and entries of a task that looks for regions of two classes.
+PACK, PACK_DOCS, IN_TASK = 2_000_000, 60_000, 4_000_000
+#: Rows of representatives that are broadcast at most.
+MOST_KEYS = 1_000_000
 #: Ratio of the sizes of a range, and parts beyond the least number, so that up to this many may be empty in a set.
 RANGE, SPARE = 1.5, 2
 #: Bytes of text that are hashed at a time.
@@ -154,32 +170,140 @@ def _class_of(s: np.ndarray) -> int:
     return whole - (1 << 64) if whole >> 63 else whole
 
 
+def _n_regions(n: int, percent: int, cache: dict) -> int:
+    if n not in cache:
+        cache[n] = sum(parts for _, parts in _ranges(n, percent)) if n else 0
+    return cache[n]
+
+
 def described(docs: DataFrame, id_col: str, text: str, k: int, percent: int, also: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, the columns named in ``also``, n_shingles, cls (the class of its set) and regions."""
-    source = docs.select(id_col, text, *also)
+    """Per document: id, tid (text hash), the columns named in ``also``, n_shingles, n_regions and cls (the class of its set)."""
+    source = docs.select(F.col(id_col).alias("id"), _text_hash(text).alias("tid"), F.col(text).alias("text"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                n, cls, regions = [], [], []
-                for s in shingle_sets(part.column(1), k):
-                    n.append(len(s))
-                    cls.append(_class_of(s))
-                    regions.append(regions_of(s, percent, cache).astype(np.int64) if len(s) else np.zeros(0, np.int64))
-                at = np.concatenate([[0], np.cumsum([len(r) for r in regions])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(regions) if regions else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(n, pa.int64()), pa.array(cls, pa.int64()), lists], names=[id_col, *also, "n_shingles", "cls", "regions"])
+            n, cls = [], []
+            for s in shingle_sets(batch.column(2), k):
+                n.append(len(s))
+                cls.append(_class_of(s))
+            regions = [_n_regions(x, percent, cache) for x in n]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(n, pa.int64()), pa.array(regions, pa.int64()), pa.array(cls, pa.int64())], names=["id", "tid", *also, "n_shingles", "n_regions", "cls"])
+
+    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("id", "tid", *also))
+    return source.mapInArrow(run, f"{kinds}, n_shingles long, n_regions long, cls long")
+
+
+def _text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def _packed(regions: np.ndarray, owner: np.ndarray, classes: np.ndarray, buckets: int, number: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a pack: what is shared within it (bucket < 0), and for each bucket its single regions and, without owners, its shared ones."""
+    order = np.argsort(regions, kind="stable")
+    regions, owner = regions[order], owner[order]
+    head = np.concatenate([[True], regions[1:] != regions[:-1]])
+    size = np.diff(np.append(np.flatnonzero(head), len(regions)))
+    shared = np.repeat(size > 1, size)
+
+    def row(bucket: int, r: np.ndarray, o: np.ndarray) -> tuple:
+        used, index = np.unique(o, return_inverse=True)
+        return bucket, r.tobytes(), classes[used].tobytes(), index.astype(np.uint16).tobytes()
+
+    rows = []
+    r, o = regions[shared], owner[shared]
+    for a in range(0, len(r), 100_000):
+        rows.append(row(-1 - number - a // 100_000, r[a : a + 100_000], o[a : a + 100_000]))
+    for r, o in ((regions[~shared], owner[~shared]), (regions[shared & head], None)):
+        bucket = ((r >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            at = order[cuts[b] : cuts[b + 1]]
+            rows.append((b, r[at].tobytes(), b"", b"") if o is None else row(b, r[at], o[at]))
+    for a in range(0, len(rows), 64):
+        part = rows[a : a + 64]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "r", "c", "i"])
+
+
+class Shared:
+    """Finds regions of two classes or more in a stream of entries; holds one entry of each region, however many classes one has."""
+
+    def __init__(self):
+        self.r, self.c, self.f = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def found(self, r: np.ndarray, c: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From more entries (region, class, whether the region is known to be shared, the class then being none) the memberships that are now known to matter."""
+        r, c, f = np.concatenate([self.r, r]), np.concatenate([self.c, c]), np.concatenate([self.f, f])
+        order = np.argsort(r, kind="stable")
+        r, c, f = r[order], c[order], f[order]
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+        if not len(first):
+            return r, c
+        least = np.minimum.reduceat(np.where(f, np.iinfo(np.int64).max, c), first)
+        most = np.maximum.reduceat(np.where(f, np.iinfo(np.int64).min, c), first)
+        shared = np.logical_or.reduceat(f, first) | (most > least)
+        self.r, self.c, self.f = r[first], c[first], shared
+        out = np.repeat(shared, np.diff(np.append(first, len(r)))) & ~f
+        return r[out], c[out]
+
+
+def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFrame:
+    """(region, cls) of all regions that two classes or more have."""
+    source, buckets = docs.select(F.col(text).alias("text")), 4 * tasks
+
+    def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        number, size, parts, classes = 0, 0, [], {}
 
-    kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in (id_col, *also))
-    return source.mapInArrow(run, f"{kinds}, n_shingles long, cls long, regions array<long>")
+        def pack() -> Iterator[pa.RecordBatch]:
+            owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            return _packed(np.concatenate(parts), owner, np.fromiter(classes, np.int64, len(classes)), buckets, number)
+
+        for batch in batches:
+            for s in shingle_sets(batch.column(0), k):
+                if not len(s) or (cls := _class_of(s)) in classes:
+                    continue
+                classes[cls] = True
+                parts.append(regions_of(s, percent, cache))
+                size += len(parts[-1])
+                if size >= PACK or len(parts) >= PACK_DOCS:
+                    yield from pack()
+                    number, size, parts, classes = number + 1, 0, [], {}
+        if parts:
+            yield from pack()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, held, size = Shared(), [], 0
+
+        def rows(r: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(r), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(r[a : a + 100_000].astype(np.int64)), pa.array(c[a : a + 100_000])], names=["region", "cls"])
+
+        for batch in batches:
+            for bucket, r, c, i in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+                r = np.frombuffer(r, np.uint64)
+                owner = np.frombuffer(c, np.int64)[np.frombuffer(i, np.uint16)] if c else np.zeros(len(r), np.int64)
+                if bucket < 0:
+                    yield from rows(r, owner)
+                    continue
+                held.append((r, owner, np.full(len(r), not c)))
+                size += len(r)
+                if size >= 1_000_000:
+                    yield from rows(*state.found(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                    held, size = [], 0
+        if held:
+            yield from rows(*state.found(*(np.concatenate(x) for x in zip(*held, strict=True))))
+
+    packs = source.mapInArrow(regions, "bucket int, r binary, c binary, i binary")
+    return packs.repartition(tasks, "bucket").mapInArrow(merged, "region long, cls long").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """The sets of the wanted classes (cls, and one id that has it), as bytes."""
-    wanted = wanted.select(F.col("cls").alias("_cls"), F.col("rep").alias("_rep"))
-    source = docs.select(id_col, text).join(wanted, F.col(id_col).eqNullSafe(F.col("_rep"))).select("_cls", text)
+    """The sets of the wanted classes (cls, and id and tid of one text that has it), as bytes."""
+    wanted = small(wanted.select(F.col("cls").alias("_cls"), F.col("rep.id").alias("_rep"), F.col("rep.tid").alias("_tid")), MOST_KEYS)
+    source = docs.select(F.col(id_col).alias("id"), _text_hash(text).alias("tid"), F.col(text).alias("text"))
+    source = source.join(wanted, F.col("id").eqNullSafe(F.col("_rep")) & (F.col("tid") == F.col("_tid"))).select("_cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,28 +316,63 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) ->
                         raw.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["cls", "raw"])
 
-    return source.mapInArrow(run, "cls long, raw binary").groupBy("cls").agg(F.first("raw").alias("raw"))
+    return source.mapInArrow(run, "cls long, raw binary").dropDuplicates(["cls"])
 
 
-def compared(pairs: DataFrame, sets: DataFrame, keep: list[str], percent: int) -> DataFrame:
-    """``pairs`` (a, b and what is to keep) with linked and dist, the exact Jaccard distance."""
+def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b and more) with the sets of a and b, last."""
     left = sets.select(F.col("cls").alias("a"), F.col("raw").alias("ra"))
     right = sets.select(F.col("cls").alias("b"), F.col("raw").alias("rb"))
-    both = pairs.join(right, "b").join(left, "a").select(*keep, "a", "b", "ra", "rb")
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    return pairs.join(right, "b").join(left, "a").select(*pairs.columns, "ra", "rb")
+
+
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with linked, apart (the size of the symmetric difference) and the sizes na and nb."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, dist = [], []
-            for x, y in zip(batch.column(len(keep) + 2), batch.column(len(keep) + 3), strict=True):
+            linked, apart, na, nb = [], [], [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 common = len(np.intersect1d(p, q, assume_unique=True))
                 union = len(p) + len(q) - common
                 linked.append(100 * common >= percent * union)
-                dist.append(1 - common / union)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep) + 2], pa.array(linked, pa.bool_()), pa.array(dist, pa.float64())], names=[*keep, "a", "b", "linked", "dist"])
+                apart.append(union - common)
+                na.append(len(p))
+                nb.append(len(q))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (apart, na, nb))], names=["a", "b", "linked", "apart", "na", "nb"])
+
+    return _both(pairs.select("a", "b"), sets).mapInArrow(run, "a long, b long, linked boolean, apart long, na long, nb long")
+
 
-    return both.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "a long, b long, linked boolean, dist double"]))
+def reach(m: int, n: int, n_pivot: int, percent: int) -> tuple[int, int]:
+    """How many first elements of a deviation of m (of a set of n, from a pivot of n_pivot) count: those of an open member, and those
+    by which an open one finds this one."""
+    least = max(1, -((100 - percent) * n // percent - m))
+    half = (m * (100 + percent) + (100 - percent) * (n_pivot - n)) // (2 * (100 + percent))
+    return m - least + 1, m - half
+
+
+def deviations(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``members`` (cell, a, b, comp, open, apart, na, nb) with the first elements of their deviations, lx and ly of them."""
+    source = _both(members.select("cell", "a", "b", "comp", "open", "apart", "na", "nb"), sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lx, ly, elements = [], [], []
+            columns = [batch.column(i).to_pylist() for i in (4, 5, 6, 7)]
+            for is_open, m, n_pivot, n, x, y in zip(*columns, batch.column(8), batch.column(9), strict=True):
+                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                own, other = reach(m, n, n_pivot, percent)
+                lx.append(own if is_open else 0)
+                ly.append(other)
+                dev = np.concatenate([np.setdiff1d(q, p, assume_unique=True), np.setdiff1d(p, q, assume_unique=True)])
+                elements.append(dev[: max(lx[-1], other)].astype(np.int64))
+            at = np.concatenate([[0], np.cumsum([len(x) for x in elements])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(elements) if elements else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:6], batch.column(7), pa.array(lx, pa.int64()), pa.array(ly, pa.int64()), lists], names=["cell", "b", "comp", "open", "apart", "nb", "lx", "ly", "dev"])
+
+    return source.mapInArrow(run, "cell long, b long, comp long, open boolean, apart long, nb long, lx long, ly long, dev array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -235,48 +394,119 @@ def components(links: DataFrame) -> DataFrame:
         before = seen
 
 
-def _with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    return rows.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+def _roles(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Open members as x, all members as y."""
+    names = {"b": "{}", "comp": "c{}", "apart": "m{}", "nb": "n{}"}
+    x, y = ([F.col(c).alias(form.format(role)) for c, form in names.items()] for role in "xy")
+    return rows.filter("open").select("cell", *x, *more), rows.select("cell", *y, F.col("open").alias("oy"), *more)
+
+
+def _window(percent: int) -> tuple[Column, Column]:
+    """The largest symmetric difference of linked x and y, and whether their distances from the pivot allow a link that is still wanted."""
+    most = F.floor((100 - percent) * (F.col("nx") + F.col("ny")) / (100 + percent))
+    once = ~F.col("oy") | (F.col("x") < F.col("y"))  # of two open members one looks for the other
+    near = F.abs(F.col("mx") - F.col("my")) <= most
+    return most, near & (F.col("cx") != F.col("cy")) & (F.abs(F.col("nx") - F.col("ny")) <= most) & once
+
+
+def _candidates(members: DataFrame, sets: DataFrame, percent: int, split: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (a, b) to compare; the cells with too many, which are left out if they are to be split."""
+    most, wanted = _window(percent)
+    x, y = _roles(members.filter(F.col("n") <= SMALL))
+    pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
+    out = x.join(y, "cell").filter(wanted).select(*pair)
+    large = members.filter(F.col("n") > SMALL)
+    if large.isEmpty():
+        return out.distinct(), None
+    dev = written(deviations(large, sets, percent))
+    spread = dev.select("*", F.posexplode("dev").alias("i", "e"))
+    x, y = _roles(spread, "i", "e", "lx", "ly")
+    x, y = x.filter(F.col("i") < F.col("lx")).drop("lx", "ly"), y.filter(F.col("i") < F.col("ly")).drop("lx", "ly").withColumnRenamed("i", "j")
+    dense = None
+    if split:
+        both = x.groupBy("cell", "e").agg(F.count("*").alias("nx")).join(y.groupBy("cell", "e").agg(F.count("*").alias("ny")), ["cell", "e"])
+        pairs = both.groupBy("cell").agg(F.sum(F.col("nx") * F.col("ny")).alias("pairs"))
+        dense = written(pairs.join(large.groupBy("cell").agg(F.count("*").alias("n")), "cell").filter(F.col("pairs") > DENSE * F.col("n")).select("cell"))
+        x = x.join(dense, "cell", "left_anti")
+    # both deviations begin early enough for as many common elements as a link needs
+    common = F.floor((F.col("mx") + F.col("my") - most + 1) / 2)
+    early = (F.col("i") <= F.col("mx") - common) & (F.col("j") <= F.col("my") - common)
+    return out.unionByName(x.join(y, ["cell", "e"]).filter(wanted & early).select(*pair)).distinct(), dense
+
+
+def _split(members: DataFrame, dense: DataFrame, score: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The Voronoi cells that dense ones fall into: as cells of the first level, with linked."""
+    inside = members.join(dense, "cell", "left_semi").select("cell", "b", "home", "open")
+    ranked = Window.partitionBy("cell").orderBy(F.col("score").desc(), "b")
+    pivots = inside.filter("open").join(score.withColumnRenamed("cls", "b"), "b").withColumn("k", F.row_number().over(ranked)).filter(F.col("k") <= PIVOTS)
+    pivots = written(pivots.select("cell", F.col("b").alias("a")))
+    pairs = written(inside.join(pivots, "cell").filter("a != b").select("cell", "a", "b", "home"))
+    known = compared(pairs.select("a", "b").distinct(), sets, percent)
+    placed = pairs.join(known, ["a", "b"]).withColumn("d", 2 * F.col("apart") / (F.col("na") + F.col("nb") + F.col("apart")))
+    nearest = placed.groupBy("cell", "b").agg(F.min("d").alias("least"))
+    placed = placed.join(nearest, ["cell", "b"]).join(pivots.withColumnRenamed("a", "b"), ["cell", "b"], "left_anti")
+    inside = placed.filter(F.col("d") <= F.col("least") + 2 * (100 - percent) / 100 + 1e-9)
+    home = F.col("home") & (F.col("d") <= F.col("least") + 1e-12)
+    # pivots have met all others: they are no members, but their links count
+    links = pairs.select("a", "b").distinct().join(known.filter("linked"), ["a", "b"])
+    return written(inside.select(F.xxhash64("cell", "a").alias("cell"), "a", "b", home.alias("home"), "linked", "apart", "na", "nb").unionByName(
+        links.select(F.lit(None).cast("long").alias("cell"), "a", "b", F.lit(False).alias("home"), "linked", "apart", "na", "nb")))
+
+
+def _components_with(links: list[DataFrame]) -> DataFrame:
+    return components(reduce(DataFrame.unionByName, links))
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: id, the columns named in ``also``, n_shingles and component_id, the least id reachable by links of Jaccard similarity of ``percent`` or more."""
+    spark = docs.sparkSession
     rows = written(described(docs, id_col, text, k, percent, also))
-    members = rows.select("cls", F.explode("regions").alias("region"))
-    pivots = members.groupBy("region").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a < z").select("region", "a")
-    met = written(members.join(pivots, "region").select("region", "a", "cls").distinct())
-    reps = rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(id_col).alias("rep"))
-    wanted = met.select("cls").distinct().join(reps, "cls")
-    sets = written(_sets(docs, wanted, id_col, text, k))
-    let_go(docs.sparkSession)
-    star = written(compared(met.filter("cls != a").select("a", F.col("cls").alias("b")).distinct(), sets, [], percent))
-    links = star.filter("linked").select("a", "b")
-    comps = components(links)
-    # members with their distance from the pivot, by which the triangle inequality keeps apart who cannot be linked
-    placed = written(met.join(star.select("a", F.col("b").alias("cls"), "dist"), ["a", "cls"], "left").fillna(0.0, ["dist"]).withColumn("done", F.col("cls") == F.col("a")))
-    while True:
-        now = _with_comp(placed, comps)
-        pivot_comp = F.max(F.when(F.col("cls") == F.col("a"), F.col("comp"))).alias("home")
-        state = now.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), pivot_comp).filter("lo != hi").select("region", "n", "home")
-        now = now.join(state, "region").withColumn("open", ~F.col("done") & (F.col("comp") != F.col("home")))
-        now = written(now.select("region", "cls", "a", "dist", "done", "comp", "open", "n"))
-        count = now.filter("open").groupBy("region").agg(F.count("*").alias("n_open"))
-        ranked = Window.partitionBy("region").orderBy(F.xxhash64("cls"), "cls")
-        probes = now.filter("open").join(count, "region").withColumn("k", F.row_number().over(ranked)).filter((F.col("k") <= PROBES) | (F.col("n_open") * F.col("n") <= DIRECT))
-        probes = written(probes.select("region", F.col("cls").alias("x"), F.col("dist").alias("dx"), F.col("comp").alias("cx")))
-        if probes.isEmpty():
+    classes = rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("id", "tid")).alias("rep"), F.first("n_regions").alias("n_regions"))
+    entries = classes.agg(F.sum("n_regions")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // IN_TASK + 1)
+    shared = written(met(docs, text, k, percent, tasks))
+    let_go(spark)
+    # the more others a class meets in its regions, the nearer it is to the middle of them
+    sizes = shared.groupBy("region").agg((F.count("*") - 1).alias("others"))
+    score = shared.join(sizes, "region").groupBy("cls").agg(F.sum("others").alias("others"))
+    score = written(score.join(classes, "cls").select("cls", "rep", (F.col("others") / F.col("n_regions")).alias("score")))
+    sets = written(_sets(docs, score, id_col, text, k))
+    let_go(spark)
+    pivots = shared.join(score, "cls").groupBy("region").agg(F.max(F.struct("score", "cls")).alias("p")).select("region", F.col("p.cls").alias("a"))
+    pairs = written(shared.join(pivots, "region").filter("cls != a").select("a", F.col("cls").alias("b")).distinct())
+    dropped(shared)
+    let_go(spark)
+    cells = written(compared(pairs, sets, percent).select(F.col("a").alias("cell"), "a", "b", F.lit(True).alias("home"), "linked", "apart", "na", "nb"))
+    links = [written(cells.filter("linked").select("a", "b"))]
+    comps = _components_with(links)
+    for level in range(DEPTH + 1):
+        let_go(spark)
+        own = comps.select(F.col("cls").alias("b"), "comp")
+        now = cells.filter("cell is not null").join(own, "b", "left").join(comps.select(F.col("cls").alias("a"), F.col("comp").alias("of_pivot")), "a", "left")
+        now = now.withColumn("comp", F.coalesce("comp", "b")).withColumn("open", F.col("home") & (F.col("comp") != F.coalesce("of_pivot", "a")))
+        busy = now.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("open").alias("n_open")).filter("n > 1 and n_open > 0").select("cell", "n")
+        members = written(now.join(busy, "cell").select("cell", "a", "b", "home", "comp", "open", "apart", "na", "nb", "n"))
+        dropped(cells)
+        found, dense = _candidates(members, sets, percent, split=level < DEPTH)
+        found = written(compared(found, sets, percent).filter("linked").select("a", "b"))
+        links.append(found)
+        if dense is None or dense.isEmpty():
+            comps = _components_with(links) if not found.isEmpty() else comps
             break
-        near = F.abs(F.col("dist") - F.col("dx")) <= (100 - percent) / 100 + 1e-9
-        pairs = probes.join(now, "region").filter(near & (F.col("comp") != F.col("cx"))).select(F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b")).distinct()
-        links = links.unionByName(written(compared(pairs, sets, [], percent).filter("linked").select("a", "b")))
-        comps = components(links)
-        tried = probes.select("region", F.col("x").alias("cls"), F.lit(True).alias("_tried"))
-        placed = written(now.join(tried, ["region", "cls"], "left").select("region", "cls", "a", "dist", (F.col("done") | F.col("_tried").isNotNull()).alias("done")))
-    classes = _with_comp(rows.filter("n_shingles > 0").select(id_col, "cls"), comps)
-    named = classes.groupBy("comp").agg(F.min(id_col).alias("component_id"))
-    of_class = _with_comp(classes.select("cls").distinct(), comps).join(named, "comp").select("cls", "component_id")
-    out = rows.select(id_col, *also, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("cls")).alias("cls")).join(of_class, "cls", "left")
-    return out.select(id_col, *also, "n_shingles", F.coalesce("component_id", id_col).alias("component_id"))
+        cells = _split(members, dense, score, sets, percent)
+        links.append(written(cells.filter("linked").select("a", "b")))
+        comps = _components_with(links)
+    dropped(sets)
+    return _named(rows, comps, id_col, also)
+
+
+def _named(rows: DataFrame, comps: DataFrame, id_col: str, also: tuple[str, ...]) -> DataFrame:
+    """The rows with the least id of their component; a class in none is one of its own."""
+    least = rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = least.groupBy("comp").agg(F.min("least").alias("component_id"))
+    of_class = least.join(named, "comp").select("cls", "component_id")
+    out = rows.withColumn("cls", F.when(F.col("n_shingles") > 0, F.col("cls"))).join(of_class, "cls", "left")
+    return out.select(F.col("id").alias(id_col), *also, "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:

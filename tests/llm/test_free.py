@@ -201,13 +201,70 @@ def brute_links(rows, k, percent):
 
 
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (2, 50)])
-def test_jaccard_join_against_brute_force(docs, texts, k, percent, monkeypatch):
-    monkeypatch.setattr(jaccard, "DIRECT", 0)
-    monkeypatch.setattr(jaccard, "PROBES", 2)
+def test_jaccard_join_against_brute_force(docs, texts, k, percent):
     got = sorted((tuple(r) for r in jaccard.joined(docs, k=k, percent=percent).collect()), key=key)
     assert got == brute_links([(r[0], r[1]) for r in texts], k, percent)
 
 
+def near_groups(n, seed=3):
+    """Two texts and many copies of each with words put in, taken out or changed: some linked, most not, none of them with unique edits."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(2):
+        base = [rng.choice("abcdefghij") + rng.choice("klmnopqr") + str(rng.randint(0, 9)) for _ in range(120)] + ["shared", "end", "of", "all"] * 4
+        for _ in range(n):
+            words = list(base)
+            for _ in range(rng.randint(0, 9)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 1)] = [rng.choice(["xx", "yy"])] * rng.randint(0, 2)
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("k,percent,small,dense,depth", [(3, 90, 8, 32, 4), (3, 90, 1, 0, 2), (5, 80, 1, 0, 1), (5, 80, 1, 10**6, 4)])
+def test_jaccard_join_of_near_groups(spark, k, percent, small, dense, depth, monkeypatch):
+    for name, value in {"SMALL": small, "DENSE": dense, "DEPTH": depth, "PIVOTS": 2, "PACK": 3000}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = near_groups(50)
+    got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent).collect()), key=key)
+    assert got == brute_links(rows, k, percent)
+
+
+def test_reach_of_deviations():
+    """Any two linked sets, one of them not linked with the pivot, share one of the first elements of their deviations."""
+    rng = random.Random(1)
+    seen = 0
+    for _ in range(30_000):
+        percent = rng.choice([50, 80, 90])
+        p = frozenset(rng.sample(range(60), rng.randint(5, 40)))
+
+        def near(s, n):
+            return s ^ frozenset(rng.sample(range(60), rng.randint(0, n)))
+
+        x = near(p, 16)
+        y = near(x, 5)
+        if x and y and x != y and 100 * len(x & y) >= percent * len(x | y) and 100 * len(x & p) < percent * len(x | p) and y != p:
+            seen += 1
+            dx, dy = ([*sorted(s - p), *sorted(p - s)] for s in (x, y))
+            lx, ly = jaccard.reach(len(dx), len(x), len(p), percent)[0], jaccard.reach(len(dy), len(y), len(p), percent)[1]
+            common = (len(dx) + len(dy) - (100 - percent) * (len(x) + len(y)) // (100 + percent) + 1) // 2
+            assert set(dx[: min(lx, len(dx) - common + 1)]) & set(dy[: min(ly, len(dy) - common + 1)])
+    assert seen > 500
+
+
+def test_regions_of_two_classes_or_more():
+    rng = np.random.default_rng(2)
+    r, c = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(0, 12, 300)
+    state, got = jaccard.Shared(), set()
+    for a in range(0, 300, 37):
+        found = state.found(r[a : a + 37], c[a : a + 37], np.zeros(len(r[a : a + 37]), bool))
+        got |= set(zip(*(x.tolist() for x in found), strict=True))
+    kinds = collections.defaultdict(set)
+    for x, y in zip(r.tolist(), c.tolist(), strict=True):
+        kinds[x].add(y)
+    assert got == {(x, y) for x, ys in kinds.items() if len(ys) > 1 for y in ys} and len(state.r) == len(kinds)
+
+
 def test_jaccard_join_of_nothing(none):
     assert jaccard.joined(none).count() == 0
 
