@@ -4,19 +4,21 @@ A document is its set of distinct word shingles; documents of equal sets are one
 
 1. *Regions.* Unrelated texts all lie at a distance near 1 from each other, so windows around pivots that are documents would
    replicate every class to every region. The first level therefore measures distance on projections: the shingles are dealt
-   by hash into m parts, m being more than the largest symmetric difference that a linked pair of that size may have. Two
-   linked sets then agree wholly in some part, at distance 0 there, so each class goes into one region per part, and into
-   those of the next smaller size range if its size lies in the window of that range. Every linked pair meets in a region.
-   A region of one class is dropped where its hash is counted: what crosses the shuffle is packed, one entry per region
-   and class of a pack, and a region that a pack has twice or more sends one entry only.
+   by hash into m parts, m being a quarter more than the largest symmetric difference that a linked pair of that size may have. Two
+   linked sets then agree wholly in a fifth of the parts at least, at distance 0 there, so each class goes into one region per part, and
+   into those of smaller size ranges if its size lies in their windows. A linked pair meets in as many regions as its sizes
+   demand (``need``), so a class that meets others in fewer is out, and with it the regions it leaves to one class alone.
+   What crosses the shuffle is packed, one entry per region and class of a pack, and a region that a pack has twice or more sends one
+   entry only; a region of one class ends where the entries meet.
 2. *Pivots and cells.* The pivot of a region is its most central class, the one that meets most others in its regions.
    Regions of one pivot are one cell. Every member is compared with the pivot (a star, not all pairs); its symmetric difference from
    the pivot is its deviation. Who is linked with the pivot, directly or over others, is settled.
 3. *Windows.* A member is open while it is in another component than its pivot. If an open x is linked with any member y, then
    |dev(x)| - |dev(y)| is within their largest symmetric difference (the triangle inequality), and as x lies farther from the pivot
    than a link reaches, the deviations share an element: at least half of |dev(x)| + |dev(y)| less that difference. In small
-   cells the windows alone select pairs. In others x and y must also share one of the first elements of their deviations,
-   those outside the pivot first, so edits that members do not have in common never make a pair, however large a group of near copies is.
+   cells the windows alone select pairs. In others x and y must also share one of the first elements of their deviations, those outside
+   the pivot first, and the bitmaps of both parts of their deviations must differ in no more bits than the sets may in elements. So edits that
+   members do not have in common never make a pair, however large a group of near copies is.
 4. *Recursion.* A cell in which that still leaves too many pairs (a dense group away from the pivot) is split: its most central open
    members become pivots, every member gets its distance from each, goes to the Voronoi cell of the nearest, and as a guest into
    every other cell whose pivot is at most two link distances farther. Pairs with one who is at home meet there; and so on
@@ -47,12 +49,16 @@ from provena.llm.common import dropped, let_go, small, table, written
 SMALL = 8
 #: Pairs for each member from which a cell is split; pivots it is split by; depth at which no cell is split any more.
 DENSE, PIVOTS, DEPTH = 32, 4, 4
-#: Entries and documents of a pack, and entries of a task that looks for regions of two classes.
-PACK, PACK_DOCS, IN_TASK = 2_000_000, 60_000, 4_000_000
+#: Entries of a pack, and of a task that looks for regions of two classes.
+PACK, IN_TASK = 2_000_000, 4_000_000
 #: Rows of representatives that are broadcast at most.
 MOST_KEYS = 1_000_000
-#: Ratio of the sizes of a range, and parts beyond the least number, so that up to this many may be empty in a set.
-RANGE, SPARE = 1.5, 2
+#: Ratio of the sizes of a range; parts beyond the least number, as a share of it and at least.
+RANGE, SHARE, SPARE = 1.35, 4, 4
+#: Longs of a bitmap.
+MAPS = 2
+#: Times that classes with too few shared regions are taken out.
+PEELS = 2
 #: Bytes of text that are hashed at a time.
 SLICE = 2_000_000
 
@@ -134,35 +140,38 @@ def _most_apart(a: int, b: int, percent: int) -> int:
     return (100 - percent) * (a + b) // (100 + percent)
 
 
-def _ranges(n: int, percent: int) -> list[tuple[int, int]]:
-    """The size ranges (number, parts) in which a set of n elements takes part: its own, and the one below if a linked set may lie there."""
+def _ranges(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """The size ranges (number, parts, spare parts) in which a set of n elements takes part: its own, and those below in which a linked set may lie."""
     out, low, number = [], 1, 0
     while True:
         high = max(low, int(low * RANGE))
         if n * percent <= high * 100 and n >= low:
-            out.append((number, _most_apart(high, high * 100 // percent, percent) + 1 + SPARE))
+            least = _most_apart(high, high * 100 // percent, percent)
+            spare = max(SPARE, least // SHARE)
+            out.append((number, least + 1 + spare, spare))
         if n <= high:
             return out
         low, number = high + 1, number + 1
 
 
-def regions_of(s: np.ndarray, percent: int, cache: dict) -> np.ndarray:
-    """The regions of a set: for each range and part a hash of the range, the part and what the set has in it."""
+def regions_of(s: np.ndarray, percent: int, cache: dict) -> list[tuple[int, int, np.ndarray]]:
+    """The regions of a set: for each range its number, how many regions a linked set shares at least, and for each part a hash of the range, the part and what the set has in it."""
     out = []
     n = len(s)
     if n not in cache:
         cache[n] = _ranges(n, percent)
     part_hash = _mixed(s ^ np.uint64(0xA5A5A5A5DEADBEEF))
-    for number, parts in cache[n]:
+    for number, parts, spare in cache[n]:
         part = (part_hash % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         used, first = np.unique(part[order], return_index=True)
         sums = np.add.reduceat(_mixed(s)[order], first) if n else s
-        if parts - len(used) > SPARE:  # too many empty parts to be sure of a common one that is not
+        need = 1 + spare - (parts - len(used))  # of the parts that agree so many may be empty ones
+        if need < 1:  # too many empty parts to be sure of a common one that is not
             empty = np.setdiff1d(np.arange(parts), used)
-            used, sums = np.concatenate([used, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)])
-        out.append(_mixed(_mixed(sums + np.uint64(number + 1)) ^ (used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-    return np.concatenate(out)
+            used, sums, need = np.concatenate([used, empty]), np.concatenate([sums, np.zeros(len(empty), np.uint64)]), 1
+        out.append((number, need, _mixed(_mixed(sums + np.uint64(number + 1)) ^ (used.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))))
+    return out
 
 
 def _class_of(s: np.ndarray) -> int:
@@ -172,7 +181,7 @@ def _class_of(s: np.ndarray) -> int:
 
 def _n_regions(n: int, percent: int, cache: dict) -> int:
     if n not in cache:
-        cache[n] = sum(parts for _, parts in _ranges(n, percent)) if n else 0
+        cache[n] = sum(parts for _, parts, _ in _ranges(n, percent)) if n else 0
     return cache[n]
 
 
@@ -198,50 +207,64 @@ def _text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
-def _packed(regions: np.ndarray, owner: np.ndarray, classes: np.ndarray, buckets: int, number: int) -> Iterator[pa.RecordBatch]:
-    """Rows of a pack: what is shared within it (bucket < 0), and for each bucket its single regions and, without owners, its shared ones."""
-    order = np.argsort(regions, kind="stable")
-    regions, owner = regions[order], owner[order]
+#: A class in a range: the class, the number of the range, and how many regions it must share.
+OWNER = np.dtype([("cls", "<i8"), ("number", "<i4"), ("need", "<i4")])
+#: Bytes of a region within its bucket; the bucket tells the rest.
+OF_REGION = 6
+
+
+def _packed(regions: np.ndarray, owner: np.ndarray, owners: np.ndarray, buckets: int, number: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a pack, by bucket: its single regions with their owners, its shared ones, which are known to be, and, without owners, one entry for each of these."""
+    bucket = ((regions >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((regions, bucket))
+    regions, owner, bucket = regions[order], owner[order], bucket[order]
+    low = np.ascontiguousarray(regions).view(np.uint8).reshape(-1, 8)[:, :OF_REGION]
     head = np.concatenate([[True], regions[1:] != regions[:-1]])
     size = np.diff(np.append(np.flatnonzero(head), len(regions)))
     shared = np.repeat(size > 1, size)
-
-    def row(bucket: int, r: np.ndarray, o: np.ndarray) -> tuple:
-        used, index = np.unique(o, return_inverse=True)
-        return bucket, r.tobytes(), classes[used].tobytes(), index.astype(np.uint16).tobytes()
-
     rows = []
-    r, o = regions[shared], owner[shared]
-    for a in range(0, len(r), 100_000):
-        rows.append(row(-1 - number - a // 100_000, r[a : a + 100_000], o[a : a + 100_000]))
-    for r, o in ((regions[~shared], owner[~shared]), (regions[shared & head], None)):
-        bucket = ((r >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for kind, wanted in ((0, ~shared), (1, shared), (2, shared & head)):
+        at = np.flatnonzero(wanted)
+        cuts = np.searchsorted(bucket[at], np.arange(buckets + 1))
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            at = order[cuts[b] : cuts[b + 1]]
-            rows.append((b, r[at].tobytes(), b"", b"") if o is None else row(b, r[at], o[at]))
+            own = at[cuts[b] : cuts[b + 1]]
+            used, index = np.unique(owner[own], return_inverse=True)
+            names, places = (b"", b"") if kind == 2 else (owners[used].tobytes(), index.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes())
+            # what is known to be shared may be unpacked anywhere
+            rows.append((b, -1 - (number * buckets + b) % 1_000_003 if kind == 1 else b, low[own].tobytes(), names, places))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     for a in range(0, len(rows), 64):
         part = rows[a : a + 64]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "r", "c", "i"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in part], kind) for i, kind in enumerate(kinds)], names=["bucket", "place", "r", "c", "i"])
+
+
+def _unpacked(bucket: int, r: bytes, c: bytes, i: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Regions and owners of a row; no owners if it has none."""
+    low = np.zeros((len(r) // OF_REGION, 8), np.uint8)
+    low[:, :OF_REGION] = np.frombuffer(r, np.uint8).reshape(-1, OF_REGION)
+    regions = low.view(np.uint64).ravel() + _mixed(np.array([bucket + 1], np.uint64))
+    if not c:
+        return regions, np.zeros(len(regions), OWNER)
+    index = np.frombuffer(i, np.uint16 if len(i) == 2 * len(regions) else np.uint32)
+    return regions, np.frombuffer(c, OWNER)[index]
 
 
 class Shared:
     """Finds regions of two classes or more in a stream of entries; holds one entry of each region, however many classes one has."""
 
     def __init__(self):
-        self.r, self.c, self.f = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.r, self.c, self.f = np.zeros(0, np.uint64), np.zeros(0, OWNER), np.zeros(0, bool)
 
     def found(self, r: np.ndarray, c: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From more entries (region, class, whether the region is known to be shared, the class then being none) the memberships that are now known to matter."""
+        """From more entries (region, owner, whether the region is known to be shared, the owner then being none) the memberships that are now known to matter."""
         r, c, f = np.concatenate([self.r, r]), np.concatenate([self.c, c]), np.concatenate([self.f, f])
         order = np.argsort(r, kind="stable")
         r, c, f = r[order], c[order], f[order]
         first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
         if not len(first):
             return r, c
-        least = np.minimum.reduceat(np.where(f, np.iinfo(np.int64).max, c), first)
-        most = np.maximum.reduceat(np.where(f, np.iinfo(np.int64).min, c), first)
+        least = np.minimum.reduceat(np.where(f, np.iinfo(np.int64).max, c["cls"]), first)
+        most = np.maximum.reduceat(np.where(f, np.iinfo(np.int64).min, c["cls"]), first)
         shared = np.logical_or.reduceat(f, first) | (most > least)
         self.r, self.c, self.f = r[first], c[first], shared
         out = np.repeat(shared, np.diff(np.append(first, len(r)))) & ~f
@@ -249,27 +272,29 @@ class Shared:
 
 
 def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFrame:
-    """(region, cls) of all regions that two classes or more have."""
+    """(region, cls, number, need) of all regions that two classes or more have."""
     source, buckets = docs.select(F.col(text).alias("text")), 4 * tasks
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        number, size, parts, classes = 0, 0, [], {}
+        number, size, parts, owners, classes = 0, 0, [], [], set()
 
         def pack() -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            return _packed(np.concatenate(parts), owner, np.fromiter(classes, np.int64, len(classes)), buckets, number)
+            return _packed(np.concatenate(parts), owner, np.array(owners, OWNER), buckets, number)
 
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
                 if not len(s) or (cls := _class_of(s)) in classes:
                     continue
-                classes[cls] = True
-                parts.append(regions_of(s, percent, cache))
-                size += len(parts[-1])
-                if size >= PACK or len(parts) >= PACK_DOCS:
+                classes.add(cls)
+                for n, need, own in regions_of(s, percent, cache):
+                    parts.append(own)
+                    owners.append((cls, n, need))
+                    size += len(own)
+                if size >= PACK:
                     yield from pack()
-                    number, size, parts, classes = number + 1, 0, [], {}
+                    number, size, parts, owners, classes = number + 1, 0, [], [], set()
         if parts:
             yield from pack()
 
@@ -278,13 +303,13 @@ def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFra
 
         def rows(r: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(r), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(r[a : a + 100_000].astype(np.int64)), pa.array(c[a : a + 100_000])], names=["region", "cls"])
+                part = c[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(r[a : a + 100_000].astype(np.int64)), *(pa.array(np.ascontiguousarray(part[x])) for x in OWNER.names)], names=["region", *OWNER.names])
 
         for batch in batches:
-            for bucket, r, c, i in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
-                r = np.frombuffer(r, np.uint64)
-                owner = np.frombuffer(c, np.int64)[np.frombuffer(i, np.uint16)] if c else np.zeros(len(r), np.int64)
-                if bucket < 0:
+            for bucket, place, r, c, i in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+                r, owner = _unpacked(bucket, r, c, i)
+                if place < 0:
                     yield from rows(r, owner)
                     continue
                 held.append((r, owner, np.full(len(r), not c)))
@@ -295,8 +320,20 @@ def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFra
         if held:
             yield from rows(*state.found(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    packs = source.mapInArrow(regions, "bucket int, r binary, c binary, i binary")
-    return packs.repartition(tasks, "bucket").mapInArrow(merged, "region long, cls long").distinct()
+    packs = source.mapInArrow(regions, "bucket int, place int, r binary, c binary, i binary")
+    return packs.repartition(tasks, "place").mapInArrow(merged, "region long, cls long, number int, need int").distinct()
+
+
+def peeled(shared: DataFrame) -> DataFrame:
+    """``shared`` without classes that meet others in fewer regions of a range than a linked one would, and without regions of one class."""
+    for _ in range(PEELS):
+        enough = shared.groupBy("cls", "number").agg(F.count("*").alias("n"), F.max("need").alias("least")).filter("n >= least").select("cls", "number")
+        left = shared.join(enough, ["cls", "number"], "left_semi")
+        still = left.groupBy("region").agg(F.count("*").alias("n")).filter("n > 1").select("region")
+        after = written(left.join(still, "region", "left_semi"))
+        dropped(shared)
+        shared = after
+    return shared
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
@@ -353,26 +390,36 @@ def reach(m: int, n: int, n_pivot: int, percent: int) -> tuple[int, int]:
     return m - least + 1, m - half
 
 
+def _bitmaps(elements: np.ndarray) -> list[int]:
+    """MAPS longs with the bits of the elements' hashes: those of two sets differ in no more bits than the sets in elements."""
+    bit = _mixed(elements + np.uint64(0x5BD1E995)) % np.uint64(64 * MAPS)
+    out = np.zeros(MAPS, np.uint64)
+    np.bitwise_or.at(out, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64).tolist()
+
+
 def deviations(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``members`` (cell, a, b, comp, open, apart, na, nb) with the first elements of their deviations, lx and ly of them."""
+    """``members`` (cell, a, b, comp, open, apart, na, nb) with the first elements of their deviations, lx and ly of them, and the bitmaps of both parts."""
     source = _both(members.select("cell", "a", "b", "comp", "open", "apart", "na", "nb"), sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lx, ly, elements = [], [], []
+            lx, ly, elements, maps = [], [], [], []
             columns = [batch.column(i).to_pylist() for i in (4, 5, 6, 7)]
             for is_open, m, n_pivot, n, x, y in zip(*columns, batch.column(8), batch.column(9), strict=True):
                 p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 own, other = reach(m, n, n_pivot, percent)
                 lx.append(own if is_open else 0)
                 ly.append(other)
-                dev = np.concatenate([np.setdiff1d(q, p, assume_unique=True), np.setdiff1d(p, q, assume_unique=True)])
+                new, gone = np.setdiff1d(q, p, assume_unique=True), np.setdiff1d(p, q, assume_unique=True)
+                maps.append(_bitmaps(new) + _bitmaps(gone))
+                dev = np.concatenate([new, gone])
                 elements.append(dev[: max(lx[-1], other)].astype(np.int64))
             at = np.concatenate([[0], np.cumsum([len(x) for x in elements])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(elements) if elements else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:6], batch.column(7), pa.array(lx, pa.int64()), pa.array(ly, pa.int64()), lists], names=["cell", "b", "comp", "open", "apart", "nb", "lx", "ly", "dev"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:6], batch.column(7), pa.array(lx, pa.int64()), pa.array(ly, pa.int64()), lists, pa.array(maps, pa.list_(pa.int64()))], names=["cell", "b", "comp", "open", "apart", "nb", "lx", "ly", "dev", "maps"])
 
-    return source.mapInArrow(run, "cell long, b long, comp long, open boolean, apart long, nb long, lx long, ly long, dev array<long>")
+    return source.mapInArrow(run, "cell long, b long, comp long, open boolean, apart long, nb long, lx long, ly long, dev array<long>, maps array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -420,18 +467,19 @@ def _candidates(members: DataFrame, sets: DataFrame, percent: int, split: bool)
         return out.distinct(), None
     dev = written(deviations(large, sets, percent))
     spread = dev.select("*", F.posexplode("dev").alias("i", "e"))
-    x, y = _roles(spread, "i", "e", "lx", "ly")
-    x, y = x.filter(F.col("i") < F.col("lx")).drop("lx", "ly"), y.filter(F.col("i") < F.col("ly")).drop("lx", "ly").withColumnRenamed("i", "j")
-    dense = None
-    if split:
-        both = x.groupBy("cell", "e").agg(F.count("*").alias("nx")).join(y.groupBy("cell", "e").agg(F.count("*").alias("ny")), ["cell", "e"])
-        pairs = both.groupBy("cell").agg(F.sum(F.col("nx") * F.col("ny")).alias("pairs"))
-        dense = written(pairs.join(large.groupBy("cell").agg(F.count("*").alias("n")), "cell").filter(F.col("pairs") > DENSE * F.col("n")).select("cell"))
-        x = x.join(dense, "cell", "left_anti")
+    x, y = _roles(spread, "i", "e", "lx", "ly", "maps")
+    x, y = x.filter(F.col("i") < F.col("lx")).drop("lx", "ly"), y.filter(F.col("i") < F.col("ly")).drop("lx", "ly").withColumnsRenamed({"i": "j", "maps": "other"})
     # both deviations begin early enough for as many common elements as a link needs
     common = F.floor((F.col("mx") + F.col("my") - most + 1) / 2)
     early = (F.col("i") <= F.col("mx") - common) & (F.col("j") <= F.col("my") - common)
-    return out.unionByName(x.join(y, ["cell", "e"]).filter(wanted & early).select(*pair)).distinct(), dense
+    differ = sum((F.bit_count(F.get("maps", F.lit(k)).bitwiseXOR(F.get("other", F.lit(k)))) for k in range(2 * MAPS)), F.lit(0))
+    found = written(x.join(y, ["cell", "e"]).filter(wanted & early & (differ <= most)).select("cell", *pair).distinct())
+    dropped(dev)
+    if not split:
+        return out.unionByName(found.drop("cell")).distinct(), None
+    dense = found.groupBy("cell").agg(F.count("*").alias("pairs")).join(large.groupBy("cell").agg(F.count("*").alias("n")), "cell")
+    dense = written(dense.filter(F.col("pairs") > DENSE * F.col("n")).select("cell"))
+    return out.unionByName(found.join(dense, "cell", "left_anti").drop("cell")).distinct(), dense
 
 
 def _split(members: DataFrame, dense: DataFrame, score: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -466,6 +514,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // IN_TASK + 1)
     shared = written(met(docs, text, k, percent, tasks))
     let_go(spark)
+    shared = peeled(shared)
     # the more others a class meets in its regions, the nearer it is to the middle of them
     sizes = shared.groupBy("region").agg((F.count("*") - 1).alias("others"))
     score = shared.join(sizes, "region").groupBy("cls").agg(F.sum("others").alias("others"))

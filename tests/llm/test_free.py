@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 import public_tokenizers
 from provena.llm import bpe, html, jaccard, pitmanyor, repeats, sharding, suffix, tokencount
@@ -254,41 +255,67 @@ def test_reach_of_deviations():
 
 def test_regions_of_two_classes_or_more():
     rng = np.random.default_rng(2)
-    r, c = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(0, 12, 300)
+    r, c = rng.integers(0, 40, 300).astype(np.uint64), np.zeros(300, jaccard.OWNER)
+    c["cls"] = rng.integers(0, 12, 300)
     state, got = jaccard.Shared(), set()
     for a in range(0, 300, 37):
         found = state.found(r[a : a + 37], c[a : a + 37], np.zeros(len(r[a : a + 37]), bool))
-        got |= set(zip(*(x.tolist() for x in found), strict=True))
+        got |= set(zip(found[0].tolist(), found[1]["cls"].tolist(), strict=True))
     kinds = collections.defaultdict(set)
-    for x, y in zip(r.tolist(), c.tolist(), strict=True):
+    for x, y in zip(r.tolist(), c["cls"].tolist(), strict=True):
         kinds[x].add(y)
     assert got == {(x, y) for x, ys in kinds.items() if len(ys) > 1 for y in ys} and len(state.r) == len(kinds)
 
 
+def test_linked_sets_share_the_regions_they_need():
+    rng = np.random.default_rng(3)
+    seen = 0
+    for _ in range(1500):
+        percent, cache = int(rng.choice([50, 80, 90])), {}
+        x = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 120)).astype(np.uint64))
+        gone = x[rng.random(len(x)) < rng.random() * 0.3]
+        y = np.unique(np.concatenate([np.setdiff1d(x, gone), rng.integers(0, 1 << 60, rng.integers(0, 1 + len(x) // 6)).astype(np.uint64)]))
+        common = len(np.intersect1d(x, y))
+        if len(y) and 100 * common >= percent * (len(x) + len(y) - common):
+            seen += 1
+            a, b = ({n: (need, r) for n, need, r in jaccard.regions_of(z, percent, cache)} for z in (x, y))
+            assert any(len(np.intersect1d(a[n][1], b[n][1])) >= max(a[n][0], b[n][0]) for n in a.keys() & b.keys())
+    assert seen > 300
+
+
 def test_jaccard_join_of_nothing(none):
     assert jaccard.joined(none).count() == 0
 
 
-def test_token_counts_against_brute_force():
-    vocab = tokencount.scores(RANKS)
-    counter = tokencount.Counter(vocab)
+def brute_count(w, vocab, longest):
+    best = [(0.0, 0)]
+    for i in range(1, len(w) + 1):
+        best.append(max((best[j][0] + vocab[w[j:i]], best[j][1] - 1) for j in range(max(0, i - longest), i) if w[j:i] in vocab))
+    return -best[-1][1]
 
-    def brute(w):
-        best = [(0.0, 0)]
-        for i in range(1, len(w) + 1):
-            best.append(max((best[j][0] + vocab[w[j:i]], best[j][1] - 1) for j in range(i) if w[j:i] in vocab))
-        return -best[-1][1]
 
+def test_token_counts_against_brute_force(monkeypatch):
+    vocab = tokencount.scores(RANKS)
+    counter = tokencount.Counter(vocab)
     rng = random.Random(2)
-    for _ in range(800):
-        w = "".join(rng.choice(["th", "e", "er", " ", "tion", "é", "x", "ing", "9", "的"]) for _ in range(rng.randint(1, 12))).encode()
-        assert counter.walk(w) == brute(w)
+    for n in [rng.randint(1, 12) for _ in range(800)] + [200, 500, 900]:
+        w = "".join(rng.choice(["th", "e", "er", " ", "tion", "é", "x", "ing", "9", "的"]) for _ in range(n)).encode()
+        assert counter.walk(w) == brute_count(w, vocab, counter.longest)
     assert counter.of("") == (0, 0)
+    nodes = len(counter.best)
+    assert counter.walk(b"abcde" * 200_000) > 0 and len(counter.best) <= nodes + counter.depth
+    monkeypatch.setattr(tokencount, "AT_ONCE", 50)
+    text = "some words and 12345 more, " * 40
+    assert counter.of(text) == tokencount.Counter(vocab).of(text)
 
 
 def test_token_count_query(spark, folder, texts, none):
-    got = tokencount.op8_tokens(spark, folder).collect()
-    assert len(got) == len(texts) and all(r.n_tokens >= r.n_pretokens for r in got)
+    got = sorted((tuple(r) for r in tokencount.op8_tokens(spark, folder).collect()), key=key)
+    vocab, cut = tokencount.scores(RANKS), regex.compile(bpe.PATTERN)
+    longest = max(map(len, vocab))
+    words = [cut.findall(r[1] or "") for r in texts]
+    want = [(r[0], len(ws), sum(brute_count(w.encode(), vocab, longest) for w in ws)) for r, ws in zip(texts, words, strict=True)]
+    assert got == sorted(want, key=key)
     assert tokencount.counted(none, RANKS).count() == 0
 
 
@@ -338,6 +365,44 @@ def test_line_blocks_of_pages_without_semantic_tags():
     assert html.main_text(f"<body>{div(items)}</body>").split("\n\n") == items
 
 
+def test_line_blocks_inside_a_named_article():
+    links = "".join(f"<li><a href=/{i}>page {i}</a></li>" for i in range(4))
+    two = "<p><a href=x>one</a></p><p><a href=y>two</a></p>"
+    assert html.main_text(f"<article><h1>T</h1><p>First.</p><ul>{links}</ul><p>Second.</p>{two}</article>").split("\n\n") == ["T", "First.", "Second.", "one", "two"]
+    assert html.main_text(f"<article><ul>{links}</ul></article>").split("\n\n") == [f"page {i}" for i in range(4)]
+    rng = random.Random(4)
+    for _ in range(300):
+        size = [rng.choice([0, 0, 0, 1, 50]) for _ in range(rng.randint(0, 12))]
+        dives = {j for i in range(len(size)) for j in range(i, i + html.WINDOW) if i + html.WINDOW <= len(size) and not any(size[i : i + html.WINDOW])}
+        assert html.between(size) == [j not in dives or len(dives) == len(size) for j in range(len(size))]
+
+
+ARTICLE = "Article text that goes on for a while, with more than a few words in it. " * 4
+
+
+@pytest.mark.parametrize("page", [
+    "<ul><li class='nav-item'><a href=a>A</a><li class='nav-item'><a href=b>B</a></ul><div id=content><p>{}</p></div>",
+    "<a name=top><p>{}</p>",
+    "<div class=share><a href=f>F</a><div id=content><p>{}</p></div>",
+    "<div><p>{}</p></div><div>We use cookies.</div><div>OK</div><div>Copyright 2020 ACME</div>",
+    "<div>{}</div>",
+])
+def test_pages_with_sloppy_markup(page):
+    got = html.main_text("<body>" + page.format(ARTICLE) + "</body>")
+    assert got.startswith(ARTICLE.strip()) or got == ARTICLE.strip()
+
+
+def test_parts_between_link_lines_both_stay():
+    links = "".join(f"<p><a href=/{i}>page {i}</a></p>" for i in range(4))
+    got = html.main_text(f"<body><div><p>{ARTICLE}</p>{links}<p>Part two. {ARTICLE}</p></div></body>")
+    assert got.startswith(ARTICLE.strip()) and got.endswith(("Part two. " + ARTICLE).strip())
+
+
+def test_columns_of_the_result_replace_those_of_the_pages(spark):
+    out = html.extracted(spark.createDataFrame([(1, "<p>a</p>", "old", 9)], "page_id long, html string, text string, n_chars int"))
+    assert out.columns == ["page_id", "text", "n_chars"] and tuple(out.first()) == (1, "a", 1)
+
+
 def test_surges():
     assert html.surges([0, 0, 0, 9, 9, 0, 9, 0, 0, 0, 0, 5]) == [(3, 7), (11, 12)]
     assert html.surges([]) == [] and html.surges([0, 0]) == []
