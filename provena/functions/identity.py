@@ -36,7 +36,7 @@ def valid_identity(sha: Column, size: Column) -> Column:
 def quarantine_name(task: Column, attempt: Column, path: Column) -> Column:
     """``a<8 digits>.<sha256 of task NUL attempt NUL path>.artifact``"""
     digest = F.sha2(F.concat_ws("\x00", task, attempt.cast("string"), path), 256)
-    return F.concat(F.lit("a"), F.lpad(attempt.cast("string"), 8, "0"), F.lit("."), digest, F.lit(".artifact"))
+    return F.concat(F.lit("a"), F.format_string("%08d", attempt), F.lit("."), digest, F.lit(".artifact"))
 
 
 def job_name(uid: Column, action: Column, spec_sha: Column, prefix: str = "agentrun-") -> Column:
@@ -45,7 +45,7 @@ def job_name(uid: Column, action: Column, spec_sha: Column, prefix: str = "agent
 
 
 def log_name(task: Column, attempt: Column, stream: str) -> Column:
-    return F.concat(F.lit("logs/"), task, F.lit("/attempt-"), F.lpad(attempt.cast("string"), 4, "0"), F.lit(f".{stream}.log"))
+    return F.concat(F.lit("logs/"), task, F.lit("/attempt-"), F.format_string("%04d", attempt), F.lit(f".{stream}.log"))
 
 
 def bare_digest(descriptor: Column) -> Column:
@@ -67,8 +67,3 @@ def execution_spec_sha(schema_version: str, pvc: Column, suite: Column, suite_sh
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), ts)
-
-
-def utc_now() -> Column:
-    """ISO text with Z; never part of hashed content."""
-    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")

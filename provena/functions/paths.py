@@ -50,11 +50,6 @@ def alias_key(paths: pd.Series) -> pd.Series:
     return paths.map(key, na_action="ignore")
 
 
-@F.pandas_udf(T.BooleanType())
-def is_nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: unicodedata.is_normalized("NFC", x), na_action="ignore")
-
-
 @F.pandas_udf(T.StringType())
 def subject_key(texts: pd.Series) -> pd.Series:
     """NFKC and case folding: spellings of one subject agree."""

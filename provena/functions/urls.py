@@ -11,33 +11,36 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LABEL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?")
+#: Names that are never public, and the longest URL and host.
+PRIVATE_HOSTS, MAX_URL, MAX_HOST = ("localhost", "local", "internal"), 2048, 253
+LABEL = re.compile(r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?")
+
+
+def _public_host(name: str) -> str | None:
+    """A host in one spelling: a global address in short form, or an ASCII name of two labels or more; None for others."""
+    name = name.casefold().rstrip(".")
+    try:
+        address = ipaddress.ip_address(name)
+        return address.compressed if address.is_global else None
+    except ValueError:
+        pass
+    labels = name.encode("idna").decode("ascii").casefold().split(".")
+    public = len(labels) > 1 and labels[-1] not in PRIVATE_HOSTS and len(".".join(labels)) <= MAX_HOST and all(map(LABEL.fullmatch, labels))
+    return ".".join(labels) if public else None
 
 
 def url_key_of(url: str) -> str | None:
     """``https://host[:port]/path`` in one spelling, or None for a URL that is not public HTTPS."""
+    plain = len(url) <= MAX_URL and "\\" not in url and url.isprintable() and url == url.strip()
     try:
-        if "\\" in url or len(url) > 2048 or url != url.strip() or not url.isprintable():
+        parts = urlsplit(url) if plain else None
+        if not parts or parts.scheme != "https" or parts.query or "@" in parts.netloc or not parts.hostname or parts.port == 0:
             return None
-        parts = urlsplit(url)
-        host, port = parts.hostname, parts.port
-        if parts.scheme != "https" or not host or parts.username is not None or parts.password is not None or port == 0 or parts.query:
-            return None
-        host = host.casefold().rstrip(".")
-        if host == "localhost" or host.endswith((".localhost", ".local", ".internal")):
-            return None
-        try:
-            address = ipaddress.ip_address(host)
-            if not address.is_global:
-                return None
-            host = address.compressed
-        except ValueError:
-            host = host.encode("idna").decode("ascii").casefold()
-            if len(host) > 253 or "." not in host or not all(LABEL.fullmatch(x) for x in host.split(".")):
-                return None
-        return f"https://{host}{'' if port in (None, 443) else f':{port}'}{parts.path or '/'}"
+        host = _public_host(parts.hostname)
     except ValueError:
         return None
+    port = f":{parts.port}" if parts.port not in (None, 443) else ""
+    return host and f"https://{host}{port}{parts.path or '/'}"
 
 
 @F.pandas_udf(T.StringType())
@@ -55,9 +58,15 @@ def native_url_key(url: Column) -> Column:
     return F.when(fine, F.concat(F.lit("https://"), host, F.when(port.isin("", "443"), "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path)))
 
 
+def any_url_key(url: Column) -> Column:
+    """``url_key``, with built-in functions wherever these can tell it, and Python for the others."""
+    known = native_url_key(url)
+    return F.coalesce(known, url_key(F.when(known.isNull() & url.startswith("https://"), url)))
+
+
 def bounded_line(value: Column, most: int, least: int = 1) -> Column:
     """Printable, on one line, stripped, within a number of code points."""
-    return F.coalesce(F.char_length(value).between(least, most) & (F.trim(value) == value) & ~value.rlike(r"[\p{C}\p{Zl}\p{Zp}]"), F.lit(False))
+    return F.coalesce(F.char_length(value).between(least, most) & ~value.rlike(r"^[\s\p{Z}]|[\s\p{Z}]$|[\p{C}\p{Zl}\p{Zp}]"), F.lit(False))
 
 
 def iso_date(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provena.functions.urls import bounded_line, iso_date
 
 #: Kinds whose records are counted one by one, and those counted by distinct subject.
-BY_RECORD, BY_SUBJECT = ("reproduction", "review"), ("user", "institution")
+BY_RECORD, BY_SUBJECT = ("independent_reproduction", "third_party_review"), ("independent_user", "institutional_adoption")
 
 
 def faults(as_of: str, key: Column) -> Column:
@@ -36,10 +36,10 @@ def faults(as_of: str, key: Column) -> Column:
 
 
 def doubles(records: DataFrame, *columns: str) -> DataFrame:
-    """Values that stand in several records, by column."""
+    """Values that stand in several records, by column. URLs are compared by their key (``urls.url_key``), so give that column."""
     out = None
     for name in columns:
-        found = records.groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n")).filter("n > 1").withColumn("column", F.lit(name))
+        found = records.groupBy(F.col(name).cast("string").alias("value")).agg(F.count("*").alias("n")).filter("n > 1 and value is not null").withColumn("column", F.lit(name))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -123,7 +123,8 @@ def out_of_order(entries: DataFrame, group: str, order: str, path: str = "path")
 
 def history(baseline: DataFrame, sealed: DataFrame) -> DataFrame:
     """Replay: after each sealing step (run, step) the cumulative number and bytes of outputs, baseline included."""
-    base = baseline.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    base = baseline.agg(F.count("*").alias("_n"), F.coalesce(F.sum("size"), F.lit(0)).alias("_size"))  # one row
     per = sealed.groupBy("run", "step").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     w = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("run", "step", (base["n"] + F.sum("n").over(w)).alias("n_after"), (base["size"] + F.sum("size").over(w)).cast("long").alias("bytes_after"))
+    after = per.select("run", "step", F.sum("n").over(w).alias("n"), F.sum("size").over(w).alias("size")).join(F.broadcast(base))
+    return after.select("run", "step", (F.col("_n") + F.col("n")).alias("n_after"), (F.col("_size") + F.col("size")).cast("long").alias("bytes_after"))

@@ -29,7 +29,7 @@ def projected_state(spark, sf):
 
 
 def manifest_violations(spark, sf):
-    return manifest.violations(t.document_manifest(spark, sf))
+    return manifest.violations(t.flawed_manifest(spark, sf))
 
 
 def workspace_history(spark, sf):
@@ -59,8 +59,9 @@ def event_observation(spark, sf):
 
 
 def transition_status(spark, sf):
-    log = t.attempts(spark, sf).groupBy("run").agg(F.count("*").alias("logged"), F.max("number").cast("long").alias("acknowledged"), F.max("done").alias("some_done"), F.min("done").alias("all_done"))
-    status = eventlog.transition_status(F.col("acknowledged"), F.col("logged"), F.col("some_done") != F.col("all_done"), F.lit(True))
+    acknowledged = F.max(F.col("number") - F.col("run") % 3).cast("long")
+    log = t.attempts(spark, sf).groupBy("run").agg(F.count("*").alias("logged"), acknowledged.alias("acknowledged"), F.max("done").alias("some_done"), F.min("done").alias("all_done"), (F.min("task") % 5 != 0).alias("same_prefix"))
+    status = eventlog.transition_status(F.col("acknowledged"), F.col("logged"), F.col("some_done") != F.col("all_done"), F.col("same_prefix"))
     return log.select("run", "logged", "acknowledged", status.alias("status"))
 
 
@@ -99,12 +100,12 @@ def portable_paths(spark, sf):
 
 
 def canonical_json(spark, sf):
-    e = t.read(spark, sf, "events", "event_id", "props")
-    return e.select("event_id", canonical.canonical_json(F.col("props")).alias("canonical"), canonical.native_is_canonical(F.concat("props", F.lit("\n"))).alias("was_canonical"), canonical.json_fault(F.col("props")).alias("fault"))
+    e, text = t.json_texts(spark, sf), F.col("text")
+    return e.select("event_id", canonical.canonical_json(text).alias("canonical"), canonical.native_is_canonical(text).alias("was_canonical"), canonical.json_fault(text).alias("fault"))
 
 
 def derived_names(spark, sf):
-    a = t.attempts(spark, sf)
+    a = t.attempts(spark, sf).withColumn("number", F.col("number") * 2345)  # of four digits and of five
     task, path = F.col("task").cast("string"), F.concat(F.lit("w/"), F.col("worker").cast("string"))
     return a.select("run", "task", "number", I.quarantine_name(task, F.col("number"), path).alias("quarantine"), I.log_name(task, F.col("number"), "stdout").alias("log"), I.job_name(F.col("run").cast("string"), F.lit("start"), task).alias("job"))
 
@@ -157,15 +158,27 @@ ORACLES = {
     "tree_summary": f"""WITH {_DOCS} SELECT source, count(*) AS n_entries, 0::BIGINT AS n_directories, count(*) AS n_files, sum(size)::BIGINT AS total_bytes,
         sha256('{{"entries":[' || string_agg('{{"kind":"file","path":"' || path || '","sha256":"' || sha256 || '","size":' || size || '}}', ',' ORDER BY path) || '],"kind":"tree","schema_version":1}}' || chr(10)) AS tree_sha256 FROM doc GROUP BY source""",
     "projected_state": f"WITH {_RECORDED}, {_DOCS} SELECT path, 'file' AS kind, min(sha256) AS sha256, min(size) AS size, count(*) > 1 AS collides FROM (SELECT path, sha256, size FROM rec UNION ALL SELECT path, sha256, size FROM doc) GROUP BY path",
-    "manifest_violations": f"WITH {_DOCS} SELECT DISTINCT path, 'parent not listed' AS rule FROM doc",
+    "manifest_violations": f"""WITH k AS (SELECT *, md5(doc_id::VARCHAR) AS m, coalesce(text, '') AS t FROM documents), s AS (SELECT DISTINCT source, {t.digit_sql(1, "md5(source)")} < 4 AS is_file FROM documents WHERE source IS NOT NULL),
+        e AS (SELECT CASE {t.digit_sql(1)} WHEN 0 THEN 'a//' || doc_id WHEN 1 THEN repeat('d/', 33) || doc_id WHEN 2 THEN source || '/same' ELSE source || '/' || doc_id END AS path, CASE WHEN {t.digit_sql(2)} = 0 THEN 'directory' ELSE 'file' END AS kind,
+            {t.digit_sql(3)} = 0 AS odd_digest, CASE {t.digit_sql(4)} WHEN 0 THEN 1073741825 WHEN 1 THEN -1 ELSE strlen(t) END AS size FROM k
+          UNION ALL SELECT source, CASE WHEN is_file THEN 'file' ELSE 'directory' END, false, CASE WHEN is_file THEN strlen(source) END FROM s),
+        up AS (SELECT path, array_to_string(string_split(path, '/')[1:i], '/') AS up FROM (SELECT DISTINCT path, unnest(range(1, len(string_split(path, '/')))) AS i FROM e))
+        SELECT path, 'path not portable' AS rule FROM e WHERE list_contains(string_split(path, '/'), '')
+        UNION ALL SELECT path, 'too deep' FROM e WHERE len(string_split(path, '/')) > 32
+        UNION ALL SELECT path, 'bad identity' FROM e WHERE kind = 'file' AND (odd_digest OR size < 0)
+        UNION ALL SELECT path, 'directory with identity' FROM e WHERE kind = 'directory' AND size IS NOT NULL
+        UNION ALL SELECT path, 'file too large' FROM e WHERE size > 1073741824
+        UNION ALL SELECT path, 'listed twice' FROM e GROUP BY path HAVING count(*) > 1
+        UNION ALL SELECT DISTINCT path, 'parent not listed' FROM up WHERE up NOT IN (SELECT path FROM e WHERE kind = 'directory')
+        UNION ALL SELECT DISTINCT path, 'below a file' FROM up WHERE up IN (SELECT path FROM e WHERE kind = 'file')""",
     "workspace_history": f"WITH {_DOCS}, b AS (SELECT count(*) AS n, sum(size) AS s FROM doc), p AS (SELECT conv_id AS run, turn AS step, count(*) AS n, sum(strlen(coalesce(text, ''))) AS s FROM conversations GROUP BY 1, 2) SELECT run, step, ((SELECT n FROM b) + sum(n) OVER w)::BIGINT AS n_after, ((SELECT s FROM b) + sum(s) OVER w)::BIGINT AS bytes_after FROM p WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)",
     "canonical_order": "SELECT conv_id, turn FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b >= text",
     "event_chain": _CHAIN,
     "event_chain_window": _CHAIN,
     "event_contiguity": f"WITH {_LOG}, m AS (SELECT *, seq - lag(seq) OVER w AS gap, lag(micros) OVER w > micros AS back FROM log WINDOW w AS (PARTITION BY run ORDER BY seq)) SELECT run, count(*) AS n_events, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (gap <> 1) AS n_gaps, count(*) FILTER (back) AS n_backwards FROM m GROUP BY run",
     "event_observation": f"WITH {_LOG} SELECT run, count(*) AS n, sum(strlen(line))::BIGINT AS bytes, max(strlen(line))::BIGINT AS longest, count(*) <= 100000 AND sum(strlen(line)) <= 67108864 AND max(strlen(line)) <= 262144 AS within_limits FROM log GROUP BY run",
-    "transition_status": """WITH l AS (SELECT l_orderkey AS run, count(*) AS logged, max(l_linenumber)::BIGINT AS acknowledged, bool_or(l_linestatus = 'F') <> bool_and(l_linestatus = 'F') AS pending FROM lineitem GROUP BY 1)
-        SELECT run, logged, acknowledged, CASE WHEN NOT pending AND logged = acknowledged THEN 'stable' WHEN pending AND logged = acknowledged THEN 'pending_before_log' WHEN pending AND logged = acknowledged + 1 THEN 'pending_after_log' ELSE 'diverged' END AS status FROM l""",
+    "transition_status": """WITH l AS (SELECT l_orderkey AS run, count(*) AS logged, max(l_linenumber - l_orderkey % 3)::BIGINT AS acknowledged, bool_or(l_linestatus = 'F') <> bool_and(l_linestatus = 'F') AS pending, min(l_partkey) % 5 = 0 AS other FROM lineitem GROUP BY 1)
+        SELECT run, logged, acknowledged, CASE WHEN other THEN 'diverged' WHEN NOT pending AND logged = acknowledged THEN 'stable' WHEN pending AND logged = acknowledged THEN 'pending_before_log' WHEN pending AND logged = acknowledged + 1 THEN 'pending_after_log' ELSE 'diverged' END AS status FROM l""",
     "lineage_seeds": f"WITH {_IN}, {_OUT}, {_SEEDS} SELECT * FROM seeds",
     "lineage_double_producers": f"WITH {_OUT} SELECT path, count(DISTINCT task) AS n FROM outp GROUP BY 1 HAVING count(DISTINCT task) > 1",
     "lineage_overwritten_seeds": f"WITH {_IN}, {_OUT}, {_SEEDS} SELECT path, reader, min(task) AS producer FROM seeds JOIN outp USING (path) GROUP BY 1, 2",
@@ -177,10 +190,12 @@ ORACLES = {
     "ancestor_conflicts": f"WITH {_URLS}, u AS (SELECT DISTINCT path FROM urls) SELECT a.path, b.path AS ancestor FROM u a JOIN u b ON starts_with(a.path, b.path || '/')",
     "alias_collisions": "WITH h AS (SELECT split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS path FROM pages), a AS (SELECT path FROM h UNION SELECT upper(path) FROM h) SELECT lower(path) AS alias, count(*) AS n_spellings, min(path) AS first_spelling FROM a GROUP BY 1 HAVING count(*) > 1",
     "portable_paths": f"WITH {_URLS} SELECT path, strlen(path) BETWEEN 1 AND 1024 AND NOT regexp_matches(path, '[\\x00\\\\:]') AND NOT list_bool_or([x IN ('', '.', '..') FOR x IN string_split(path, '/')]) AS portable, len(string_split(path, '/'))::BIGINT AS depth FROM urls",
-    "canonical_json": "SELECT event_id, replace(props, ' ', '') || chr(10) AS canonical, false AS was_canonical, 'not canonical' AS fault FROM events",
-    "derived_names": """SELECT l_orderkey AS run, l_partkey AS task, l_linenumber AS number,
-        'a' || lpad(l_linenumber::VARCHAR, 8, '0') || '.' || sha256(l_partkey::VARCHAR || chr(0) || l_linenumber::VARCHAR || chr(0) || 'w/' || l_suppkey::VARCHAR) || '.artifact' AS quarantine,
-        'logs/' || l_partkey || '/attempt-' || lpad(l_linenumber::VARCHAR, 4, '0') || '.stdout.log' AS log, 'agentrun-start-' || substr(sha256(l_orderkey::VARCHAR || chr(0) || 'start' || chr(0) || l_partkey::VARCHAR), 1, 16) AS job FROM lineitem""",
+    "canonical_json": """SELECT event_id, CASE WHEN event_id % 8 < 3 THEN replace(props, ' ', '') || chr(10) WHEN event_id % 8 = 6 THEN '{"a":2,"b":1}' || chr(10) END AS canonical, event_id % 8 = 2 AS was_canonical,
+        ['not canonical', 'not canonical', NULL, 'duplicate key', 'NaN is not JSON', 'invalid', 'not canonical', 'too complex'][event_id % 8 + 1] AS fault FROM events""",
+    "derived_names": """SELECT l_orderkey AS run, l_partkey AS task, n AS number,
+        'a' || format('{:08d}', n) || '.' || sha256(l_partkey::VARCHAR || chr(0) || n::VARCHAR || chr(0) || 'w/' || l_suppkey::VARCHAR) || '.artifact' AS quarantine,
+        'logs/' || l_partkey || '/attempt-' || format('{:04d}', n) || '.stdout.log' AS log, 'agentrun-start-' || substr(sha256(l_orderkey::VARCHAR || chr(0) || 'start' || chr(0) || l_partkey::VARCHAR), 1, 16) AS job
+        FROM (SELECT *, l_linenumber * 2345 AS n FROM lineitem)""",
     "path_set_digests": f"""WITH {_IN} SELECT task, sha256('[' || string_agg('"' || path || '"', ',' ORDER BY path) || ']' || chr(10)) AS digest FROM inp GROUP BY task""",
     "evidence_exactness": "SELECT o_orderkey AS k, 'missing' AS fault FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) UNION ALL SELECT l_orderkey, 'unexpected' FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)",
     "evidence_conflicts": f"WITH {_IN}, {_OUT} SELECT path FROM outp INTERSECT SELECT path FROM inp",

@@ -11,6 +11,7 @@ import hashlib
 import inspect as source_of
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,7 @@ class Runner:
     root: str
     steps: list[Step]
     seeds: dict[str, DataFrame] = field(default_factory=dict)
+    _log: tuple | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         made: set[str] = set(self.seeds)
@@ -65,8 +67,42 @@ class Runner:
         sinks.put_json(self.spark, f"{self.root}/state.json", state, replace=True)
 
     def _acknowledged(self, state: dict, event: dict) -> dict:
-        whole = "".join(self._events(state["count"])) + encode(event)
-        return {"count": state["count"] + 1, "log_sha256": hashlib.sha256(whole.encode()).hexdigest(), "pending": None}
+        """What the state says after an event; the digest of the log so far is carried along, and read anew only by a new runner."""
+        if self._log is None or self._log[0] != state["count"]:
+            self._log = state["count"], hashlib.sha256("".join(self._events(state["count"])).encode())
+        digest = self._log[1].copy()
+        digest.update(encode(event).encode())
+        self._log = state["count"] + 1, digest
+        return {"count": state["count"] + 1, "log_sha256": digest.hexdigest(), "pending": None}
+
+    # one writer at a time
+    @property
+    def _lock(self) -> str:
+        return f"{self.root}/LOCK"
+
+    @contextmanager
+    def _alone(self):
+        """Holds the lock of the run; a second writer is refused. A writer that died leaves its lock, see ``break_lock``."""
+        token = uuid.uuid4().hex
+        try:
+            sinks.put_text(self.spark, self._lock, token)
+        except Exception as e:
+            raise EvidenceError(f"another writer holds {self._lock}") from e
+        try:
+            yield
+        finally:
+            if self.inspect_lock() == token:
+                sinks.remove(self.spark, self._lock)
+
+    def inspect_lock(self) -> str | None:
+        """The token of the writer that holds the run, or None; writes nothing."""
+        return sinks.get_text(self.spark, self._lock) if self._exists(self._lock) else None
+
+    def break_lock(self, token: str) -> None:
+        """Removes the lock of a writer that is known to be dead; ``token`` must be the one that was inspected."""
+        if self.inspect_lock() != token:
+            raise EvidenceError("the lock is not the one that was inspected")
+        sinks.remove(self.spark, self._lock)
 
     def _exists(self, path: str) -> bool:
         fs, where = sinks._fs(self.spark, path)
@@ -101,6 +137,10 @@ class Runner:
 
     # public operations
     def start(self) -> dict:
+        with self._alone():
+            return self._start()
+
+    def _start(self) -> dict:
         plan = {"steps": [{"name": s.name, "inputs": list(s.inputs), "outputs": list(s.outputs), "code": s.identity} for s in self.steps], "seeds": {k: sinks.table_identity(df) for k, df in sorted(self.seeds.items())}}
         sinks.put_json(self.spark, f"{self.root}/plan.json", plan)
         state = {"run_id": uuid.uuid4().hex, "status": "running", "count": 0, "log_sha256": hashlib.sha256(b"").hexdigest(), "pending": None, "tasks": {s.name: {"status": "pending", "attempts": 0, "outputs": {}} for s in self.steps}}
@@ -126,6 +166,13 @@ class Runner:
         return decision | {"decision_sha256": hashlib.sha256(encode(decision).encode()).hexdigest()}
 
     def resume(self, expected_decision_sha256: str | None = None) -> dict:
+        """Goes on as a decision says; one that is named must be the present one before the lock is taken and while it is held."""
+        if expected_decision_sha256 is not None and self.inspect()["decision_sha256"] != expected_decision_sha256:
+            raise EvidenceError("the approved decision is stale")
+        with self._alone():
+            return self._resume(expected_decision_sha256)
+
+    def _resume(self, expected_decision_sha256: str | None) -> dict:
         if expected_decision_sha256 is None:
             self.reconcile()
         decision = self.inspect()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import json
 import re
 import tarfile
 import tomllib
@@ -14,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provena.errors import BoundaryError, ConfigurationError
+from provena.errors import BoundaryError, ConfigurationError, EvidenceError
 from provena.functions import canonical, paths
-from provena.functions import identity as I
+from provena.sources.sinks import get_text
 
 MAX_SUITE, MAX_TASKS, MAX_ARGS, MAX_ARG, MAX_ARG_BYTES, MAX_PATHS = 256 * 1024, 64, 128, 4096, 64 * 1024, 64
 TASK = T.StructType([T.StructField("ord", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("argv", T.ArrayType(T.StringType())), T.StructField("inputs", T.ArrayType(T.StringType())), T.StructField("outputs", T.ArrayType(T.StringType()))])
@@ -80,10 +82,22 @@ def suite_tasks(spark: SparkSession, text: str) -> DataFrame:
 
 
 def files(spark: SparkSession, root: str, most_bytes: int | None = None) -> DataFrame:
-    """Files below a folder: path, size, sha256. Contents over ``most_bytes`` are not hashed and get a null digest."""
+    """Files below a folder: path, size, sha256. A file of over ``most_bytes`` is an error, raised when the rows are read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     digest = F.sha2("content", 256)
-    return rows.select("path", F.col("length").alias("size"), (digest if most_bytes is None else F.when(F.col("length") <= most_bytes, digest)).alias("sha256"))
+    if most_bytes is not None:
+        digest = F.when(F.col("length") <= most_bytes, digest).otherwise(F.raise_error(F.concat("path", F.lit(f" has more than {most_bytes} bytes"))))
+    return rows.select("path", F.col("length").alias("size"), digest.alias("sha256"))
+
+
+def directories(files: DataFrame, path: str = "path") -> DataFrame:
+    """The folders that relative paths of files imply, each once: path."""
+    return files.select(F.explode(paths.ancestors(F.col(path))).alias("path")).distinct()
+
+
+def over_limit(rows: DataFrame, most: int) -> bool:
+    """Whether there are more rows than the limit; no more than one beyond it are looked at."""
+    return rows.limit(most + 1).count() > most
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
@@ -98,8 +112,13 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a log with the newline that ended each; carriage returns stay."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.input_file_name().alias("path"), F.concat("value", F.lit("\n")).alias("line"))
+    """Lines of a log with a newline at the end of each, and the size of their file; carriage returns stay. See ``torn`` for a last line that has none."""
+    return spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.concat("value", F.lit("\n")).alias("line"), F.col("_metadata.file_size").alias("file_size"))
+
+
+def torn(lines: DataFrame) -> DataFrame:
+    """Logs of ``event_lines`` whose last line has no newline, as a write that was cut off leaves it: with it they would be a byte longer."""
+    return lines.groupBy("path").agg(F.sum(F.octet_length("line")).alias("bytes"), F.first("file_size").alias("file_size")).filter("bytes > file_size").select("path")
 
 
 def checksum_list(text: DataFrame, column: str = "value") -> DataFrame:
@@ -109,25 +128,66 @@ def checksum_list(text: DataFrame, column: str = "value") -> DataFrame:
     return text.select(F.when(fine, F.regexp_extract(column, form, 1)).alias("sha256"), F.when(fine, F.regexp_extract(column, form, 2)).alias("path"), F.col(column).alias("line"))
 
 
-def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """Members of zip and tar.gz archives: archive, member, data."""
+#: Bytes of a member that are unpacked at most.
+MAX_MEMBER = 64 << 20
+
+
+def archive_members(spark: SparkSession, path: str, most_bytes: int = MAX_MEMBER) -> DataFrame:
+    """Members of zip and tar.gz archives: archive, member, size, data. One is in memory at a time; data of over ``most_bytes`` is null."""
     rows = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def members(raw: bytes) -> Iterator[tuple[str, int, bytes | None]]:
+        data = io.BytesIO(raw)
+        if zipfile.is_zipfile(data):
+            with zipfile.ZipFile(data) as z:
+                for i in z.infolist():
+                    if not i.is_dir():
+                        yield i.filename, i.file_size, z.read(i) if i.file_size <= most_bytes else None
+        else:
+            data.seek(0)
+            with tarfile.open(fileobj=data) as t:
+                for m in t:
+                    if m.isfile():
+                        yield m.name, m.size, t.extractfile(m).read() if m.size <= most_bytes else None
+
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = io.BytesIO(raw.as_py())
-                if zipfile.is_zipfile(data):
-                    with zipfile.ZipFile(data) as z:
-                        found = [(i.filename, z.read(i)) for i in z.infolist() if not i.is_dir()]
-                else:
-                    data.seek(0)
-                    with tarfile.open(fileobj=data) as t:
-                        found = [(m.name, t.extractfile(m).read()) for m in t if m.isfile()]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array([m for m, _ in found], pa.string()), pa.array([d for _, d in found], pa.binary())], names=["archive", "member", "data"])
+                for member, size, data in members(raw.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member]), pa.array([size], pa.int64()), pa.array([data], pa.binary())], names=["archive", "member", "size", "data"])
+
+    return rows.mapInArrow(opened, "archive string, member string, size long, data binary")
+
+
+ENTRIES = "struct<entries: array<struct<kind: string, path: string, sha256: string, size: bigint>>, kind: string, schema_version: bigint>"
+
+
+def _bound(spark: SparkSession, path: str, sha256: str, size: int) -> str:
+    """The text of a file that must have this identity."""
+    raw = spark.read.format("binaryFile").load(path).select("content").first()["content"]
+    if len(raw) != size or hashlib.sha256(raw).hexdigest() != sha256:
+        raise EvidenceError(f"{path} is not what its descriptor names")
+    return raw.decode()
+
+
+def manifest_document(spark: SparkSession, path: str, sha256: str, size: int) -> DataFrame:
+    """The entries of a manifest file, which must have this identity and be in canonical form: kind, path, sha256, size."""
+    text = _bound(spark, path, sha256, size)
+    if canonical.encode(canonical.strict(text)) != text:
+        raise EvidenceError(f"{path} is not canonical JSON")
+    rows = spark.createDataFrame([(text,)], "text string").select(F.from_json("text", ENTRIES).alias("m"))
+    return rows.select(F.explode("m.entries").alias("e")).select("e.*")
+
 
-    return rows.mapInArrow(opened, "archive string, member string, data binary")
+LEDGER = "id string, kind string, subject string, scope string, relationship string, consent_to_list boolean, source_commit string, observed_date string, verified_date string, evidence_url string, status string, retracted_date string, retraction_reason string"
 
 
-def manifest_of(rows: DataFrame, path: str, content: str) -> DataFrame:
-    return rows.select(F.col(path).alias("path"), F.lit("file").alias("kind"), I.sha256(F.col(content)).alias("sha256"), I.size_of(F.col(content)).alias("size"))
+def ledger_document(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """A ledger file (JSON with sorted keys, two spaces a level and a newline at the end): what stands beside its records, and the records."""
+    text = get_text(spark, path)
+    value = canonical.strict(text)
+    if json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True) + "\n" != text:
+        raise EvidenceError(f"{path} is not in the form of a ledger")
+    names = [x.split()[0] for x in LEDGER.split(", ")]
+    rows = [tuple(r.get(n) for n in names) for r in value["records"]]
+    return {k: v for k, v in value.items() if k != "records"}, spark.createDataFrame(rows, LEDGER)

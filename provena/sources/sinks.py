@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from provena.errors import EvidenceError
@@ -20,17 +20,29 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def _sums(df: DataFrame) -> list:
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    total = lambda *seed: F.sum(F.xxhash64(*seed, row).cast("decimal(38,0)"))
+    return [F.count(F.lit(1)).alias("n"), total().alias("a"), total(F.lit(1)).alias("b")]
+
+
+def _identity(found: dict) -> dict:
+    return {"n": found["n"], "a": str(found["a"] or 0), "b": str(found["b"] or 0)}
+
+
 def table_identity(df: DataFrame) -> dict:
     """Order-free identity of a table's rows: their number and the sum of their 64-bit hashes, in two seeds."""
-    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    got = df.select(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b")).agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(38,0)")).alias("a"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).first()
-    return {"n": got["n"], "a": str(got["a"] or 0), "b": str(got["b"] or 0)}
+    return _identity(df.agg(*_sums(df)).first().asDict())
 
 
 def publish(df: DataFrame, path: str) -> dict:
-    """Writes to a place that must not exist, and returns the identity of what can be read there."""
-    df.write.mode("errorifexists").parquet(path)
-    return table_identity(df.sparkSession.read.parquet(path))
+    """Writes to a place that must not exist, and returns the identity of what can be read there, which must be that of the rows as they were written."""
+    seen = Observation()
+    df.observe(seen, *_sums(df)).write.mode("errorifexists").parquet(path)
+    there = table_identity(df.sparkSession.read.parquet(path))
+    if there != _identity(seen.get):
+        raise EvidenceError(f"{path} does not hold what was written to it")
+    return there
 
 
 def replace(df: DataFrame, root: str) -> str:
@@ -47,21 +59,20 @@ def current(spark: SparkSession, root: str) -> DataFrame:
 
 
 def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
+    """A text file at a place that must not exist; with ``replace`` one rename puts it in the place of the old one, so there is always one of them."""
     fs, where = _fs(spark, path)
     if not replace and fs.exists(where):
         raise EvidenceError(f"{path} exists")
-    if replace:
-        beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-        out = fs.create(beside, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        fs.delete(where, False)
-        if not fs.rename(beside, where):
-            raise EvidenceError(f"{path} could not be replaced")
-        return
-    out = fs.create(where, False)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    to = hadoop.Path(f"{path}.{uuid.uuid4().hex}") if replace else where
+    out = fs.create(to, False)
     out.write(bytearray(text.encode()))
     out.close()
+    if replace:
+        kind = getattr(hadoop, "Options$Rename")
+        how = spark.sparkContext._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(to, where, how)
 
 
 def get_text(spark: SparkSession, path: str) -> str:
@@ -76,9 +87,10 @@ def put_json(spark: SparkSession, path: str, value, replace: bool = False) -> No
 
 
 def append(df: DataFrame, path: str, key: list[str]) -> int:
-    """Adds the rows whose key is not there yet; running it again adds nothing. Returns how many were added."""
+    """Adds the rows whose key is not there yet, one for each key; running it again adds nothing. Returns how many were added."""
     spark = df.sparkSession
     fs, where = _fs(spark, path)
+    df = df.dropDuplicates(key)
     fresh = df.join(spark.read.parquet(path).select(*key), key, "left_anti") if fs.exists(where) else df
     n = fresh.count()
     if n:
@@ -92,6 +104,11 @@ def quarantine(live: DataFrame, bad: DataFrame, key: list[str], path: str) -> Da
     return live.join(bad.select(*key), key, "left_anti")
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.delete(where, False)
+
+
 def message(result: dict) -> str:
     """A step result of nine strings as one JSON text of at most 1024 bytes."""
     if set(result) != set(RESULT_FIELDS) or not all(isinstance(x, str) for x in result.values()):

@@ -90,9 +90,34 @@ def test_state(spark):
     assert state.numbering(att, ["task"], "n").first().contiguous is True
     assert state.latest(att, ["task"], "n").first().n == 6
     assert state.superseded(att, ["task"], "n", F.lit(True)).count() == 0 and state.superseded(att, ["task"], "n", F.lit(False)).count() == 5
-    rows = [("completed", 1, 2, 0, "x", None), ("completed", 1, 2, 1, "x", "completed without zero exit"), ("running", 1, 2, None, None, "running but ended"), ("failed", 1, None, None, None, "ended without time"), ("odd", 1, 2, 0, "x", "unknown status")]
-    df = table(spark, rows, "s string, b int, e int, rc int, o string, want string")
-    assert df.filter(~state.attempt_faults(F.col("s"), F.col("b"), F.col("e"), F.col("rc"), F.col("o")).eqNullSafe(F.col("want"))).count() == 0
+
+
+ATTEMPT = {"status": "completed", "index": 0, "number": 1, "started": 1, "ended": 2, "child": 7, "token": "t", "guard": False, "return_code": 0, "unavailable": None, "outputs": "o", "error": None, "reason": None, "quarantined": None}
+ATTEMPT_TYPE = "status string, index int, number int, started int, ended int, child int, token string, guard boolean, return_code int, unavailable string, outputs string, error string, reason string, quarantined string"
+
+
+def test_attempt_rules(spark):
+    failed = {"status": "failed", "return_code": 75, "outputs": None, "error": "exit 75"}
+    cases = [
+        ({}, []), (failed, []), (failed | {"outputs": "o"}, ["outputs"]), (failed | {"error": None}, ["no detail"]), (failed | {"error": "x" * 8193}, ["detail"]), (failed | {"quarantined": "q"}, []), ({"quarantined": "q"}, ["quarantine"]),
+        ({"status": "running", "ended": None, "return_code": None}, ["outputs"]), ({"status": "running", "ended": None, "return_code": None, "outputs": None}, []),
+        ({"status": "running", "ended": None, "return_code": None, "outputs": None, "child": None, "token": None}, ["child"]), ({"status": "running", "ended": None, "return_code": None, "outputs": None, "child": None, "token": None, "guard": True}, []),
+        ({"return_code": 1}, ["completed code"]), ({"number": 2}, ["number"]), ({"ended": 0}, ["order"]), ({"token": None}, ["completed child"]), ({"status": "odd"}, ["status", "outputs"]),
+        (failed | {"return_code": None}, ["no code"]), (failed | {"status": "interrupted", "return_code": None, "unavailable": "lost"}, []), (failed | {"child": None}, ["code without child"]),
+    ]
+    df = table(spark, [tuple((ATTEMPT | change).values()) for change, _ in cases], ATTEMPT_TYPE)
+    assert [r.f for r in df.select(state.attempt_faults().alias("f")).collect()] == [want for _, want in cases]
+
+
+def test_scope_rules(spark):
+    cases = [
+        ("completed", 7, False, 7, True, "natural-empty", None), ("completed", 7, False, 7, False, "natural-empty", "terminal"), ("interrupted", 7, False, 7, True, "recovered-empty", None), ("running", 7, False, 7, False, "active", None),
+        ("running", 7, False, 7, False, "terminated", "running"), ("failed", None, False, None, True, "not-created", None), ("completed", None, False, None, True, "not-created", "absent"), ("running", None, True, None, False, "pending-launch", None),
+        ("running", None, True, None, True, "pending-launch", "launch"), ("completed", 7, False, 8, True, "terminated", "leader"), ("completed", 7, False, 7, True, "exited", "closure"), ("completed", 7, False, 0, True, "terminated", "scope id"), ("completed", 7, False, 7, None, "terminated", "empty"),
+    ]
+    df = table(spark, cases, "status string, child int, guard boolean, scope int, empty boolean, closure string, want string")
+    fault = state.scope_fault(*map(F.col, ("status", "child", "guard", "scope", "empty", "closure")))
+    assert df.filter(~fault.eqNullSafe(F.col("want"))).count() == 0
 
 
 def test_work_counts_of_the_two_strategies(spark):
@@ -142,20 +167,20 @@ def test_decisions(spark):
 
 
 def test_ledger(spark):
-    base = dict(id="EXT-2024-0001", kind="user", subject="x", scope="s", relationship="independent", consent_to_list=True, source_commit="a" * 40, observed_date="2024-01-01", verified_date="2024-01-02", evidence_url="u", status="verified", retracted_date=None, retraction_reason=None, key="k")
+    base = dict(id="EXT-2024-0001", kind="independent_user", subject="x", scope="s", relationship="independent", consent_to_list=True, source_commit="a" * 40, observed_date="2024-01-01", verified_date="2024-01-02", evidence_url="u", status="verified", retracted_date=None, retraction_reason=None, key="k")
     schema = ", ".join(f"{c} {'boolean' if c == 'consent_to_list' else 'string'}" for c in base)
     changes = [({}, []), ({"id": "EXT-2023-0001"}, ["id_year"]), ({"consent_to_list": False}, ["consent"]), ({"verified_date": "2023-12-31"}, ["verified_date"]), ({"verified_date": "2030-01-01"}, ["verified_date"]), ({"status": "retracted"}, ["retracted_date", "retraction_reason"]), ({"key": None}, ["evidence_url"]), ({"subject": " x"}, ["subject"]), ({"observed_date": "2024-13-01"}, ["observed_date", "verified_date"])]  # what cannot be compared fails closed
     df = table(spark, [tuple((base | c).values()) for c, _ in changes], schema)
     got = [r[0] for r in df.select(ledger.faults("2024-12-31", F.col("key"))).collect()]
     assert got == [w for _, w in changes]
-    counted = table(spark, [("user", "verified", "a"), ("user", "verified", "a"), ("user", "retracted", "b"), ("review", "verified", "c")], "kind string, status string, subject_key string")
-    assert {tuple(r) for r in ledger.counts(counted).collect()} == {("user", 2, 1), ("review", 1, 1)}
+    counted = table(spark, [("independent_user", "verified", "a"), ("independent_user", "verified", "a"), ("independent_user", "retracted", "b"), ("third_party_review", "verified", "c")], "kind string, status string, subject_key string")
+    assert {tuple(r) for r in ledger.counts(counted).collect()} == {("independent_user", 2, 1), ("third_party_review", 1, 1)}
     assert [tuple(r) for r in ledger.doubles(counted, "subject_key").collect()] == [("a", 2, "subject_key")]
 
 
 def test_control(spark):
     uid, h, run = "11111111-1111-4111-8111-111111111111", "a" * 64, "b" * 32
-    rows = [("start", "completed", run, "", h, "", None), ("resume", "completed", run, h, h, "", None), ("resume", "completed", run, "", h, "", "decision"), ("verify", "completed", run, "", h, "", "outcome for action"), ("start", "awaiting_approval", run, h, "", "", None), ("verify", "verified", run, "", h, "", None), ("start", "blocked", "", "", "", "task_error", None), ("start", "blocked", "", "", "", "odd", "error code"), ("start", "odd", "", "", "", "", "outcome"), ("odd", "blocked", "", "", "", "task_error", "action")]
+    rows = [("start", "completed", run, "", h, "", None), ("resume", "completed", run, h, h, "", None), ("resume", "completed", run, "", h, "", "decision"), ("verify", "completed", run, "", h, "", "outcome for action"), ("start", "awaiting_approval", run, h, "", "", None), ("verify", "verified", run, "", h, "", None), ("start", "blocked", "", "", "", "execution_failed", None), ("start", "blocked", "", "", "", "odd", "error code"), ("start", "odd", "", "", "", "", "outcome"), ("odd", "blocked", "", "", "", "execution_failed", "action")]
     df = table(spark, rows, "a string, o string, run string, d string, b string, e string, want string")
     fault = control.result_fault(F.col("a"), F.col("o"), F.lit(uid), F.lit(h), F.col("run"), F.col("d"), F.col("b"), F.col("e"))
     assert df.filter(~fault.eqNullSafe(F.col("want"))).count() == 0
@@ -170,3 +195,22 @@ def test_control(spark):
     assert {(r.k, r.o, r.fault) for r in control.write_once(v, "k", "o", "v", "p").collect()} == {(1, 3, "changed"), (2, 1, "not as published")}
     lease = table(spark, [(1, 1, 5), (1, 2, 6), (1, 3, 8)], "k int, o int, n int")
     assert [r.o for r in control.lease_steps(lease, "k", "o", "n").collect()] == [3]
+
+
+def test_strict_json(spark):
+    from provena.operators import records
+
+    rows = [('{"a":1}', True), ('{"a":1} x', False), ('{"a":1}{}', False), ("{},{}", False), ("{}],[{}", False), ('{}},{"b":{}', False), ('{"a":1,"a":2}', False), (' {"a": [1]}\n', True), ("", False), ("1", True)]
+    df = table(spark, rows, "t string, want boolean")
+    assert df.filter(records.strict_json(F.col("t")).isNotNull() != F.col("want")).count() == 0
+
+
+def test_records(spark):
+    from provena.operators import records
+
+    lock = table(spark, [(1, "a" * 32, "h", 5, 0), (0, "A", "", None, 4)], "o int, t string, h string, c int, n int")
+    assert lock.filter(F.size(records.lock_faults(*map(F.col, "othc"))) != F.col("n")).count() == 0
+    body = '{"action":"start","agent_run_uid":"","bundle_sha256":"","error_code":"","execution_spec_sha256":"","outcome":"","protocol":"","resume_decision_sha256":"","run_id":"r"}'
+    df = table(spark, [(body, None), (body + " ", None), (body.replace('"r"', "1"), "not a text"), ("", "empty"), (None, "empty"), (body[:-1] + ',"x":""}', "fields")], "m string, want string")
+    assert df.filter(~records.termination(F.col("m")).eqNullSafe(F.col("want"))).count() == 0
+    assert df.select(records.termination_fields(F.col("m")).alias("f")).first().f.run_id == "r"

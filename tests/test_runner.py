@@ -113,3 +113,66 @@ def test_sinks_and_sources(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("m.txt", "hi")
     assert [(r.member, bytes(r.data)) for r in readers.archive_members(spark, f"{root}/a.zip").collect()] == [("m.txt", b"hi")]
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("large.txt", "x" * 100)
+    assert [(r.member, r.size, r.data) for r in readers.archive_members(spark, f"{root}/b.zip", 99).collect()] == [("large.txt", 100, None)]
+
+
+def test_torn_logs_and_limits(spark, tmp_path):
+    (tmp_path / "whole.jsonl").write_bytes(b'{"a":1}\n{"a":"\xc3\xa9"}\r\n')
+    (tmp_path / "torn.jsonl").write_bytes(b'{"a":1}\n{"a"')
+    lines = readers.event_lines(spark, f"file://{tmp_path}/*.jsonl")
+    assert [r.path.rsplit("/", 1)[1] for r in readers.torn(lines).collect()] == ["torn.jsonl"]
+    assert {r.line for r in lines.filter("path like '%whole%'").collect()} == {'{"a":1}\n', '{"a":"é"}\r\n'}
+    assert readers.files(spark, f"file://{tmp_path}", 25).count() == 2
+    with pytest.raises(Exception, match="more than 10 bytes"):
+        readers.files(spark, f"file://{tmp_path}", 10).collect()
+    assert [r.path for r in readers.directories(spark.createDataFrame([("a/b/c",), ("a/d",)], "path string")).orderBy("path").collect()] == ["a", "a/b"]
+    assert readers.over_limit(spark.range(5), 4) and not readers.over_limit(spark.range(5), 5)
+
+
+def test_documents_bound_to_an_identity(spark, tmp_path):
+    import hashlib
+
+    from provena.functions.canonical import encode
+
+    text = encode({"schema_version": 1, "kind": "tree", "entries": [{"kind": "file", "path": "a", "sha256": "0" * 64, "size": 1}]})
+    (tmp_path / "m.json").write_text(text)
+    where, sha = f"file://{tmp_path}/m.json", hashlib.sha256(text.encode()).hexdigest()
+    assert [tuple(r) for r in readers.manifest_document(spark, where, sha, len(text)).collect()] == [("file", "a", "0" * 64, 1)]
+    with pytest.raises(EvidenceError):
+        readers.manifest_document(spark, where, "1" * 64, len(text))
+    import json
+
+    ledger = {"schema_version": 1, "as_of_date": "2024-01-01", "counts": {}, "records": [{"id": "EXT-2024-0001", "kind": "independent_user"}]}
+    (tmp_path / "l.json").write_text(json.dumps(ledger, indent=2, sort_keys=True) + "\n")
+    rest, rows = readers.ledger_document(spark, f"file://{tmp_path}/l.json")
+    assert rest["as_of_date"] == "2024-01-01" and [r.id for r in rows.collect()] == ["EXT-2024-0001"]
+    (tmp_path / "l2.json").write_text(json.dumps(ledger))
+    with pytest.raises(EvidenceError):
+        readers.ledger_document(spark, f"file://{tmp_path}/l2.json")
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    r = runner(spark, tmp_path)
+    r.start()
+    sinks.put_text(spark, f"{r.root}/LOCK", "other")
+    with pytest.raises(EvidenceError):
+        r.resume()
+    assert r.inspect_lock() == "other"
+    with pytest.raises(EvidenceError):
+        r.break_lock("wrong")
+    r.break_lock("other")
+    assert r.inspect_lock() is None and r.resume() == r.verify()
+
+
+def test_published_rows_are_compared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "table_identity", lambda df: {"n": 0, "a": "0", "b": "0"})
+    with pytest.raises(EvidenceError):
+        sinks.publish(spark.range(3), f"file://{tmp_path}/t")
+    sinks.put_text(spark, f"file://{tmp_path}/s", "a")
+    sinks.put_text(spark, f"file://{tmp_path}/s", "b", replace=True)
+    assert sinks.get_text(spark, f"file://{tmp_path}/s") == "b"
+    with pytest.raises(EvidenceError):
+        sinks.put_text(spark, f"file://{tmp_path}/s", "c")
+    assert sinks.append(spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"), f"file://{tmp_path}/log", ["k"]) == 1
