@@ -9,6 +9,9 @@ Pre-tokens recur, so each worker keeps their ids in a table of bounded size that
 result. There is no shuffle. The vocabulary is read on the driver (its path is a parameter) and broadcast; it is fixed in
 size. Null is taken as an empty text: no ids. The special tokens of the file are matched in the raw text first, as the
 library does; the text between is cut into pre-tokens by the byte-level pattern.
+
+Edge cases: repeated rows are coded each; a null id stays null; the last token of a prefix is unique, so there are no ties; an
+empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -18,13 +18,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named columns of a table; others, whatever their names, are left in the file."""
+    """The named columns of a table; others, whatever their names, are left in the file. Texts in fewer splits than there are cores are dealt out."""
     importable(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in ("documents", "pages") and rows.rdd.getNumPartitions() < cores else rows
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers started from now on import this package from where the driver has it."""
+    """Lets Python workers started from now on import this package from where the driver has it; executors on other machines need it installed, or on their PYTHONPATH."""
     environment, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if here not in paths:
@@ -35,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; where that is unset (tests), below a temporary one set here."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='provena-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/provena-{uuid.uuid4().hex}"
@@ -54,6 +58,14 @@ def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     return again
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files of tasks, below the shared one, removed with the session."""
+    path = shared_folder(spark)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes a written() table that nothing reads any more."""
     spark, path = df.sparkSession, df.provena_path

@@ -12,7 +12,9 @@ the windows fit a broadcast whose size is checked. Beyond that the fingerprints
 join shuffles. A passage in a third of all documents makes rows in proportion to its own words, per document.
 
 Edge cases: null and empty texts have no words, no hits and aren't contaminated; null or wordless items have no window;
-equal benchmark items each count as an item; repeated documents each get a row; an empty benchmark leaves all clean.
+equal benchmark items each count as an item, and one without an id hits words but is not counted; repeated documents each get a
+row; of equal least grams the left one is kept, on both sides; an empty benchmark leaves all clean, and an empty table gives no rows. Columns
+of documents that are named as those of the result (n_words, n_hit, items, n_items, contaminated) are replaced in ``judged``.
 """
 
 from __future__ import annotations

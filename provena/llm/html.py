@@ -9,13 +9,16 @@ teasers and notices behind the article are short beside it. What lies between th
 is the article, with near runs (lists dive inside an article) and the title before it. A page of short lines only has no such
 scale; any text there is a surge, and only lines without text outside links dive.
 
-A page whose markup names its article (``article`` or ``main``) is not measured: the markup decides, and what is left of the
-element after the cuts is the article.
+Where the markup names the article (``article`` or ``main``) the same line blocks are measured within it, against the scale that the
+markup vouches for: any text outside links is article, so the text dives where all lines of a block are links only (lists of related
+pages, menus, indexes) and surges behind them. All between a surge and its dive stays, not the heaviest run alone, as nothing else may be dropped.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page order by two newlines; character
 references are decoded. Nothing is capped: a page of any length is one pass (PASSES + 1 at most, where marks mislead) of a tokenizing pattern that cannot
-backtrack far. A page is a row, so there is no shuffle and no skew but the page itself. Null, empty and textless pages
-give the empty text.
+backtrack far. A page is a row, so there is no shuffle and no skew but the page itself.
+
+Edge cases: null, empty and textless pages give the empty text; equal rows give equal texts; of two runs of one weight the first is the
+heaviest; an empty table gives no rows. Other columns stay; those named text and n_chars are replaced by the result's.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from provena.llm.common import table
 
@@ -46,6 +50,7 @@ MARKS = re.compile(rf"(?:(?:{BESIDE})[_-]+)*(?:side-bar|{MARK})(?:[_-]+(?:{BESID
 OF_READERS = re.compile(rf"(?:^|[_-])(?:{READERS})(?:$|[_-])", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+HREF = re.compile(r"(?:^|\s)href\s*=", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=\s|$|=)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.IGNORECASE)
 #: Lines of a block, and the least sum of characters outside links in a block at a surge, where a page has no longer lines.
 WINDOW, SURGE = 3, 1
@@ -143,7 +148,7 @@ def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, boo
                 elif tag == skip[0] or tag in DROPPED:
                     skip.append(tag)
                 elif marked and tag == "a":
-                    link = 1
+                    link = int(bool(HREF.search(attributes)))
                 elif tag in ("article", "main") and skip[0] in ("head", "header"):
                     skip.clear()  # an element that was never closed does not swallow the article
                 elif tag == "body" and skip[0] == "head":
@@ -174,7 +179,7 @@ def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, boo
         if tag in ("article", "main"):
             article = max(0, article - 1) if closing else article + 1
         elif tag == "a":
-            link = 0 if closing else 1
+            link = int(not closing and bool(HREF.search(attributes)))  # an anchor that is only a name is none
         elif tag == "br" and not skip:
             parts.append(" ")
     end()
@@ -186,9 +191,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    named = [x[0] for x in lines if x[2]]
-    if named:  # the markup says that all of it is one article
-        return "\n\n".join(named)
+    named = [x for x in lines if x[2]]
+    if named:
+        kept = between([free for _, free, *_ in named])
+        return "\n\n".join(x[0] for x, keep in zip(named, kept, strict=True) if keep)
     size = [free for _, free, *_ in lines]
     runs = surges(size, least_of(size))
     if not runs:
@@ -200,6 +206,17 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(body for body, *_ in lines[first:last])
 
 
+def between(size: list[int]) -> list[bool]:
+    """For the lines of a named article whether they lie between a surge and its dive: all but those of whole blocks below SURGE.
+
+    An article of nothing but such blocks keeps them, as it is a list."""
+    kept = [True] * len(size)
+    for i in range(len(size) - WINDOW + 1):
+        if sum(size[i : i + WINDOW]) < SURGE:
+            kept[i : i + WINDOW] = [False] * WINDOW
+    return kept if any(kept) else [True] * len(size)
+
+
 def least_of(size: list[int]) -> float:
     """The least block of a surge, from the length of lines that hold half of all characters: one outlier does not move it far."""
     half, seen = sum(size) / 2, 0
@@ -242,7 +259,8 @@ def article_of(size: list[int], runs: list[tuple[int, int]]) -> tuple[int, int]:
 
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with text and n_chars in the place of the markup."""
+    """``pages`` with text and n_chars, its code points, in the place of the markup."""
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c == html or c not in ("text", "n_chars")])
     at = pages.columns.index(html)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html)
 

@@ -51,6 +51,8 @@ SMALL = 8
 DENSE, PIVOTS, DEPTH = 32, 4, 4
 #: Entries of a pack, and of a task that looks for regions of two classes.
 PACK, IN_TASK = 2_000_000, 4_000_000
+#: Edges of a graph that one task takes at most.
+FEW_EDGES = 1_000_000
 #: Rows of representatives that are broadcast at most.
 MOST_KEYS = 1_000_000
 #: Ratio of the sizes of a range; parts beyond the least number, as a share of it and at least.
@@ -422,23 +424,50 @@ def deviations(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return source.mapInArrow(run, "cell long, b long, comp long, open boolean, apart long, nb long, lx long, ly long, dev array<long>, maps array<long>")
 
 
+def _least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of edges the nodes, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        for side in (a, b):
+            np.minimum.at(after, label[side], least)
+            np.minimum.at(after, side, least)
+        after = after[after]
+        if (after == label).all():
+            return nodes, nodes[label]
+        label = after
+
+
 def components(links: DataFrame) -> DataFrame:
-    """Of links (a, b) the least node that each node reaches: (cls, comp). Large and small stars in turn until stable."""
+    """Of links (a, b) the least node that each node reaches: (cls, comp). Large and small stars in turn until stable, or until so
+    few edges are left that one task finishes them."""
     edges = written(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches]
+        if parts:
+            nodes, least = _least_reached(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(least)], names=["cls", "comp"])
+
     before = None
     while True:
+        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        if seen["n"] <= FEW_EDGES:
+            return written(edges.coalesce(1).mapInArrow(finished, "cls long, comp long"))
+        if seen == before:
+            return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp"))
+        before = seen
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         top = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(top, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
-        after = written(small)
-        seen = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        small_star = large.join(top, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u != v").distinct()
+        after = written(small_star)
         dropped(edges)
         edges = after
-        if seen == before:
-            return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp"))
-        before = seen
 
 
 def _roles(rows: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -506,7 +535,8 @@ def _components_with(links: list[DataFrame]) -> DataFrame:
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: id, the columns named in ``also``, n_shingles and component_id, the least id reachable by links of Jaccard similarity of ``percent`` or more."""
+    """Per row of ``docs``: id, the columns named in ``also``, n_shingles, component_id, the least id reachable by links of Jaccard similarity of ``percent`` or more, and
+    stays, true for the row of that id (a null one if there is no other; of equal ids that of the least text hash) and for rows with an empty set."""
     spark = docs.sparkSession
     rows = written(described(docs, id_col, text, k, percent, also))
     classes = rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("id", "tid")).alias("rep"), F.first("n_regions").alias("n_regions"))
@@ -551,12 +581,14 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
 
 def _named(rows: DataFrame, comps: DataFrame, id_col: str, also: tuple[str, ...]) -> DataFrame:
     """The rows with the least id of their component; a class in none is one of its own."""
-    least = rows.filter("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("least")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    named = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of_class = least.join(named, "comp").select("cls", "component_id")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tid"))
+    least = rows.filter("n_shingles > 0").groupBy("cls").agg(best.alias("least")).join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    named = least.groupBy("comp").agg(F.min("least").alias("first"))
+    of_class = least.join(named, "comp").select("cls", F.col("first.id").alias("component_id"), F.col("first.tid").alias("_first"))
     out = rows.withColumn("cls", F.when(F.col("n_shingles") > 0, F.col("cls"))).join(of_class, "cls", "left")
-    return out.select(F.col("id").alias(id_col), *also, "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    stays = F.col("_first").isNull() | (F.col("id").eqNullSafe(F.col("component_id")) & (F.col("tid") == F.col("_first")))
+    return out.select(F.col("id").alias(id_col), *also, "n_shingles", F.coalesce("component_id", "id").alias("component_id"), stays.alias("stays"))
 
 
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joined(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, percent=90)
+    return joined(table(spark, sf_dir, "documents", "doc_id", "text"), k=3, percent=90).drop("stays")

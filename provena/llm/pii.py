@@ -7,13 +7,17 @@ are dealt into two halves; in each round every symbol of one half is shifted, mo
 half. Each round can be undone, so this is a permutation of the format: equal values get equal pseudonyms in every
 document and different values different ones. Check digits are left out and computed anew. Who has the key can invert.
 
-Kinds: mail address (local part), phone number (North American plan, or international with separators), payment card, IBAN,
-social security number, IPv4 address, date (ISO, or day/month/year with slashes or dots), access key and assigned secret.
-What fails its validation stays. The text goes through no shuffle and is read once; texts without a digit, @, = or : are
-passed through. Key and rounds are parameters.
+Kinds: mail address (local part), phone number (North American plan, or international with or without separators), payment card, IBAN,
+social security number, IPv4 address, date (ISO, day/month/year or month/day/year with slashes, or with dots), access key and assigned
+secret. What fails its validation stays: a number without separators and + has none, and a date outside the years 1000 to 9799 is none. The
+text goes through no shuffle and is read once; texts without a digit, @, = or : are passed through. The key must be given: who has it can invert.
+
+A date that can only be month/day/year (its day is over 12) is permuted among those, and any other with slashes among day/month/year, so the
+form of a pseudonym tells how to invert it. Patterns repeat groups a bounded number of times, so no text makes the regular expression engine recurse far.
 
 Edge cases: a null text stays null, with no values; empty and very long texts are ordinary; repeated rows get equal results;
-values longer than 64 symbols are no values. An empty table gives no rows.
+the local part of a mail address is at most 64 characters, what stands before is left. An empty table gives no rows. Other columns
+stay, whatever their names; one named n_values is replaced by the count.
 """
 
 from __future__ import annotations
@@ -28,19 +32,22 @@ from provena.llm.common import table
 ROUNDS = 8
 DEMO_KEY = "provena demonstration key"
 
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,40}[A-Za-z]{2,63}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
 DAY_DATE = r"[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9])"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![ .-]?[0-9])"
+E164 = r"\+[1-9][0-9]{7,14}(?![0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ACCESS = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
 SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[0-9A-Za-z_+/-]{8,64}(?![0-9A-Za-z_+/-])"
-ANY = r"(?<![0-9A-Za-z])(?:" + "|".join([MAIL, ACCESS, SECRET, IBAN, ISO_DATE, DAY_DATE.replace(r"([/.])", r"(?<sep>[/.])").replace(r"\1", r"\k<sep>"), IPV4, SSN, CARD, PHONE]) + ")"
-#: Days from 1800-01-01 of one calendar cycle of 400 years: 146097 = 189 * 773.
-FIRST_DAY, DAY_RADIX = "1800-01-01", (189, 773)
+ANY = r"(?<![0-9A-Za-z])(?:" + "|".join([MAIL, ACCESS, SECRET, IBAN, ISO_DATE, DAY_DATE.replace(r"([/.])", r"(?<sep>[/.])").replace(r"\1", r"\k<sep>"), IPV4, SSN, E164, CARD, PHONE]) + ")"
+#: Days from 1800-01-01 of one calendar cycle of 400 years: 146097 = 189 * 773; those after the 12th of a month: 88497 = 9 * 9833.
+FIRST_DAY, DAY_RADIX, LATE_RADIX = "1800-01-01", (189, 773), (9, 9833)
+#: Cycles before and after that of the first day whose years have four digits.
+CYCLES = (-2, 19)
 
 
 def _digits(v: Column) -> Column:
@@ -109,17 +116,21 @@ def _card(v: Column, key: str, inverse: bool) -> Column:
 
 
 def _phone(v: Column, key: str, inverse: bool) -> Column:
-    d = _digits(v)
-    national = F.right(d, F.lit(10))
-    north = d.rlike(r"^1?[2-9][0-9]{2}[2-9][0-9]{6}$")
-    lows = F.array(*[F.lit(2 if i in (0, 3) else 0).cast("long") for i in range(10)])
-    radix = F.array(*[F.lit(8 if i in (0, 3) else 10).cast("long") for i in range(10)])
-    new = F.array_join(F.zip_with(feistel(F.zip_with(_numbers(national), lows, lambda x, b: x - b), radix, "phone", key, inverse), lows, lambda x, b: x + b), "")
-    first = _refilled(v, F.concat(F.substr(d, F.lit(1), F.char_length(d) - 10), new))
+    """A number of the North American plan within the plan, one that only looks like it (+1 and ten digits) outside of it; others behind their country code."""
+    d, plus = _digits(v), v.startswith("+")
+    valid, alike = d.rlike(r"^1?[2-9][0-9]{2}[2-9][0-9]{6}$"), d.rlike("^1[0-9]{10}$")
+    national = _numbers(F.right(d, F.lit(10)))
+    # where the plan asks for 2 to 9 such a digit stays one, and 0 or 1 stays 0 or 1
+    led = lambda i: (i == 0) | (i == 3)
+    lows = F.transform(national, lambda x, i: F.when(led(i) & (x > 1), 2).otherwise(0).cast("long"))
+    radix = F.transform(national, lambda x, i: F.when(~led(i), 10).when(x > 1, 8).otherwise(2).cast("long"))
+    new = F.array_join(F.zip_with(feistel(F.zip_with(national, lows, lambda x, b: x - b), radix, "phone", key, inverse), lows, lambda x, b: x + b), "")
+    within = _refilled(v, F.concat(F.substr(d, F.lit(1), F.char_length(d) - 10), new))
     code = F.char_length(F.regexp_extract(v, r"^\+([0-9]{1,3})[ .(-]", 1))
+    code = F.when(code > 0, code).otherwise(3)
     rest = F.substr(d, code + 1, F.char_length(d) - code)
     abroad = _refilled(v, F.concat(F.substr(d, F.lit(1), code), F.array_join(feistel(_numbers(rest), _tens(F.char_length(rest)), "phone+", key, inverse), "")))
-    return F.when(north, first).when(v.startswith("+") & F.char_length(d).between(8, 15), abroad)
+    return F.when(F.when(plus, alike).otherwise(valid), within).when(plus & F.char_length(d).between(8, 15), abroad)
 
 
 def _ipv4(v: Column, key: str, inverse: bool) -> Column:
@@ -140,12 +151,39 @@ def _ssn(v: Column, key: str, inverse: bool) -> Column:
 
 
 def _date(v: Column, form: str, key: str, inverse: bool) -> Column:
-    first = F.lit(FIRST_DAY).cast("date")
+    """The date that stands for one in this form; null if it is none. A date keeps its cycle of 400 years."""
+    first, cycle = F.lit(FIRST_DAY).cast("date"), DAY_RADIX[0] * DAY_RADIX[1]
     day = F.try_to_timestamp(v, F.lit(form)).cast("date")
-    n = F.datediff(day, first).cast("long")
-    new = feistel(F.array(F.floor(n / DAY_RADIX[1]).cast("long"), n % DAY_RADIX[1]), F.array(*[F.lit(x) for x in DAY_RADIX]).cast("array<bigint>"), "date", key, inverse)
-    moved = F.date_add(first, (F.get(new, 0) * DAY_RADIX[1] + F.get(new, 1)).cast("int"))
-    return F.when(n.between(0, DAY_RADIX[0] * DAY_RADIX[1] - 1), F.date_format(moved, form))
+    whole = F.datediff(day, first).cast("long")
+    n, at = F.pmod(whole, F.lit(cycle)), F.floor(whole / cycle).cast("long")
+    moved = _moved(n, DAY_RADIX, "date", key, inverse)
+    return F.when(at.between(*CYCLES), F.date_format(F.date_add(first, (at * cycle + moved).cast("int")), form))
+
+
+def _moved(n: Column, radix: tuple[int, int], kind: str, key: str, inverse: bool) -> Column:
+    """A number below the product of two radices permuted."""
+    new = feistel(F.array(F.floor(n / radix[1]).cast("long"), n % radix[1]), F.array(*[F.lit(x) for x in radix]).cast("array<bigint>"), kind, key, inverse)
+    return F.get(new, 0) * radix[1] + F.get(new, 1)
+
+
+def _late_date(v: Column, key: str, inverse: bool) -> Column:
+    """The same for month/day/year with a day over 12, numbered without the first 12 days of all months."""
+    first, cycle, form = F.lit(FIRST_DAY).cast("date"), DAY_RADIX[0] * DAY_RADIX[1], "MM/dd/yyyy"
+    day = F.try_to_timestamp(v, F.lit(form)).cast("date")
+    whole = F.datediff(day, first).cast("long")
+    n, at = F.pmod(whole, F.lit(cycle)), F.floor(whole / cycle).cast("long")
+    months = 12 * (F.year(day) - 1800 - 400 * at) + F.month(day)  # to the end of its own
+
+    def days_of(moved: Column) -> Column:
+        """Days from the first one. The month that holds the number is next to the one it would be in if all were of equal length."""
+        guess = F.floor(moved * 4800 / (LATE_RADIX[0] * LATE_RADIX[1])).cast("int")
+        late = lambda m: (F.datediff(F.add_months(first, m), first) - 12 * m).cast("long")
+        month = F.array_max(F.filter(F.sequence(F.greatest(guess - 3, F.lit(0)), F.least(guess + 3, F.lit(4799))), lambda m: late(m) <= moved))
+        return moved + 12 * (month + 1)
+
+    # as the element of an array the number is computed once, however often it is named
+    days = F.get(F.transform(F.array(_moved(n - 12 * months, LATE_RADIX, "late date", key, inverse)), days_of), 0)
+    return F.when(at.between(*CYCLES) & (F.dayofmonth(day) > 12), F.date_format(F.date_add(first, (at * cycle + days).cast("int")), form))
 
 
 def _mod97(text: Column) -> Column:
@@ -173,23 +211,27 @@ def pseudonym(v: Column, key: str, inverse: bool = False) -> Column:
     access = F.concat(F.substr(v, F.lit(1), F.lit(4)), _by_class(F.substr(v, F.lit(5), F.lit(16)), "access", key, inverse))
     new = (
         F.when(whole(MAIL), mail).when(whole(ACCESS), access).when(whole(SECRET), secret).when(whole(IBAN), _iban(v, key, inverse))
-        .when(whole(ISO_DATE), _date(v, "yyyy-MM-dd", key, inverse)).when(whole(r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), _date(v, "dd/MM/yyyy", key, inverse))
+        .when(whole(ISO_DATE), _date(v, "yyyy-MM-dd", key, inverse)).when(whole(r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), F.coalesce(_date(v, "dd/MM/yyyy", key, inverse), _late_date(v, key, inverse)))
         .when(whole(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), _date(v, "dd.MM.yyyy", key, inverse)).when(whole(IPV4), _ipv4(v, key, inverse))
-        .when(whole(SSN), _ssn(v, key, inverse)).when(whole(CARD), F.coalesce(_card(v, key, inverse), F.when(v.rlike(PHONE), _phone(v, key, inverse)))).when(whole(PHONE), _phone(v, key, inverse))
+        .when(whole(SSN), _ssn(v, key, inverse)).when(whole(E164), _phone(v, key, inverse)).when(whole(CARD), F.coalesce(_card(v, key, inverse), F.when(v.rlike(PHONE), _phone(v, key, inverse)))).when(whole(PHONE), _phone(v, key, inverse))
     )
     return F.coalesce(new, v)
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = DEMO_KEY, inverse: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", inverse: bool = False) -> DataFrame:
     """``docs`` with the values in ``text`` replaced, and n_values, how many were."""
-    body = F.col(text)
-    out = docs.withColumn("_found", F.when(body.rlike("[0-9@=:]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_body"))
+    body = F.col("_body")
+    out = whole.withColumn("_found", F.when(body.rlike("[0-9@=:]"), F.regexp_extract_all(body, F.lit(ANY), F.lit(0))))
     out = out.withColumn("_new", F.transform("_found", lambda v: pseudonym(v, key, inverse)))
     new = F.zip_with(F.split(body, ANY), "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     changed = F.zip_with("_found", "_new", lambda a, b: (a != b).cast("long"))
     n = F.coalesce(F.aggregate(changed, F.lit(0).cast("long"), lambda acc, x: acc + x), F.lit(0).cast("long"))
-    return out.withColumns({text: F.when(F.size("_found") > 0, F.array_join(new, "")).otherwise(body), "n_values": n}).drop("_found", "_new")
+    replaced = F.when(F.size("_found") > 0, F.array_join(new, "")).otherwise(body)
+    rest = [(replaced if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c != "n_values"]
+    return out.select(*rest, n.alias("n_values"))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymised(table(spark, sf_dir, "documents", "doc_id", "text"), key=spark.conf.get("spark.provena.pii.key", DEMO_KEY))
+    """Under the session's key; without one under the demonstration key, which is public and hides nothing from who knows it."""
+    return pseudonymised(table(spark, sf_dir, "documents", "doc_id", "text"), spark.conf.get("spark.provena.pii.key", DEMO_KEY))

@@ -5,7 +5,8 @@ is repeated if its suffix shares that much with a neighbour. Strings that cannot
 
 1. Every string has an anchor, its byte gram of least hash. Strings in a row with the same anchor are a run; equal strings
    lie at the same place of runs with equal anchors. A run is described by the hash of its anchor and the hash of all of
-   its bytes; both are counted over the corpus, summed per batch before the shuffle.
+   its bytes, 128 bits of two functions together; both are counted over the corpus, summed per batch before the shuffle.
+   Only runs around one and the same anchor are told apart by 64 bits, of which an anchor would need some billion to err.
 2. Runs whose bytes recur as a whole are repeated entirely: their strings need no comparison. Runs whose anchor no other
    bytes share are unique. What is left, one run for each distinct content, goes to the shard of its anchor.
 3. A shard is sorted in blocks of whole anchors. An anchor with over MOST distinct runs would make a block that grows with
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import dropped, let_go, table, written
+from provena.llm.common import dropped, let_go, scratch, table, written
 from provena.llm.jaccard import _mixed, _power, slices
 from provena.llm.suffix import ordered
 
@@ -119,12 +120,12 @@ def _struct(runs: pa.StructArray, name: str) -> np.ndarray:
     return runs.field(name).to_numpy(zero_copy_only=False)
 
 
-def repeated_starts(parts: list[bytes], strings: np.ndarray, length: int) -> list[np.ndarray]:
+def repeated_starts(parts: list[bytes], strings: np.ndarray, length: int, folder: str | None = None) -> list[np.ndarray]:
     """Of some byte runs, each with its first so many strings of ``length`` bytes: the starts of strings that occur twice or more."""
     sizes = np.array([len(p) + 1 for p in parts])
     begin = np.concatenate([[0], np.cumsum(sizes)])
     text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
-    places, prefix = ordered(text, length)
+    places, prefix = ordered(text, length, folder)
     which = np.searchsorted(begin, places, "right") - 1
     inside = places - begin[which]
     starts = inside < strings[which]
@@ -156,10 +157,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     one = F.struct("id", "tid", "s", "e", "at")
     counts = runs.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.min(one).alias("one"))
     found = written(counts.filter("n > 1").select("anchor", "whole"))
+    let_go(spark)
     shared = counts.select("anchor", "whole").groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     compare = written(counts.join(shared, "anchor").select("anchor", "n", "one.*", "kinds"))
     let_go(spark)
     whole = written(runs.join(found, ["anchor", "whole"], "left_semi").select("id", "tid", "s", "e"))
+    dropped(runs)
+    dropped(found)
     let_go(spark)
     usual, crowded = compare.filter(F.col("kinds") <= MOST), compare.filter(F.col("kinds") > MOST)
 
@@ -173,11 +177,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
     parts = _cut(keyed, usual, f"id {kind}, tid long, s int, anchor long, n long, part binary", ["s", "anchor", "n", "part"], bytes_of)
     parts = parts.repartition(tasks, "anchor").sortWithinPartitions("anchor")
 
+    folder = scratch(spark)
+
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(rows: list) -> Iterator[pa.RecordBatch]:
             strings = np.array([len(r[5]) - length + 1 for r in rows])
             out = [[], [], [], []]
-            for r, starts in zip(rows, repeated_starts([r[5] for r in rows], strings, length), strict=True):
+            for r, starts in zip(rows, repeated_starts([r[5] for r in rows], strings, length, folder), strict=True):
                 if r[4] == 1:  # others are repeated as a whole
                     for a, b in zip(*_spans(starts, length), strict=True):
                         for column, value in zip(out, (r[0], r[1], r[2] + int(a), r[2] + int(b)), strict=True):
@@ -211,7 +217,6 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
         strings = written(_cut(keyed, crowded, f"id {kind}, tid long, s int, n long, digest binary", ["s", "n", "digest"], each_string))
         often = strings.groupBy("digest").agg(F.sum("n").alias("all")).filter("all > 1").select("digest")
         out = out.unionByName(strings.join(often, "digest", "left_semi").select("id", "tid", "s", (F.col("s") + length).cast("int").alias("e")))
-    dropped(runs)
     return out
 
 

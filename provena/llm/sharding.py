@@ -11,7 +11,9 @@ vectors reach the driver, and their shards go back in a broadcast of that bound.
 on the map side. Slots are dealt in cells of a shard by hash of id and text, so no task holds a whole shard.
 
 The law is ``bytes``: the shards' bytes are near equal. Size is the UTF-8 bytes of the text plus 1; null is sized, hashed
-and grouped as the empty text. Rows with equal id and text get neighbouring slots. An empty table gives no rows.
+and grouped as the empty text. Rows with equal id and text get neighbouring slots. Of groups of equal size the one that comes first by its
+hash is placed first, and of shards with equal room the lower number takes it. An empty table gives no rows; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations

@@ -3,8 +3,7 @@
 A suffix is S if it is less than the next one, else L; an S suffix after an L one is a seed. Seeds are ordered first.
 Scanning all suffixes upwards induces the L ones: whoever is taken from a bucket pushes the suffix one to its left into
 the bucket of that suffix's first byte. Scanning downwards induces the S ones likewise. Buckets are queues of (place,
-common prefix with the one before) tuples that live on disk once they exceed their share of memory, so what a scan holds
-is one bucket, not the shard. What two neighbours in a bucket have in common is one more than the least common prefix
+common prefix with the one before) tuples that live on disk once they exceed their share of memory. What two neighbours in a bucket have in common is one more than the least common prefix
 between the tuples that pushed them, which is carried along.
 
 Depth is bounded: neighbours that agree in ``depth`` bytes count as equal, in any order. That is why seeds need no further
@@ -13,57 +12,71 @@ recursion: they are ordered by radix on words of eight bytes, of which depth / 8
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 import numpy as np
+from pyarrow import fs
 
 #: Bytes that the queues of one scan keep in memory before they go to disk.
-IN_MEMORY = 128 << 20
+IN_MEMORY = 4 << 20
+TUPLE = np.dtype([("place", "<i4"), ("prefix", "u1")])
 
 
 class Queues:
-    """One append-only queue of (place, prefix) tuples per first byte; large ones are kept in a file of the task's own."""
-
-    def __init__(self, most: int = IN_MEMORY):
-        self.most, self.held, self.files = most, 0, {}
-        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
-        self.folder: tempfile.TemporaryDirectory | None = None
+    """One queue of (place, prefix) tuples per first byte, served in byte order; what exceeds the memory goes to the shared folder.
+
+    A spill is one file with the tuples of all queues, one after the other, and an index that stays in memory. A queue is read
+    from its part of each spill, in the order of pushes. Without a folder that this process can open, all stays in memory; blocks are
+    bounded, and so are their queues. Files are removed as soon as the scan is over, and by the job's driver if a task was lost."""
+
+    def __init__(self, folder: str | None = None, most: int | None = None):
+        self.most, self.held, self.spills = most or IN_MEMORY, 0, []
+        self.parts: list[list[np.ndarray]] = [[] for _ in range(256)]
+        self.store = None
+        if folder:
+            try:
+                self.store, self.folder = fs.FileSystem.from_uri(folder)
+            except (OSError, ValueError, NotImplementedError):
+                self.store = None
 
     def push(self, bucket: int, place: np.ndarray, prefix: np.ndarray) -> None:
-        self.parts[bucket].append((place, prefix))
-        self.held += place.nbytes + prefix.nbytes
-        if self.held > self.most:
+        tuples = np.empty(len(place), TUPLE)
+        tuples["place"], tuples["prefix"] = place, prefix
+        self.parts[bucket].append(tuples)
+        self.held += tuples.nbytes
+        if self.store is not None and self.held > self.most:
             self._spill()
 
     def _spill(self) -> None:
-        self.folder = self.folder or tempfile.TemporaryDirectory()
-        for bucket, parts in enumerate(self.parts):
-            if parts:
-                with open(f"{self.folder.name}/{bucket}", "ab") as f:
-                    for place, prefix in parts:
-                        np.array([len(place)], np.int64).tofile(f)
-                        place.tofile(f)
-                        prefix.tofile(f)
-                self.files[bucket] = True
-                parts.clear()
+        path, index, at = f"{self.folder}/{uuid.uuid4().hex}", {}, 0
+        self.store.create_dir(self.folder, recursive=True)
+        with self.store.open_output_stream(path) as f:
+            for bucket, parts in enumerate(self.parts):
+                if parts:
+                    index[bucket] = at, sum(map(len, parts))
+                    for x in parts:
+                        f.write(x.tobytes())
+                        at += x.nbytes
+                    parts.clear()
+        self.spills.append((path, index))
         self.held = 0
 
     def pop(self, bucket: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """All tuples of a bucket in the order of their pushes; the queue is empty then."""
         out = []
-        if self.files.pop(bucket, False):
-            path = f"{self.folder.name}/{bucket}"
-            with open(path, "rb") as f:
-                while len(n := np.fromfile(f, np.int64, 1)):
-                    out.append((np.fromfile(f, np.int32, int(n[0])), np.fromfile(f, np.uint8, int(n[0]))))
-            open(path, "wb").close()
+        for path, index in self.spills:
+            if bucket in index:
+                at, n = index.pop(bucket)
+                with self.store.open_input_file(path) as f:
+                    out.append(np.frombuffer(f.read_at(n * TUPLE.itemsize, at), TUPLE))
         parts, self.parts[bucket] = self.parts[bucket], []
-        self.held -= sum(a.nbytes + b.nbytes for a, b in parts)
-        return out + parts
+        self.held -= sum(x.nbytes for x in parts)
+        return [(np.ascontiguousarray(x["place"]), np.ascontiguousarray(x["prefix"])) for x in out + parts]
 
     def close(self) -> None:
-        if self.folder:
-            self.folder.cleanup()
+        for path, _ in self.spills:
+            self.store.delete_file(path)
+        self.spills = []
 
 
 def _least(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,8 +174,10 @@ def _pushed(queues: Queues, text: np.ndarray, place: np.ndarray, prefix: np.ndar
     return back
 
 
-def ordered(text: np.ndarray, depth: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """All suffixes of a text (uint8) in order, and what each has in common with the one before, both up to ``depth`` (< 255)."""
+def ordered(text: np.ndarray, depth: int = 200, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """All suffixes of a text (uint8) in order, and what each has in common with the one before, both up to ``depth`` (< 255).
+
+    Queues spill below ``folder``."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int32), np.zeros(0, np.uint8)
@@ -173,7 +188,7 @@ def ordered(text: np.ndarray, depth: int = 200) -> tuple[np.ndarray, np.ndarray]
     seeds = np.flatnonzero(is_s[1:] & ~is_s[:-1]).astype(np.int32) + np.int32(1)
     order, prefix = _seeds(text, seeds, depth)
     bounds = np.searchsorted(text[order], np.arange(257))
-    queues = Queues()
+    queues = Queues(folder)
     upper: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
     # the end of the text comes first and pushes the last place
     queues.push(int(text[-1]), np.array([n - 1], np.int32), np.zeros(1, np.uint8))
@@ -200,7 +215,7 @@ def ordered(text: np.ndarray, depth: int = 200) -> tuple[np.ndarray, np.ndarray]
                 _pushed(queues, text, place, shared, run, (place > 0) & (text[place - 1] > c), c, depth)
         queues.close()
         # downwards: a tuple's prefix is what it has in common with the one after it (the one pushed before it)
-        queues = Queues()
+        queues = Queues(folder)
         lower: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
         for c in range(255, -1, -1):
             run = np.zeros(256, np.int64)

@@ -7,7 +7,11 @@ pre-token's count is stored where it ends; a document's count is the sum over it
 The score of a token is -ln(rank + 1): Zipf's law over the ranks of a public byte vocabulary, whose path is a parameter;
 nothing is trained. All single bytes are tokens, so each text has a segmentation. Of segmentations with equal scores the
 one with fewer tokens counts. The trie and the counts of a worker are bounded and start anew when full, which changes no
-result. There is no shuffle; a document is read once. Null counts as the empty text: no tokens.
+result: prefixes are shared up to DEPTH bytes, and what a pre-token has beyond needs the scores of the last prefixes only, as many as the
+longest token has bytes. So a pre-token of any length takes a fixed amount of memory. There is no shuffle; a document is read once.
+
+Edge cases: null counts as the empty text: no tokens; repeated rows are counted each; a null id stays null; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from provena.llm.common import table
 
 MOST_NODES = 400_000
 MOST_WORDS = 400_000
+#: Bytes of a pre-token that go into the trie, and characters of a text whose pre-tokens are listed at once.
+DEPTH, AT_ONCE = 256, 1_000_000
 
 
 def scores(path: str) -> dict[bytes, float]:
@@ -51,6 +57,8 @@ class Counter(dict):
                     self.value.append(None)
                 node = self.back[key]
             self.value[node] = score
+        self.longest = max(map(len, vocab), default=1)
+        self.depth = max(DEPTH, self.longest)
         self.cut = regex.compile(PATTERN)
         self.clear()
 
@@ -63,7 +71,7 @@ class Counter(dict):
         """The number of tokens of a pre-token; adds what the trie lacks."""
         child, best, count, back, value = self.child, self.best, self.count, self.back, self.value
         path, node = [0], 0
-        for depth, b in enumerate(word):
+        for depth, b in enumerate(word[: self.depth]):
             key = node << 8 | b
             node = child.get(key, -1)
             if node < 0:
@@ -81,7 +89,26 @@ class Counter(dict):
                 best.append(top)
                 count.append(fewest)
             path.append(node)
-        return count[node]
+        return count[node] if len(word) <= self.depth else self._beyond(word, path)
+
+    def _beyond(self, word: bytes, path: list[int]) -> int:
+        """The number of tokens of a long pre-token from the nodes of its first bytes, with the scores of its last prefixes in a ring."""
+        back, value, size = self.back, self.value, self.longest + 1
+        best, count = [0.0] * size, [0] * size
+        for n in range(max(0, self.depth - self.longest), self.depth + 1):
+            best[n % size], count[n % size] = self.best[path[n]], self.count[path[n]]
+        for depth in range(self.depth, len(word)):
+            at, top, fewest = 0, -math.inf, 0
+            for start in range(depth, depth - self.longest, -1):
+                at = back.get(at << 8 | word[start], -1)
+                if at < 0:
+                    break
+                if value[at] is not None:
+                    score, n = best[start % size] + value[at], count[start % size] + 1
+                    if score > top or (score == top and n < fewest):
+                        top, fewest = score, n
+            best[(depth + 1) % size], count[(depth + 1) % size] = top, fewest
+        return count[len(word) % size]
 
     def __missing__(self, word: str) -> int:
         n = self.walk(word.encode())
@@ -93,8 +120,15 @@ class Counter(dict):
         """The numbers of pre-tokens and of tokens."""
         if len(self) >= MOST_WORDS or len(self.best) >= MOST_NODES:
             self.clear()
-        words = self.cut.findall(text)
-        return len(words), sum(map(self.__getitem__, words))
+        if len(text) <= AT_ONCE:
+            words = self.cut.findall(text)
+            return len(words), sum(map(self.__getitem__, words))
+        n = total = 0
+        for m in self.cut.finditer(text):
+            n, total = n + 1, total + self[m[0]]
+            if len(self) >= MOST_WORDS or len(self.best) >= MOST_NODES:
+                self.clear()
+        return n, total
 
 
 _counters: dict[str, Counter] = {}

@@ -77,21 +77,44 @@ def test_repeats_of_nothing(none):
     assert repeats.cleaned(none).count() == 0
 
 
-def test_suffix_order_and_prefixes(monkeypatch):
+def test_suffix_order_and_prefixes(monkeypatch, tmp_path):
     rng = random.Random(3)
     for k in range(120):
         depth = rng.choice([8, 16, 200])
         letters = rng.choice([b"ab", b"abcd", b"the quick", bytes(range(1, 256))])
         t = bytes(rng.choice(letters) for _ in range(rng.randint(1, 200)))
         t += t[: rng.randint(0, len(t))]
-        if k % 3 == 0:
-            monkeypatch.setattr(suffix.Queues.__init__, "__defaults__", (64,))
-        order, prefix = suffix.ordered(np.frombuffer(t, np.uint8), depth)
+        monkeypatch.setattr(suffix, "IN_MEMORY", 64 if k % 3 == 0 else 4 << 20)
+        order, prefix = suffix.ordered(np.frombuffer(t, np.uint8), depth, f"file://{tmp_path}/q")
         assert sorted(order.tolist()) == list(range(len(t)))
         heads = [t[p : p + depth] for p in order]
         assert all(a <= b for a, b in itertools.pairwise(heads))
         want = [0] + [next((i for i in range(min(len(a), len(b))) if a[i] != b[i]), min(len(a), len(b))) for a, b in itertools.pairwise(heads)]
         assert prefix.tolist() == want
+    assert not list((tmp_path / "q").iterdir())
+
+
+def test_queues_of_a_shard_larger_than_memory(monkeypatch, tmp_path):
+    """A shard of a hundred times the memory that queues may take: most tuples pass the disk, and the order is the same."""
+    rng, spilled, held = random.Random(9), [], []
+    t = np.frombuffer("".join(rng.choice(["the ", "of ", "and ", "ing ", "xyz "]) for _ in range(60_000)).encode(), np.uint8)
+    want = suffix.ordered(t)
+    spill, push = suffix.Queues._spill, suffix.Queues.push
+
+    def spied(self):
+        spilled.append(self.held)
+        spill(self)
+
+    def watched(self, *args):
+        push(self, *args)
+        held.append(self.held)
+
+    monkeypatch.setattr(suffix.Queues, "_spill", spied)
+    monkeypatch.setattr(suffix.Queues, "push", watched)
+    monkeypatch.setattr(suffix, "IN_MEMORY", len(t) // 100)
+    got = suffix.ordered(t, folder=f"file://{tmp_path}/q")
+    assert all((a == b).all() for a, b in zip(got, want, strict=True)) and sum(spilled) > 2 * len(t) and max(held) <= suffix.IN_MEMORY
+    assert not list((tmp_path / "q").iterdir())
 
 
 def test_language_model(spark, folder, texts):
@@ -115,47 +138,142 @@ def test_language_model_of_nothing(spark, none):
 
 
 def test_sweeps_see_the_totals_of_the_sweep_before(docs, monkeypatch):
-    seen, sweep = [], pitmanyor.Sampler.sweep
+    seen, after = [], pitmanyor.after_sweep
 
-    def spied(self, *args):
-        t = self.totals
-        seen.append((int(t["tables"].sum()), t["of_root"], t["root"]))
-        return sweep(self, *args)
+    def spied(found, t, k):
+        out = after(found, t, k)
+        seen.append((k, int(t["tables"].sum()), t["of_root"], t["root"], int(out["tables"].sum()), out["of_root"]))
+        return out
 
-    monkeypatch.setattr(pitmanyor.Sampler, "sweep", spied)
+    monkeypatch.setattr(pitmanyor, "after_sweep", spied)
     assert pitmanyor.scored(docs).count() == docs.count()
-    assert len(seen) == pitmanyor.BURN + pitmanyor.SAMPLES and all(a == b for a, b, _ in seen)
-    assert seen[1][0] > seen[0][0] and len({a for a, *_ in seen}) > 2 and seen[1][2] > seen[0][2]
+    assert [x[0] for x in seen] == list(range(pitmanyor.BURN + pitmanyor.SAMPLES)) and all(a == b and c == d for _, a, b, _, c, d in seen)
+    assert all(x[4] == y[1] for x, y in itertools.pairwise(seen)) and seen[1][1] > seen[0][1] and len({x[1] for x in seen}) > 2 and seen[1][3] > seen[0][3]
 
 
-def test_parent_sums_to_one_after_sweeps():
-    rng = np.random.default_rng(1)
-    row, context = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50)
-    count = rng.integers(1, 30, 200)
-    totals = {"tables": np.full(4, 50), "customers": np.bincount(context, count), "discount": 0.7, "strength": 3.0, "root": 50, "of_root": 200, "uniform": 1 / 51, "n": int(count.sum()), "v": 50, "n_contexts": 4}
-    sampler = pitmanyor.Sampler(50, row, context, count, totals, 0)
-    sampler.run(4)
-    t = sampler.totals
-    unknown = (10.0 + 0.6 * t["root"]) * t["uniform"] / (10.0 + t["of_root"])
-    assert abs(sampler.parent().sum() + unknown - 1) < 1e-9
+def restaurants(count, row, context, n, wide, frequent=()):
+    """Totals before the first sweep, with one table per pair; ``frequent`` rows are shared."""
+    f = np.array(frequent, np.int64)
+    return {
+        "tables": np.bincount(context, minlength=wide), "customers": np.bincount(context, count, minlength=wide), "discount": 0.7, "strength": 3.0, "root": n, "of_root": len(row), "uniform": 1 / (n + 1), "n": int(count.sum()), "v": n, "n_contexts": wide,
+        "f_words": f.astype(np.uint64), "f_seen": np.bincount(row, count, minlength=n)[f].astype(np.int64), "f_of_root": np.bincount(row, minlength=n)[f], "f_root": np.ones(len(f), np.int64),
+    }
 
 
-def test_predictive_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
+@pytest.mark.parametrize("frequent", [(), (3, 7)])
+def test_probabilities_sum_to_one(frequent):
+    rng = np.random.default_rng(1)
     row, context = np.repeat(np.arange(50), 4), np.tile(np.arange(4), 50)
-    count = rng.integers(1, 9, 200)
-    totals = {"tables": np.full(4, 50), "customers": np.bincount(context, count), "discount": 0.7, "strength": 3.0, "root": 50, "of_root": 200, "uniform": 1 / 51, "n": int(count.sum()), "v": 50, "n_contexts": 4}
-    mean, customers, root, sums = pitmanyor.Sampler(50, row, context, count, totals, 0).run(4)
-    sums = sums.reshape(pitmanyor.SAMPLES, 6)
-    totals |= {"sample_tables": sums[:, :4], "sample_of_root": sums[:, 4], "sample_root": sums[:, 5]}
-    words = np.arange(50).astype(np.uint64)
-    scorer = pitmanyor.Scorer(words, row, context, count, mean, customers, root, totals)
+    count = rng.integers(1, 30, 200)
+    shared = np.full(50, -1)
+    shared[list(frequent)] = np.arange(len(frequent))
+    sampler = pitmanyor.Sampler(shared, row, context, count, restaurants(count, row, context, 50, 4, frequent), 0)
+    totals = sampler.run()
+    unknown = pitmanyor.root_back(totals) / (10.0 + totals["of_root"])
+    assert abs(pitmanyor.Sampler(shared, row, context, count, totals, 0, (sampler.of_root, sampler.root, 0, [], [])).parent().sum() + unknown - 1) < 1e-9
+    words, *pairs, (_, _, mean, customers, roots) = pitmanyor._loaded(sampler.saved(np.arange(50).astype(np.uint64)))
+    assert all((a == b).all() for a, b in zip(pairs, (row, context, count), strict=True)) and np.allclose(mean, sampler.mean)
+    scorer = pitmanyor.Scorer(words, *pairs, mean, customers, roots, totals)
     for u in range(4):
         p, _, known = scorer.score(np.append(words, np.uint64(99)), np.full(51, u))
         assert known[:50].all() and not known[50]
         assert abs((10.0**p).sum() - 1) < 1e-6
 
 
+def plain_sampler(train, sweeps, rng, discount, strength):
+    """Customer by customer, table by table: seats of every restaurant as lists of table sizes; mean log10 probability of a text's tokens."""
+    words = sorted({w for ws in train for w in ws})
+    pairs = [(u, w) for ws in train for u, w in zip(["<s>", *ws], ws, strict=False)]
+    seats, root = {}, {}
+    total, dishes = collections.Counter(), collections.Counter()
+    d0, s0 = pitmanyor.ROOT_DISCOUNT, pitmanyor.ROOT_STRENGTH
+
+    def base(w):
+        n, t = sum(root.get(w, [])), len(root.get(w, []))
+        return (n - d0 * t + (s0 + d0 * total["root tables"]) / (len(words) + 1)) / (s0 + total["root"])
+
+    def join(tables, weights_new, d):
+        weights = [n - d for n in tables] + [weights_new]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(0)
+        tables[k] += 1
+        return tables[k] == 1
+
+    def leave(tables):
+        k = rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            tables.pop(k)
+            return True
+        return False
+
+    def seat(u, w):
+        if join(seats.setdefault((u, w), []), (strength + discount * dishes[u]) * base(w), discount):
+            dishes[u] += 1
+            if join(root.setdefault(w, []), (s0 + d0 * total["root tables"]) / (len(words) + 1), d0):
+                total["root tables"] += 1
+            total["root"] += 1
+
+    def rise(u, w):
+        if leave(seats[u, w]):
+            dishes[u] -= 1
+            total["root"] -= 1
+            if leave(root[w]):
+                total["root tables"] -= 1
+
+    customers = collections.Counter(u for u, _ in pairs)
+    for u, w in pairs:
+        seat(u, w)
+    out = collections.Counter()
+    for k in range(sweeps):
+        for u, w in pairs:
+            rise(u, w)
+            seat(u, w)
+        if k >= sweeps // 2:
+            for u, w in set(pairs):
+                own = seats[u, w]
+                out[u, w] += (sum(own) - discount * len(own) + (strength + discount * dishes[u]) * base(w)) / (strength + customers[u]) / (sweeps - sweeps // 2)
+    return out, pairs
+
+
+def test_scores_against_a_plain_sampler(spark, monkeypatch):
+    """Probabilities of seen pairs on a small corpus: near those of a sampler that moves single customers between tables."""
+    monkeypatch.setattr(pitmanyor, "LEAST", 1)
+    rng = random.Random(5)
+    texts = [[rng.choice("aabbbcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randint(8, 25))] for _ in range(60)]
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(texts)]
+    got = {r.doc_id: r for r in pitmanyor.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    train = [[*ws, "</s>"] for i, ws in enumerate(texts) if not got[i].held_out]
+    seen, pairs = collections.Counter(), [(u, w) for ws in train for u, w in zip(["<s>", *ws], ws, strict=False)]
+    count = collections.Counter(pairs)
+    singles, doubles = sum(c == 1 for c in count.values()), sum(c == 2 for c in count.values())
+    discount = min(0.95, max(0.1, singles / max(1, singles + 2 * doubles)))
+    tables, customers = collections.Counter(u for u, _ in count), collections.Counter(u for u, _ in pairs)
+    strength = pitmanyor._strength(np.array([tables[u] for u in tables]), np.array([customers[u] for u in tables]), discount)
+    p, _ = plain_sampler(train, 60, random.Random(1), discount, strength)
+    for i, ws in enumerate(texts):
+        if not got[i].held_out:
+            want = sum(math.log10(p[pair]) for pair in zip(["<s>", *ws], [*ws, "</s>"], strict=True))
+            seen[i] = abs(got[i].score - want) / abs(want)
+    assert len(seen) > 40 and max(seen.values()) < 0.05 and sum(seen.values()) / len(seen) < 0.02
+
+
+def test_more_words_have_their_own_context_in_a_larger_corpus(spark, monkeypatch):
+    sizes, contexts = [], pitmanyor.Contexts
+
+    def spied(often, own):
+        sizes.append(len(own))
+        return contexts(often, own)
+
+    monkeypatch.setattr(pitmanyor, "Contexts", spied)
+    for n in (20, 200):
+        rng = random.Random(n)
+        rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(60))) for i in range(n)]
+        assert pitmanyor.scored(spark.createDataFrame(rows, "doc_id long, text string")).count() == n
+    assert max(sizes[: len(sizes) // 2]) * 2 < max(sizes)
+
+
 def test_bpe_is_the_library(texts):
     from tokenizers import Tokenizer
 
@@ -203,7 +321,7 @@ def brute_links(rows, k, percent):
 
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80), (2, 50)])
 def test_jaccard_join_against_brute_force(docs, texts, k, percent):
-    got = sorted((tuple(r) for r in jaccard.joined(docs, k=k, percent=percent).collect()), key=key)
+    got = sorted((tuple(r) for r in jaccard.joined(docs, k=k, percent=percent).drop("stays").collect()), key=key)
     assert got == brute_links([(r[0], r[1]) for r in texts], k, percent)
 
 
@@ -224,13 +342,28 @@ def near_groups(n, seed=3):
 
 @pytest.mark.parametrize("k,percent,small,dense,depth", [(3, 90, 8, 32, 4), (3, 90, 1, 0, 2), (5, 80, 1, 0, 1), (5, 80, 1, 10**6, 4)])
 def test_jaccard_join_of_near_groups(spark, k, percent, small, dense, depth, monkeypatch):
-    for name, value in {"SMALL": small, "DENSE": dense, "DEPTH": depth, "PIVOTS": 2, "PACK": 3000}.items():
+    for name, value in {"SMALL": small, "DENSE": dense, "DEPTH": depth, "PIVOTS": 2, "PACK": 3000, "FEW_EDGES": 0 if depth == 1 else 10**6}.items():
         monkeypatch.setattr(jaccard, name, value)
     rows = near_groups(50)
-    got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent).collect()), key=key)
+    got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent).drop("stays").collect()), key=key)
     assert got == brute_links(rows, k, percent)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW_EDGES", few)
+    rng = random.Random(few)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randint(100, 190), rng.randint(100, 190)) for _ in range(60)] + [(7, 7)]
+    got = {r.cls: r.comp for r in jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(edges)):
+        for a, b in edges:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    # a node that is the least of its component may be left out
+    assert {x: got.get(x, x) for x in want} == want
+
+
 def test_reach_of_deviations():
     """Any two linked sets, one of them not linked with the pivot, share one of the first elements of their deviations."""
     rng = random.Random(1)

@@ -61,19 +61,19 @@ def test_pii_edges(docs, none):
 
 def test_pii_of_long_texts(spark):
     """A domain of thousands of labels, and 10 MB of text, neither of which may end the session."""
-    labels, long = "a@" + "b." * 20_000 + "com", "word a.b@c.org 1990-02-13 " * 400_000
+    labels, long = "a@" + "b." * 20_000 + "com", "some words of a long text, and more of them without any value. " * 160_000 + "word a.b@c.org 1990-02-13 " * 4000
     out = pii.pseudonymised(spark.createDataFrame([(0, labels), (1, long)], "doc_id int, text string"), KEY)
     got = {r.doc_id: r for r in out.collect()}
-    assert got[1].n_values == 800_000 and len(got[1].text) == len(long) and got[0].text[1:] == labels[1:]
+    assert got[1].n_values == 8000 and len(got[1].text) == len(long) and got[0].text[1:] == labels[1:]
 
 
 def test_numbers_and_dates_in_other_forms(spark):
-    values = ["+14155552671", "+4930123456", "02/13/1990", "12/31/2024", "02/29/2000", "13/12/1990", "31/12/0999", "1203-05-17", "+0123456789"]
+    values = ["+14155552671", "+4930123456", "+1 (091) 555-3384", "+1 415 155 2671", "+4930 123 4567", "+10912345678", "02/13/1990", "12/31/2024", "02/29/2000", "13/12/1990", "31/12/0999", "1203-05-17", "+0123456789"]
     out = pii.pseudonymised(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "doc_id int, text string"), KEY)
     got = {r.doc_id: r.text for r in out.collect()}
-    assert [got[i] == x for i, x in enumerate(values)] == [False] * 6 + [True, False, True]
+    assert [got[i] == x for i, x in enumerate(values)] == [False] * 10 + [True, False, True]
     assert all(len(got[i]) == len(x) for i, x in enumerate(values)) and re.fullmatch(r"\+1[2-9]\d\d[2-9]\d{6}", got[0]) and got[1].startswith("+493")
-    assert all(int(got[i][3:5]) > 12 and 1 <= int(got[i][:2]) <= 12 for i in (2, 3, 4))
+    assert all(int(got[i][3:5]) > 12 and 1 <= int(got[i][:2]) <= 12 for i in (6, 7, 8))
     back = {r.doc_id: r.text for r in pii.pseudonymised(out, KEY, inverse=True).collect()}
     assert [back[i] for i in range(len(values))] == values
 
