@@ -4,8 +4,8 @@
 all its predecessor kept; all but the last return the columns of documents. What a stage drops is a list of keys that is
 broadcast after a check of its size and joined with a shuffle beyond that, so texts move only where they must.
 
-The quality stage also passes texts on without their boilerplate lines. Edge cases are those of the operators; besides, of rows with equal id and text one stays at the near-duplicate stage, and
-rows with a null id stay unless they belong to a component that has an id.
+The quality stage also passes texts on without their boilerplate lines. Edge cases are those of the operators; besides, at the
+near-duplicate stage one row of a component stays, that of the least id or a null one if there is no other, and of rows with equal id and text one.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from provena.llm.common import importable, kept_after, small, table, written
 
 #: Keys of dropped documents that are broadcast at most.
 MOST_KEYS = 1_000_000
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the stages; tests hold each of them against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -42,13 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     importable(spark)
     text = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_provena_text")
     found = written(jaccard.joined(docs.select("doc_id", "text", text), k=5, percent=80, also=("_provena_text",)))
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    same = F.col("doc_id").eqNullSafe(F.col("_provena_id"))
-    left = _without(docs, found.filter(~kept).select(F.col("doc_id").alias("_id"), F.col("_provena_text").alias("_text")))
-    twice = written(found.filter(kept).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_provena_id")))
+    key = [F.col("doc_id").alias("_id"), F.col("_provena_text").alias("_text")]
+    left = _without(docs, found.filter("not stays").select(*key))
+    twice = written(found.filter("stays").groupBy(*key).count().filter("count > 1").select(F.col("_id").alias("_provena_id"), F.col("_text").alias("_provena_text")))
     if twice.isEmpty():
         return left
-    hint = small(twice, MOST_KEYS)
+    hint, same = small(twice, MOST_KEYS), F.col("doc_id").eqNullSafe(F.col("_provena_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_provena_text"))
     return left.join(hint, same, "left_anti").unionByName(left.join(hint, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
@@ -63,7 +62,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymised(_whole(docs), key=spark.conf.get("spark.provena.pii.key", pii.DEMO_KEY))
+    out = pii.pseudonymised(_whole(docs), spark.conf.get("spark.provena.pii.key", pii.DEMO_KEY))
     new = {"text": F.col("text"), "n_chars": F.char_length("text")}
     return out.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col(f"_provena_row.`{f.name}`")).alias(f.name) for f in docs.schema])
 
