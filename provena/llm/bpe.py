@@ -29,7 +29,9 @@ from provena.llm.common import table
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens and token pairs that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Rows that are coded at a time.
+ROWS = 200
 
 
 @lru_cache(maxsize=1)
@@ -105,7 +107,7 @@ class Encoder(dict):
                 before, x = x, right[x]
             else:
                 before, y = y + 1, left[y]
-        if len(self.pairs) >= 4 * REMEMBERED:
+        if len(self.pairs) >= 2 * REMEMBERED:
             self.pairs.clear()
         self.pairs[a, b] = fits
         return fits
@@ -167,7 +169,7 @@ def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
         import numpy as np
 
         bpe = encoder(path, vocab.value)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             n, a, b = [], [], []
             for body in batch.column(1):
                 ids = bpe.encode(body.as_py() or "")

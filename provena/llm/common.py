@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+BATCH_BYTES, MOST_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; others, whatever their names, are left in the file. Texts in fewer splits than there are cores are dealt out."""
     importable(spark)
@@ -31,6 +34,10 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if here not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, here])
+    # texts are long: batches for Python workers are held in the JVM and in the worker at once
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_BYTES, "1b"))
+    if size > MOST_BATCH:
+        spark.conf.set(BATCH_BYTES, str(MOST_BATCH))
 
 
 def shared_folder(spark: SparkSession) -> str:

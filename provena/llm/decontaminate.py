@@ -96,14 +96,15 @@ def hits(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text",
 
 def judged(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", per_hit: int = 20, **options) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items and contaminated (n_hit > 0 and per_hit * n_hit >= n_words)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_text", F.xxhash64(body))
-    found = hits(keyed, items, [id_col, "_text"], text, **options)
-    found = found.select(F.col(id_col).alias("_fid"), F.col("_text").alias("_ftext"), "n_hit", "items")
-    out = keyed.withColumn("n_words", F.regexp_count(ascii_lower(body), F.lit(TOKEN)).cast("long"))
-    out = out.join(found, F.col(id_col).eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ftext")), "left").drop("_fid", "_ftext", "_text")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
-    return out.withColumns({"n_items": F.size("items").cast("long"), "contaminated": (F.col("n_hit") > 0) & (per_hit * F.col("n_hit") >= F.col("n_words"))})
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(body).alias("_text"), body.alias("_body"))
+    found = hits(whole.select("_id", "_text", "_body"), items, ["_id", "_text"], "_body", **options)
+    found = found.select(F.col("_id").alias("_fid"), F.col("_text").alias("_ftext"), "n_hit", F.col("items").alias("_items"))
+    out = whole.select("_row", "_id", "_text", F.regexp_count(ascii_lower(F.col("_body")), F.lit(TOKEN)).cast("long").alias("n_words"))
+    out = out.join(found, F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_text") == F.col("_ftext")), "left")
+    n_hit, owners = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("_items", F.array().cast("array<string>"))
+    added = {"n_words": F.col("n_words"), "n_hit": n_hit, "items": owners, "n_items": F.size(owners).cast("long"), "contaminated": (n_hit > 0) & (per_hit * n_hit >= F.col("n_words"))}
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in added], *[value.alias(name) for name, value in added.items()])
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ SMALL = 8
 #: Pairs for each member from which a cell is split; pivots it is split by; depth at which no cell is split any more.
 DENSE, PIVOTS, DEPTH = 32, 4, 4
 #: Entries of a pack, and of a task that looks for regions of two classes.
-PACK, IN_TASK = 2_000_000, 4_000_000
+PACK, IN_TASK = 1_000_000, 2_000_000
 #: Edges of a graph that one task takes at most.
 FEW_EDGES = 1_000_000
 #: Rows of representatives that are broadcast at most.
@@ -62,7 +62,7 @@ MAPS = 2
 #: Times that classes with too few shared regions are taken out.
 PEELS = 2
 #: Bytes of text that are hashed at a time.
-SLICE = 2_000_000
+SLICE = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLANK = np.zeros(256, bool)
@@ -210,14 +210,15 @@ def _text_hash(text: str) -> Column:
 
 
 #: A class in a range: the class, the number of the range, and how many regions it must share.
-OWNER = np.dtype([("cls", "<i8"), ("number", "<i4"), ("need", "<i4")])
+OWNER = np.dtype([("cls", "<i8"), ("number", "u1"), ("need", "<u2")])
 #: Bytes of a region within its bucket; the bucket tells the rest.
 OF_REGION = 6
 
 
-def _packed(regions: np.ndarray, owner: np.ndarray, owners: np.ndarray, buckets: int, number: int) -> Iterator[pa.RecordBatch]:
+def _packed(regions: np.ndarray, owner: np.ndarray, owners: np.ndarray, places: np.ndarray, number: int) -> Iterator[pa.RecordBatch]:
     """Rows of a pack, by bucket: its single regions with their owners, its shared ones, which are known to be, and, without owners, one entry for each of these."""
-    bucket = ((regions >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+    buckets = len(places)
+    bucket = ((regions >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((regions, bucket))
     regions, owner, bucket = regions[order], owner[order], bucket[order]
     low = np.ascontiguousarray(regions).view(np.uint8).reshape(-1, 8)[:, :OF_REGION]
@@ -231,9 +232,9 @@ def _packed(regions: np.ndarray, owner: np.ndarray, owners: np.ndarray, buckets:
         for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             own = at[cuts[b] : cuts[b + 1]]
             used, index = np.unique(owner[own], return_inverse=True)
-            names, places = (b"", b"") if kind == 2 else (owners[used].tobytes(), index.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes())
+            names, own_places = (b"", b"") if kind == 2 else (owners[used].tobytes(), index.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes())
             # what is known to be shared may be unpacked anywhere
-            rows.append((b, -1 - (number * buckets + b) % 1_000_003 if kind == 1 else b, low[own].tobytes(), names, places))
+            rows.append((b, -1 - (number * buckets + b) % 1_000_003 if kind == 1 else int(places[b]), low[own].tobytes(), names, own_places))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     for a in range(0, len(rows), 64):
         part = rows[a : a + 64]
@@ -273,9 +274,16 @@ class Shared:
         return r[out], c[out]
 
 
+def _places(spark: SparkSession, tasks: int) -> np.ndarray:
+    """For each of so many buckets a number by which repartition() deals it to a partition of its own."""
+    rows = spark.range(40 * tasks).select(F.col("id").cast("int").alias("i")).groupBy(F.pmod(F.hash("i"), F.lit(tasks)).alias("p")).agg(F.min("i").alias("i")).collect()
+    known = {r["p"]: r["i"] for r in rows}
+    return np.array([known.get(b, b) for b in range(tasks)])
+
+
 def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFrame:
     """(region, cls, number, need) of all regions that two classes or more have."""
-    source, buckets = docs.select(F.col(text).alias("text")), 4 * tasks
+    source, places = docs.select(F.col(text).alias("text")), _places(docs.sparkSession, tasks)
 
     def regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
@@ -283,7 +291,7 @@ def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFra
 
         def pack() -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            return _packed(np.concatenate(parts), owner, np.array(owners, OWNER), buckets, number)
+            return _packed(np.concatenate(parts), owner, np.array(owners, OWNER), places, number)
 
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
@@ -292,7 +300,7 @@ def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFra
                 classes.add(cls)
                 for n, need, own in regions_of(s, percent, cache):
                     parts.append(own)
-                    owners.append((cls, n, need))
+                    owners.append((cls, n, min(need, 65535)))
                     size += len(own)
                 if size >= PACK:
                     yield from pack()
@@ -306,7 +314,7 @@ def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFra
         def rows(r: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(r), 100_000):
                 part = c[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(r[a : a + 100_000].astype(np.int64)), *(pa.array(np.ascontiguousarray(part[x])) for x in OWNER.names)], names=["region", *OWNER.names])
+                yield pa.RecordBatch.from_arrays([pa.array(r[a : a + 100_000].astype(np.int64)), *(pa.array(part[x].astype(np.int64 if x == "cls" else np.int32)) for x in OWNER.names)], names=["region", *OWNER.names])
 
         for batch in batches:
             for bucket, place, r, c, i in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
@@ -316,7 +324,7 @@ def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFra
                     continue
                 held.append((r, owner, np.full(len(r), not c)))
                 size += len(r)
-                if size >= 1_000_000:
+                if size >= 400_000:
                     yield from rows(*state.found(*(np.concatenate(x) for x in zip(*held, strict=True))))
                     held, size = [], 0
         if held:

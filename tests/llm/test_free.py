@@ -13,6 +13,7 @@ import zlib
 import numpy as np
 import pytest
 import regex
+import xxhash
 
 import public_tokenizers
 from provena.llm import bpe, html, jaccard, pitmanyor, repeats, sharding, suffix, tokencount
@@ -41,6 +42,41 @@ def test_shards(spark, folder, texts):
     assert all(len(v) == 1 for v in of.values())
 
 
+def test_shards_against_brute_force(spark, data):
+    """Groups and bundles placed one by one, in plain Python; the shards' bytes are near equal."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows, grain, shards = [(r.doc_id, r.text or "") for r in docs.collect()], 64, 8
+    got = {r.doc_id: r.shard for r in sharding.sharded(docs, grain=grain).collect()}
+    group = collections.defaultdict(lambda: [0, 0, 0])
+    name = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+    for i, t in rows:
+        for k, x in enumerate((len(t.encode()) + 1, len(re.findall("[^\x20\x09-\x0d]+", t)), 1)):
+            group[name[i]][k] += x
+    total = [sum(g[k] for g in group.values()) for k in range(3)]
+
+    def unit(h):
+        if group[h][0] > total[0] / grain:
+            return h
+        x = xxhash.xxh64_intdigest(h.encode(), seed=42)
+        return f"b{(x - (1 << 64) if x >> 63 else x) % grain}"
+
+    units = collections.defaultdict(lambda: [0, 0, 0])
+    for h, v in group.items():
+        units[unit(h)] = [a + b for a, b in zip(units[unit(h)], v, strict=True)]
+    need = {u: [x * shards / t for x, t in zip(v, total, strict=True)] for u, v in units.items()}
+    room, where = [[1.0] * 3 for _ in range(shards)], {}
+    for u in sorted(sorted(need), key=lambda u: -max(need[u])):
+        fits = [s for s in range(shards) if room[s][0] >= need[u][0]]
+        best = max(fits, key=lambda s: (round(sum(a * b for a, b in zip(room[s], need[u], strict=True)), 12), -s)) if fits else max(range(shards), key=lambda s: (room[s][0], -s))
+        where[u] = best
+        room[best] = [a - b for a, b in zip(room[best], need[u], strict=True)]
+    assert got == {i: where[unit(name[i])] for i, _ in rows}
+    sizes = collections.Counter()
+    for r in sharding.sharded(docs).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values()) / 8 + max(len(t) for _, t in rows)
+
+
 def test_bin_packing_is_near_equal():
     rng = np.random.default_rng(1)
     v = np.column_stack([rng.lognormal(7, 1, 3000), rng.lognormal(5, 1, 3000), np.ones(3000)])
