@@ -27,7 +27,9 @@ def stale(approved: Column, current: Column) -> Column:
 
 
 def lock(first: Column, second: Column, token: Column, token_again: Column, recorded: Column) -> Column:
-    """(verdict, reason) on a writer lock from two observations of its owner: liveness each, start token each, and the recorded token."""
+    """(verdict, reason) on a writer lock from two observations of its owner: liveness each, start token each, and the recorded token.
+
+    Verdicts and reasons are fixed values."""
     verdict = lambda v, r: F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("reason"))
     has = lambda c: F.coalesce(c != "", F.lit(False))
     unknown, changed = verdict("refuse", "owner-liveness-unknown"), verdict("refuse", "owner-observation-changed")

@@ -154,7 +154,9 @@ ORACLES = {
         UNION ALL SELECT run, id, 'id twice' FROM task GROUP BY run, id HAVING count(*) > 1
         UNION ALL SELECT DISTINCT task.run, id, 'second producer' FROM task JOIN made ON made.run = task.run AND made.output = task.output WHERE made.n > 1
         UNION ALL SELECT DISTINCT flat.run, id, 'read before made' FROM flat JOIN made ON made.run = flat.run AND made.output = flat.input WHERE producer >= ord""",
-    "path_references": f"WITH {_TASKS} SELECT run, count(*) AS n_tasks, sum(len(inputs) + 1)::BIGINT AS n_references, count(*) AS n_outputs, sum(CASE argv WHEN 0 THEN 0 WHEN 1 THEN 4097 ELSE 3 + strlen(name) END)::BIGINT AS argument_bytes FROM task GROUP BY run",
+    "path_references": f"""WITH {_TASKS} SELECT run, count(*) AS n_tasks, sum(len(inputs) + 1)::BIGINT AS n_references, count(*) AS n_outputs, sum(CASE argv WHEN 0 THEN 0 WHEN 1 THEN 4097 ELSE 3 + strlen(name) END)::BIGINT AS argument_bytes
+        FROM task
+        GROUP BY run""",
     "quarantine_rules": f"""WITH q AS (SELECT *, 't' || o_orderkey % 3 AS task, o_orderkey % 4 AS attempt, CASE {_d(1)} WHEN 0 THEN '../x' WHEN 1 THEN 'undeclared' ELSE 'out' END AS source, {_d(2)} = 0 AS other, CASE WHEN {_d(3)} = 0 THEN 'zz' ELSE o_orderkey::VARCHAR END AS sha, {_d(4)} = 0 AS negative
             FROM (SELECT o_orderkey, o_custkey, md5(o_orderkey::VARCHAR) AS m FROM orders)),
           n AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, task, attempt, source) AS sources, count(*) OVER (PARTITION BY o_custkey, task, attempt, CASE WHEN other THEN sha ELSE '/' || source END) AS artifacts FROM q)
@@ -167,7 +169,12 @@ ORACLES = {
     "context_bindings": f"""WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem), p AS (SELECT l_orderkey, l_linenumber, {_SHA} AS digest FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS mode FROM l WHERE l_linenumber > 1 GROUP BY 1, 2)),
           a AS (SELECT DISTINCT l_orderkey, l_linenumber, {_SHA} AS digest FROM (SELECT l_orderkey, l_linenumber, CASE WHEN {_d(1, "md5(l_orderkey::VARCHAR)")} = 0 THEN 'PIPE' ELSE l_returnflag END AS mode FROM l))
         SELECT a.* FROM a LEFT JOIN p USING (l_orderkey, l_linenumber) WHERE p.digest IS DISTINCT FROM a.digest""",
-    "volatile_overlap": "WITH u AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), f AS (SELECT path FROM u WHERE len(string_split(path, '/')) = 2) SELECT DISTINCT u.path FROM u JOIN f ON u.path = f.path OR starts_with(u.path, f.path || '/')",
+    "volatile_overlap": """WITH u AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path
+        FROM pages),
+      f AS (SELECT path
+        FROM u
+        WHERE len(string_split(path, '/')) = 2) SELECT DISTINCT u.path
+        FROM u JOIN f ON u.path = f.path OR starts_with(u.path, f.path || '/')""",
     "changed_between": f"SELECT o_orderkey FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS m FROM orders) WHERE {_d(1)} = 0 OR {_d(2)} = 0",
     "summary_rules": """WITH b AS (SELECT o_custkey AS k, count(*) % 25 AS v FROM orders GROUP BY 1) SELECT coalesce(c_custkey, k) AS k, CASE WHEN k IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'extra' WHEN c_nationkey = v THEN 'match' ELSE 'drift' END AS status FROM customer FULL JOIN b ON c_custkey = k""",
 }

@@ -154,10 +154,17 @@ _CHAIN = f"WITH {_LOG} SELECT run, seq, sha256(coalesce(string_agg(line, '') OVE
 
 ORACLES = {
     "identity_documents": "SELECT doc_id, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, ''))::BIGINT AS size FROM documents",
-    "manifest_diff": f"WITH {_RECORDED}, {_DERIVED} SELECT coalesce(rec.path, der.path) AS path, CASE WHEN der.path IS NULL THEN 'missing' WHEN rec.path IS NULL THEN 'extra' WHEN rec.sha256 = der.sha256 AND rec.size = der.size THEN 'match' ELSE 'drift' END AS status FROM rec FULL JOIN der ON rec.path = der.path",
+    "manifest_diff": f"""WITH {_RECORDED}, {_DERIVED} SELECT coalesce(rec.path, der.path) AS path, CASE WHEN der.path IS NULL THEN 'missing' WHEN rec.path IS NULL THEN 'extra' WHEN rec.sha256 = der.sha256 AND rec.size = der.size THEN 'match' ELSE 'drift' END AS status
+        FROM rec
+        FULL JOIN der ON rec.path = der.path""",
     "tree_summary": f"""WITH {_DOCS} SELECT source, count(*) AS n_entries, 0::BIGINT AS n_directories, count(*) AS n_files, sum(size)::BIGINT AS total_bytes,
         sha256('{{"entries":[' || string_agg('{{"kind":"file","path":"' || path || '","sha256":"' || sha256 || '","size":' || size || '}}', ',' ORDER BY path) || '],"kind":"tree","schema_version":1}}' || chr(10)) AS tree_sha256 FROM doc GROUP BY source""",
-    "projected_state": f"WITH {_RECORDED}, {_DOCS} SELECT path, 'file' AS kind, min(sha256) AS sha256, min(size) AS size, count(*) > 1 AS collides FROM (SELECT path, sha256, size FROM rec UNION ALL SELECT path, sha256, size FROM doc) GROUP BY path",
+    "projected_state": f"""WITH {_RECORDED}, {_DOCS} SELECT path, 'file' AS kind, min(sha256) AS sha256, min(size) AS size, count(*) > 1 AS collides
+        FROM (SELECT path, sha256, size
+        FROM rec
+        UNION ALL SELECT path, sha256, size
+        FROM doc)
+        GROUP BY path""",
     "manifest_violations": f"""WITH k AS (SELECT *, md5(doc_id::VARCHAR) AS m, coalesce(text, '') AS t FROM documents), s AS (SELECT DISTINCT source, {t.digit_sql(1, "md5(source)")} < 4 AS is_file FROM documents WHERE source IS NOT NULL),
         e AS (SELECT CASE {t.digit_sql(1)} WHEN 0 THEN 'a//' || doc_id WHEN 1 THEN repeat('d/', 33) || doc_id WHEN 2 THEN source || '/same' ELSE source || '/' || doc_id END AS path, CASE WHEN {t.digit_sql(2)} = 0 THEN 'directory' ELSE 'file' END AS kind,
             {t.digit_sql(3)} = 0 AS odd_digest, CASE {t.digit_sql(4)} WHEN 0 THEN 1073741825 WHEN 1 THEN -1 ELSE strlen(t) END AS size FROM k
@@ -171,12 +178,24 @@ ORACLES = {
         UNION ALL SELECT path, 'listed twice' FROM e GROUP BY path HAVING count(*) > 1
         UNION ALL SELECT DISTINCT path, 'parent not listed' FROM up WHERE up NOT IN (SELECT path FROM e WHERE kind = 'directory')
         UNION ALL SELECT DISTINCT path, 'below a file' FROM up WHERE up IN (SELECT path FROM e WHERE kind = 'file')""",
-    "workspace_history": f"WITH {_DOCS}, b AS (SELECT count(*) AS n, sum(size) AS s FROM doc), p AS (SELECT conv_id AS run, turn AS step, count(*) AS n, sum(strlen(coalesce(text, ''))) AS s FROM conversations GROUP BY 1, 2) SELECT run, step, ((SELECT n FROM b) + sum(n) OVER w)::BIGINT AS n_after, ((SELECT s FROM b) + sum(s) OVER w)::BIGINT AS bytes_after FROM p WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)",
+    "workspace_history": f"""WITH {_DOCS}, b AS (SELECT count(*) AS n, sum(size) AS s
+        FROM doc),
+      p AS (SELECT conv_id AS run, turn AS step, count(*) AS n, sum(strlen(coalesce(text, ''))) AS s
+        FROM conversations
+        GROUP BY 1, 2) SELECT run, step, ((SELECT n
+        FROM b) + sum(n) OVER w)::BIGINT AS n_after, ((SELECT s
+        FROM b) + sum(s) OVER w)::BIGINT AS bytes_after
+        FROM p WINDOW w AS (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING)""",
     "canonical_order": "SELECT conv_id, turn FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) WHERE b >= text",
     "event_chain": _CHAIN,
     "event_chain_window": _CHAIN,
-    "event_contiguity": f"WITH {_LOG}, m AS (SELECT *, seq - lag(seq) OVER w AS gap, lag(micros) OVER w > micros AS back FROM log WINDOW w AS (PARTITION BY run ORDER BY seq)) SELECT run, count(*) AS n_events, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (gap <> 1) AS n_gaps, count(*) FILTER (back) AS n_backwards FROM m GROUP BY run",
-    "event_observation": f"WITH {_LOG} SELECT run, count(*) AS n, sum(strlen(line))::BIGINT AS bytes, max(strlen(line))::BIGINT AS longest, count(*) <= 100000 AND sum(strlen(line)) <= 67108864 AND max(strlen(line)) <= 262144 AS within_limits FROM log GROUP BY run",
+    "event_contiguity": f"""WITH {_LOG}, m AS (SELECT *, seq - lag(seq) OVER w AS gap, lag(micros) OVER w > micros AS back
+        FROM log WINDOW w AS (PARTITION BY run ORDER BY seq)) SELECT run, count(*) AS n_events, min(seq) AS first_seq, max(seq) AS last_seq, count(*) FILTER (gap <> 1) AS n_gaps, count(*) FILTER (back) AS n_backwards
+        FROM m
+        GROUP BY run""",
+    "event_observation": f"""WITH {_LOG} SELECT run, count(*) AS n, sum(strlen(line))::BIGINT AS bytes, max(strlen(line))::BIGINT AS longest, count(*) <= 100000 AND sum(strlen(line)) <= 67108864 AND max(strlen(line)) <= 262144 AS within_limits
+        FROM log
+        GROUP BY run""",
     "transition_status": """WITH l AS (SELECT l_orderkey AS run, count(*) AS logged, max(l_linenumber - l_orderkey % 3)::BIGINT AS acknowledged, bool_or(l_linestatus = 'F') <> bool_and(l_linestatus = 'F') AS pending, min(l_partkey) % 5 = 0 AS other FROM lineitem GROUP BY 1)
         SELECT run, logged, acknowledged, CASE WHEN other THEN 'diverged' WHEN NOT pending AND logged = acknowledged THEN 'stable' WHEN pending AND logged = acknowledged THEN 'pending_before_log' WHEN pending AND logged = acknowledged + 1 THEN 'pending_after_log' ELSE 'diverged' END AS status FROM l""",
     "lineage_seeds": f"WITH {_IN}, {_OUT}, {_SEEDS} SELECT * FROM seeds",
@@ -187,9 +206,19 @@ ORACLES = {
         SELECT task, inp.path, CASE WHEN s.h IS NOT NULL THEN 'seed' WHEN p.producer IS NULL THEN 'no producer' WHEN p.producer >= task THEN 'produced later' WHEN m.h IS NULL THEN 'producer not completed' ELSE 'output' END AS origin,
         coalesce(s.h, CASE WHEN p.producer < task THEN m.h END) AS sha256, coalesce(s.z, CASE WHEN p.producer < task THEN m.z END) AS size
         FROM inp LEFT JOIN s USING (path) LEFT JOIN p USING (path) LEFT JOIN m ON m.path = inp.path AND m.producer = p.producer""",
-    "ancestor_conflicts": f"WITH {_URLS}, u AS (SELECT DISTINCT path FROM urls) SELECT a.path, b.path AS ancestor FROM u a JOIN u b ON starts_with(a.path, b.path || '/')",
-    "alias_collisions": "WITH h AS (SELECT split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS path FROM pages), a AS (SELECT path FROM h UNION SELECT upper(path) FROM h) SELECT lower(path) AS alias, count(*) AS n_spellings, min(path) AS first_spelling FROM a GROUP BY 1 HAVING count(*) > 1",
-    "portable_paths": f"WITH {_URLS} SELECT path, strlen(path) BETWEEN 1 AND 1024 AND NOT regexp_matches(path, '[\\x00\\\\:]') AND NOT list_bool_or([x IN ('', '.', '..') FOR x IN string_split(path, '/')]) AS portable, len(string_split(path, '/'))::BIGINT AS depth FROM urls",
+    "ancestor_conflicts": f"""WITH {_URLS}, u AS (SELECT DISTINCT path
+        FROM urls) SELECT a.path, b.path AS ancestor
+        FROM u a JOIN u b ON starts_with(a.path, b.path || '/')""",
+    "alias_collisions": """WITH h AS (SELECT split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) AS path
+        FROM pages),
+      a AS (SELECT path
+        FROM h UNION SELECT upper(path)
+        FROM h) SELECT lower(path) AS alias, count(*) AS n_spellings, min(path) AS first_spelling
+        FROM a
+        GROUP BY 1
+        HAVING count(*) > 1""",
+    "portable_paths": f"""WITH {_URLS} SELECT path, strlen(path) BETWEEN 1 AND 1024 AND NOT regexp_matches(path, '[\\x00\\\\:]') AND NOT list_bool_or([x IN ('', '.', '..') FOR x IN string_split(path, '/')]) AS portable, len(string_split(path, '/'))::BIGINT AS depth
+        FROM urls""",
     "canonical_json": """SELECT event_id, CASE WHEN event_id % 8 < 3 THEN replace(props, ' ', '') || chr(10) WHEN event_id % 8 = 6 THEN '{"a":2,"b":1}' || chr(10) END AS canonical, event_id % 8 = 2 AS was_canonical,
         ['not canonical', 'not canonical', NULL, 'duplicate key', 'NaN is not JSON', 'invalid', 'not canonical', 'too complex'][event_id % 8 + 1] AS fault FROM events""",
     "derived_names": """SELECT l_orderkey AS run, l_partkey AS task, n AS number,
@@ -197,12 +226,22 @@ ORACLES = {
         'logs/' || l_partkey || '/attempt-' || format('{:04d}', n) || '.stdout.log' AS log, 'agentrun-start-' || substr(sha256(l_orderkey::VARCHAR || chr(0) || 'start' || chr(0) || l_partkey::VARCHAR), 1, 16) AS job
         FROM (SELECT *, l_linenumber * 2345 AS n FROM lineitem)""",
     "path_set_digests": f"""WITH {_IN} SELECT task, sha256('[' || string_agg('"' || path || '"', ',' ORDER BY path) || ']' || chr(10)) AS digest FROM inp GROUP BY task""",
-    "evidence_exactness": "SELECT o_orderkey AS k, 'missing' AS fault FROM (SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem) UNION ALL SELECT l_orderkey, 'unexpected' FROM (SELECT l_orderkey FROM lineitem EXCEPT SELECT o_orderkey FROM orders)",
+    "evidence_exactness": """SELECT o_orderkey AS k, 'missing' AS fault
+        FROM (SELECT o_orderkey
+        FROM orders EXCEPT SELECT l_orderkey
+        FROM lineitem)
+        UNION ALL SELECT l_orderkey, 'unexpected'
+        FROM (SELECT l_orderkey
+        FROM lineitem EXCEPT SELECT o_orderkey
+        FROM orders)""",
     "evidence_conflicts": f"WITH {_IN}, {_OUT} SELECT path FROM outp INTERSECT SELECT path FROM inp",
     "evidence_binding": """WITH a AS (SELECT doc_id AS run, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT doc_id AS run, count(*) AS n FROM labels GROUP BY 1), c AS (SELECT vec_id AS run, count(*) AS n FROM embeddings GROUP BY 1)
         SELECT run, coalesce(a.n, 0) AS n_plan, coalesce(b.n, 0) AS n_state, coalesce(c.n, 0) AS n_log, coalesce(a.n, 0) = 1 AND coalesce(b.n, 0) = 1 AND coalesce(c.n, 0) = 1 AS bound FROM a FULL JOIN b USING (run) FULL JOIN c USING (run)""",
     "bundle_verify": f"""WITH {_RECORDED}, {_DERIVED}, {_DOCS}, x AS (SELECT path, sha256, size FROM rec UNION ALL SELECT path, sha256, size FROM doc), y AS (SELECT path, sha256, size FROM der UNION ALL SELECT path, sha256, size FROM doc),
         d AS (SELECT CASE WHEN y.path IS NULL THEN 'missing' WHEN x.path IS NULL THEN 'extra' WHEN x.sha256 = y.sha256 THEN 'match' ELSE 'drift' END AS s FROM x FULL JOIN y ON x.path = y.path)
         SELECT count(*) FILTER (s = 'match') AS n_match, count(*) FILTER (s = 'drift') AS n_drift, count(*) FILTER (s = 'missing') AS n_missing, count(*) FILTER (s = 'extra') AS n_extra, count(*) FILTER (s <> 'match') = 0 AS verified FROM d""",
-    "owner_cardinality": "SELECT c_custkey AS k, count(o_custkey) AS n_owned, count(o_custkey) = 1 AS exactly_one FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
+    "owner_cardinality": """SELECT c_custkey AS k, count(o_custkey) AS n_owned, count(o_custkey) = 1 AS exactly_one
+        FROM customer
+        LEFT JOIN orders ON o_custkey = c_custkey
+        GROUP BY 1""",
 }

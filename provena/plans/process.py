@@ -114,12 +114,30 @@ _ATTEMPTS = f"""{_KEYED}, a AS (SELECT o_orderkey, {_pick(1, "completed", "faile
 _SPECS = f"""{_KEYED}, s AS (SELECT o_orderkey, {_pick(1, "pvc-", "pvc.a-", "Pvc-", "pvc..a", "-pvc", "pvc-")} || o_orderkey AS pvc, {_pick(2, "s/", "", "../", "s/./", "/s", "s//", "s/", "a_b/")} || o_orderkey || {_pick(3, ".toml", ".toml", ".toml", ".json")} AS suite,
         CASE WHEN {_d(4)} = 0 THEN upper(h) WHEN {_d(4)} = 1 THEN h[1:63] ELSE h END AS sha, {_pick(5, "registry/x@sha256:", "r.io:5000/x@sha256:", "Registry/x@sha256:", "x@sha256:", "x:latest@")} || h AS image, {_pick(6, 30, 29, 1800, 1801, 600, 60, 900)} AS deadline FROM k)"""
 ORACLES = {
-    "latest_attempts": "WITH m AS (SELECT l_orderkey, max((l_linenumber, l_partkey, l_suppkey)) AS b FROM lineitem GROUP BY 1) SELECT l_orderkey, b[1] AS l_linenumber, b[2] AS l_partkey, b[3] AS l_suppkey FROM m",
-    "attempt_numbering": "SELECT l_orderkey AS run, count(*) AS n_attempts, max(l_linenumber)::BIGINT AS last_attempt, count(DISTINCT l_linenumber) = count(*) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous FROM lineitem GROUP BY 1",
+    "latest_attempts": """WITH m AS (SELECT l_orderkey, max((l_linenumber, l_partkey, l_suppkey)) AS b
+        FROM lineitem
+        GROUP BY 1) SELECT l_orderkey, b[1] AS l_linenumber, b[2] AS l_partkey, b[3] AS l_suppkey
+        FROM m""",
+    "attempt_numbering": """SELECT l_orderkey AS run, count(*) AS n_attempts, max(l_linenumber)::BIGINT AS last_attempt, count(DISTINCT l_linenumber) = count(*) AND min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AS contiguous
+        FROM lineitem
+        GROUP BY 1""",
     "completed_prefix": f"WITH {_PREFIX} SELECT * FROM pre",
-    "superseded_attempts": "WITH t AS (SELECT l_orderkey AS run, l_linenumber AS number, max(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2) SELECT run, number FROM (SELECT *, lead(number) OVER (PARTITION BY run ORDER BY number) AS nx FROM t) WHERE nx IS NOT NULL AND flag <> 'R'",
-    "attempt_budgets": "WITH p AS (SELECT l_suppkey AS run, l_orderkey AS task, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT run, count(*) AS n_tasks, sum(n)::BIGINT AS n_attempts, max(n) AS most, max(n) <= 4 AND sum(n) <= 256 AS within_budget FROM p GROUP BY run",
-    "work_counts": "WITH p AS (SELECT l_suppkey AS run, l_partkey AS task, count(*) AS calls, count(*) FILTER (l_linestatus = 'F') AS good FROM lineitem GROUP BY 1, 2) SELECT run, sum(calls)::BIGINT AS calls, sum(good)::BIGINT AS successes, sum(greatest(0, good - 1))::BIGINT AS duplicates, count(*) FILTER (good > 0) AS completed FROM p GROUP BY run",
+    "superseded_attempts": """WITH t AS (SELECT l_orderkey AS run, l_linenumber AS number, max(l_returnflag) AS flag
+        FROM lineitem
+        GROUP BY 1, 2) SELECT run, number
+        FROM (SELECT *, lead(number) OVER (PARTITION BY run ORDER BY number) AS nx
+        FROM t)
+        WHERE nx IS NOT NULL AND flag <> 'R'""",
+    "attempt_budgets": """WITH p AS (SELECT l_suppkey AS run, l_orderkey AS task, count(*) AS n
+        FROM lineitem
+        GROUP BY 1, 2) SELECT run, count(*) AS n_tasks, sum(n)::BIGINT AS n_attempts, max(n) AS most, max(n) <= 4 AND sum(n) <= 256 AS within_budget
+        FROM p
+        GROUP BY run""",
+    "work_counts": """WITH p AS (SELECT l_suppkey AS run, l_partkey AS task, count(*) AS calls, count(*) FILTER (l_linestatus = 'F') AS good
+        FROM lineitem
+        GROUP BY 1, 2) SELECT run, sum(calls)::BIGINT AS calls, sum(good)::BIGINT AS successes, sum(greatest(0, good - 1))::BIGINT AS duplicates, count(*) FILTER (good > 0) AS completed
+        FROM p
+        GROUP BY run""",
     "resume_decisions": f"""WITH {_PREFIX}, d AS (SELECT run, prefix, next_task::BIGINT AS next_task, CASE WHEN o_orderpriority = '5-LOW' THEN CASE WHEN next_task IS NULL AND o_orderstatus = 'F' THEN 'already-complete' END WHEN next_task IS NULL THEN CASE WHEN o_orderstatus = 'F' THEN 'seal-completed-run' END WHEN o_orderstatus = 'P' THEN 'recover-and-resume' ELSE 'resume' END AS action
         FROM orders JOIN pre ON run = o_orderkey) SELECT *, sha256('{{"action":' || coalesce('"' || action || '"', 'null') || ',"next_task":' || coalesce(next_task::VARCHAR, 'null') || ',"prefix":' || prefix || ',"run":' || run || '}}' || chr(10)) AS decision_sha256 FROM d""",
     "lock_decisions": """WITH p AS (SELECT user_id, arg_min(event_type, event_id) AS a, arg_max(event_type, event_id) AS b, arg_min(props, event_id) AS x, arg_max(props, event_id) AS y, max(props) AS z FROM events GROUP BY 1),
@@ -187,5 +205,8 @@ ORACLES = {
             WHEN deadline < 30 OR deadline > 1800 THEN 'deadline' END AS fault FROM s""",
     "write_once": """WITH v AS (SELECT o_custkey, o_orderkey, nullif(o_orderstatus, 'P') AS v FROM orders), w AS (SELECT *, lag(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS was FROM v)
         SELECT o_custkey, o_orderkey, CASE WHEN was IS NOT NULL THEN 'changed' ELSE 'not as published' END AS fault FROM w WHERE (was IS NOT NULL AND v IS DISTINCT FROM was) OR (was IS NULL AND v IS NOT NULL AND v <> 'F')""",
-    "lease_steps": "SELECT run, seq FROM (SELECT user_id AS run, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS was FROM events) WHERE was IS NOT NULL AND seq <> was + 1",
+    "lease_steps": """SELECT run, seq
+        FROM (SELECT user_id AS run, event_id AS seq, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts) AS was
+        FROM events)
+        WHERE was IS NOT NULL AND seq <> was + 1""",
 }

@@ -84,11 +84,23 @@ ORACLES = {
         CASE WHEN observed IS NULL OR verified < observed OR verified > DATE '2000-12-31' THEN 'verified_date' END, CASE WHEN id[5:8] <> year(d)::VARCHAR THEN 'id_year' END, CASE WHEN url_key IS NULL THEN 'evidence_url' END,
         CASE WHEN gone AND (retracted < verified OR retracted > DATE '2000-12-31') OR NOT gone AND p THEN 'retracted_date' END,
         CASE WHEN gone AND {_off(15)} OR NOT gone AND p THEN 'retraction_reason' END] IF x IS NOT NULL], ',') AS faults FROM days""",
-    "ledger_counts": f"WITH {_REC} SELECT kind, count(*) FILTER (status <> 'retracted') AS n_records, count(DISTINCT lower(nfc_normalize(subject))) FILTER (status <> 'retracted') AS n_subjects FROM rec GROUP BY kind",
-    "ledger_doubles": f"WITH {_REC}, v AS (SELECT id AS value, 'id' AS c FROM rec UNION ALL SELECT subject, 'subject' FROM rec UNION ALL SELECT url_key, 'url_key' FROM rec) SELECT value, count(*) AS n, c AS \"column\" FROM v WHERE value IS NOT NULL GROUP BY value, c HAVING count(*) > 1",
+    "ledger_counts": f"""WITH {_REC} SELECT kind, count(*) FILTER (status <> 'retracted') AS n_records, count(DISTINCT lower(nfc_normalize(subject))) FILTER (status <> 'retracted') AS n_subjects
+        FROM rec
+        GROUP BY kind""",
+    "ledger_doubles": f"""WITH {_REC}, v AS (SELECT id AS value, 'id' AS c
+        FROM rec
+        UNION ALL SELECT subject, 'subject'
+        FROM rec
+        UNION ALL SELECT url_key, 'url_key'
+        FROM rec) SELECT value, count(*) AS n, c AS "column"
+        FROM v
+        WHERE value IS NOT NULL
+        GROUP BY value, c
+        HAVING count(*) > 1""",
     "private_networks": f"WITH {_SCANNED}, {_ADDRESSES} SELECT doc_id, a AS address, n AS number, private FROM addresses",
     "url_keys": r"""WITH k AS (SELECT page_id, CASE WHEN regexp_matches(url, '^https://[^?#]*(#.*)?$') THEN 'https://' || lower(regexp_extract(url, '^https://([^/?#:]+)', 1)) || CASE WHEN regexp_extract(url, '^https://[^/?#]+(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^https://[^/?#]+(/[^?#]*)', 1) END END AS key FROM pages) SELECT page_id, key, key AS exact_key FROM k""",
-    "strict_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, strftime(o_orderdate, '%Y-%m-%d') = replace(strftime(o_orderdate, '%Y-%m-%d'), '-0', '-') AS loose_is_date FROM orders",
+    "strict_dates": """SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS day, strftime(o_orderdate, '%Y-%m-%d') = replace(strftime(o_orderdate, '%Y-%m-%d'), '-0', '-') AS loose_is_date
+        FROM orders""",
     "privacy_categories": f"WITH {_CATS} SELECT cat.doc_id, array_to_string(c, ',') AS categories, true AS scannable FROM cat",
     "category_counts": f"WITH {_CATS} SELECT source, category, count(*) AS n FROM (SELECT source, unnest(c) AS category FROM cat) GROUP BY 1, 2",
 }
