@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.llm.common import table
+from provena.llm.common import released, table
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens and token pairs that a worker remembers.
@@ -181,7 +181,7 @@ def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text"
             names = [id_col, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
 
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {tail}")
+    return source.mapInArrow(released(run), f"`{id_col}` {kind}, n_tokens long, {tail}")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

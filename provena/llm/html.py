@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import table
+from provena.llm.common import released, table
 
 #: Elements whose content is raw text, none of it shown as prose.
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video", "noframes", "xmp"])
@@ -270,7 +270,7 @@ def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
             rest = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in rest], pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=[*[batch.schema.names[i] for i in rest], "text", "n_chars"])
 
-    return pages.mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return pages.mapInArrow(released(run), f"{kinds}, text string, n_chars long")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:

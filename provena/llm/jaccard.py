@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import dropped, let_go, small, table, written
+from provena.llm.common import dropped, let_go, released, small, table, written
 
 #: Members of a cell whose pairs in the window are compared without looking at deviations.
 SMALL = 8
@@ -202,7 +202,7 @@ def described(docs: DataFrame, id_col: str, text: str, k: int, percent: int, als
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:], pa.array(n, pa.int64()), pa.array(regions, pa.int64()), pa.array(cls, pa.int64())], names=["id", "tid", *also, "n_shingles", "n_regions", "cls"])
 
     kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("id", "tid", *also))
-    return source.mapInArrow(run, f"{kinds}, n_shingles long, n_regions long, cls long")
+    return source.mapInArrow(released(run), f"{kinds}, n_shingles long, n_regions long, cls long")
 
 
 def _text_hash(text: str) -> Column:
@@ -330,8 +330,8 @@ def met(docs: DataFrame, text: str, k: int, percent: int, tasks: int) -> DataFra
         if held:
             yield from rows(*state.found(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
-    packs = source.mapInArrow(regions, "bucket int, place int, r binary, c binary, i binary")
-    return packs.repartition(tasks, "place").mapInArrow(merged, "region long, cls long, number int, need int").distinct()
+    packs = source.mapInArrow(released(regions), "bucket int, place int, r binary, c binary, i binary")
+    return packs.repartition(tasks, "place").mapInArrow(released(merged), "region long, cls long, number int, need int").distinct()
 
 
 def peeled(shared: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text: str, k: int) ->
                         raw.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(raw, pa.binary())], names=["cls", "raw"])
 
-    return source.mapInArrow(run, "cls long, raw binary").dropDuplicates(["cls"])
+    return source.mapInArrow(released(run), "cls long, raw binary").dropDuplicates(["cls"])
 
 
 def _both(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -389,7 +389,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 nb.append(len(q))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (apart, na, nb))], names=["a", "b", "linked", "apart", "na", "nb"])
 
-    return _both(pairs.select("a", "b"), sets).mapInArrow(run, "a long, b long, linked boolean, apart long, na long, nb long")
+    return _both(pairs.select("a", "b"), sets).mapInArrow(released(run), "a long, b long, linked boolean, apart long, na long, nb long")
 
 
 def reach(m: int, n: int, n_pivot: int, percent: int) -> tuple[int, int]:
@@ -429,7 +429,7 @@ def deviations(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(elements) if elements else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:6], batch.column(7), pa.array(lx, pa.int64()), pa.array(ly, pa.int64()), lists, pa.array(maps, pa.list_(pa.int64()))], names=["cell", "b", "comp", "open", "apart", "nb", "lx", "ly", "dev", "maps"])
 
-    return source.mapInArrow(run, "cell long, b long, comp long, open boolean, apart long, nb long, lx long, ly long, dev array<long>, maps array<long>")
+    return source.mapInArrow(released(run), "cell long, b long, comp long, open boolean, apart long, nb long, lx long, ly long, dev array<long>, maps array<long>")
 
 
 def _least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -464,7 +464,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen["n"] <= FEW_EDGES:
-            return written(edges.coalesce(1).mapInArrow(finished, "cls long, comp long"))
+            return written(edges.coalesce(1).mapInArrow(released(finished), "cls long, comp long"))
         if seen == before:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp"))
         before = seen

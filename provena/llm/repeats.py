@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import dropped, let_go, scratch, table, written
+from provena.llm.common import dropped, let_go, released, scratch, table, written
 from provena.llm.jaccard import _mixed, _power, slices
 from provena.llm.suffix import ordered
 
@@ -96,7 +96,7 @@ def _runs(keyed: DataFrame, length: int) -> DataFrame:
                         names=["id", "tid", "s", "e", "at", "anchor", "whole"],
                     )
 
-    return keyed.mapInArrow(run, f"id {kind}, tid long, s int, e int, at int, anchor long, whole long")
+    return keyed.mapInArrow(released(run), f"id {kind}, tid long, s int, e int, at int, anchor long, whole long")
 
 
 def _cut(keyed: DataFrame, wanted: DataFrame, schema: str, names: list[str], rows) -> DataFrame:
@@ -113,7 +113,7 @@ def _cut(keyed: DataFrame, wanted: DataFrame, schema: str, names: list[str], row
                     k = pa.array(np.full(len(columns[0]), i))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(k), batch.column(1).take(k), *columns], names=["id", "tid", *names])
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(released(run), schema)
 
 
 def _struct(runs: pa.StructArray, name: str) -> np.ndarray:
@@ -203,7 +203,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
         if rows:
             yield from block(rows)
 
-    sorted_spans = written(parts.mapInArrow(sort, f"id {kind}, tid long, s int, e int"))
+    sorted_spans = written(parts.mapInArrow(released(sort), f"id {kind}, tid long, s int, e int"))
     let_go(spark)
     out = whole.unionByName(sorted_spans)
     if not crowded.isEmpty():
@@ -251,7 +251,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
                 kept.append(hashlib.sha256(whole).hexdigest() if digests else whole)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string() if digests else pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digests else "kept"])
 
-    out = both.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digests else 'kept binary'}")
+    out = both.mapInArrow(released(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, {'kept_sha256 string' if digests else 'kept binary'}")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from provena.llm.bpe import PATTERN
-from provena.llm.common import table
+from provena.llm.common import released, table
 
 MOST_NODES = 400_000
 MOST_WORDS = 400_000
@@ -148,7 +148,7 @@ def counted(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
             pairs = [counter.of(x.as_py() or "") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=[id_col, "n_pretokens", "n_tokens"])
 
-    return source.mapInArrow(run, f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_pretokens long, n_tokens long")
+    return source.mapInArrow(released(run), f"`{id_col}` {source.schema[id_col].dataType.simpleString()}, n_pretokens long, n_tokens long")
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
