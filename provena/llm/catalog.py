@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provena.llm import bpe, decontaminate, html, jaccard, pii, pitmanyor, quality, repeats, sharding, tokencount
+from provena.llm import bpe, decontaminate, html, jaccard, licenses, middle, pii, pitmanyor, quality, repeats, resample, sharding, tokencount
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_tokens": tokencount.op8_tokens,
         "op9_html": html.op9_html,
         "op10_quality": quality.op10_quality,
+        "op11_resample": resample.op11_resample,
+        "op12_licenses": licenses.op12_licenses,
+        "op13_middle": middle.op13_middle,
     }
 
 
@@ -24,4 +27,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": decontaminate.ORACLE,
         "op10_quality": quality.ORACLE,
+        "op11_resample": resample.ORACLE,
+        "op12_licenses": licenses.ORACLE,
+        "op13_middle": middle.ORACLE,
     }
