@@ -6,10 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MAX_BYTES = 5 * 1024 * 1024
-#: Folders that hold home folders; prefix, characters and least number of them of credentials; markers of private keys;
-#: fields of JSON records; generic names that give nothing away.
-WINDOWS_HOMES, UNIX_HOMES = ("Users", "Documents and Settings"), ("Users", "home")
-CREDENTIALS = (("github_pat_", "A-Za-z0-9_", 20), ("gh[pousr]_", "A-Za-z0-9", 20), ("sk-", "A-Za-z0-9_-", 20), ("AKIA", "A-Z0-9", 16))
+#: Paths of home folders, credentials, markers of private keys, fields of JSON records, generic names that give nothing away.
+HOME = r"(?i)[a-z]:[\\/](?:Users|Documents and Settings)[\\/][^\\/\s]|/(?:Users|home)/[^/\s]"
+TOKEN = r"github_pat_[A-Za-z0-9_]{20}|gh[pousr]_[A-Za-z0-9]{20}|sk-[A-Za-z0-9_-]{20}|AKIA[A-Z0-9]{16}"
 KEY_MARKERS = ("-----BEGIN PRIVATE KEY-----", "-----BEGIN OPENSSH PRIVATE KEY-----")
 ZONE_FIELDS, PLATFORM_FIELDS = ("timezone",), ("platform_details", "os_description")
 ZONES = ("utc", "etc/utc", "gmt", "z")
@@ -25,8 +24,6 @@ def _field(names: tuple[str, ...]) -> str:
 
 
 MAIL = rf"(?i){B}[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}{E}"
-HOME = rf"(?i)[a-z]:[\\/](?:{'|'.join(WINDOWS_HOMES)})[\\/][^\\/\s]|/(?:{'|'.join(UNIX_HOMES)})/[^/\s]"
-TOKEN = "|".join(f"{prefix}[{characters}]{{{least}}}" for prefix, characters, least in CREDENTIALS)
 #: Offsets from UTC, written behind its name or a time; the group has the hours and minutes.
 OFFSETS = (rf"(?i){B}(?:UTC|GMT)\s*[+-]\s*([0-9]{{1,2}}(?::?[0-9]{{2}})?){E}", rf"{B}[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}(?::[0-9]{{2}}(?:\.[0-9]+)?)?[+-]([0-9]{{2}}:?[0-9]{{2}}){E}")
 #: Four numbers with points between them that are no part of a longer one.

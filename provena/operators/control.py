@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,19 +30,33 @@ def spec_fault(pvc: Column, suite: Column, suite_sha: Column, image: Column, dea
     )
 
 
+#: Fixed values of the protocol: how fields look when they are set, and by outcome what fields must be, under the name of the fault. A field is set,
+#: empty, empty at a start and else set, or one of some values.
+FORMS = {"uid": UUID, "spec": HEX64, "run": RUN_ID, "decision": HEX64, "bundle": HEX64, "error": f"^({'|'.join(ERROR_CODES)})$", "action": "^(start|resume|verify)$"}
+SET, EMPTY, EMPTY_AT_START = "set", "empty", "empty at start"
+ALWAYS = (("action", {"action": SET}), ("uid", {"uid": SET}), ("spec", {"spec": SET}))
+OUTCOMES = {
+    "completed": (("outcome for action", {"action": ("start", "resume")}), ("run or bundle", {"run": SET, "bundle": SET}), ("error code", {"error": EMPTY}), ("decision", {"decision": EMPTY_AT_START})),
+    "awaiting_approval": (("outcome for action", {"action": ("start",)}), ("run or decision", {"run": SET, "decision": SET}), ("bundle or error", {"bundle": EMPTY, "error": EMPTY})),
+    "verified": (("outcome for action", {"action": ("verify",)}), ("run or bundle", {"run": SET, "bundle": SET}), ("decision or error", {"decision": EMPTY, "error": EMPTY})),
+    "blocked": (("evidence on block", {"run": EMPTY, "decision": EMPTY, "bundle": EMPTY}), ("error code", {"error": SET})),
+}
+
+
 def result_fault(action: Column, outcome: Column, uid: Column, spec: Column, run: Column, decision: Column, bundle: Column, error: Column) -> Column:
-    """The first rule that a step result breaks, or null; all nine fields are strings, empty for none."""
-    ok = lambda c, p: c.rlike(p)
-    sealed = ok(run, RUN_ID) & ok(bundle, HEX64)
-    started = F.when(action == "start", decision == "").otherwise(ok(decision, HEX64))
-    return (
-        F.when(~action.isin("start", "resume", "verify"), "action").when(~ok(uid, UUID), "uid").when(~ok(spec, HEX64), "spec")
-        .when(outcome == "completed", F.when(~action.isin("start", "resume"), "outcome for action").when(~sealed, "run or bundle").when(error != "", "error code").when(~started, "decision"))
-        .when(outcome == "awaiting_approval", F.when(action != "start", "outcome for action").when(~(ok(run, RUN_ID) & ok(decision, HEX64)), "run or decision").when((bundle != "") | (error != ""), "bundle or error"))
-        .when(outcome == "verified", F.when(action != "verify", "outcome for action").when(~sealed, "run or bundle").when((decision != "") | (error != ""), "decision or error"))
-        .when(outcome == "blocked", F.when((run != "") | (decision != "") | (bundle != ""), "evidence on block").when(~error.isin(*ERROR_CODES), "error code"))
-        .otherwise("outcome")
-    )
+    """The first rule of ``ALWAYS`` and of its outcome that a step result breaks, or null; all nine fields are strings, empty for none."""
+    fields = {"action": action, "uid": uid, "spec": spec, "run": run, "decision": decision, "bundle": bundle, "error": error}
+
+    def meets(name: str, want) -> Column:
+        value = fields[name]
+        if isinstance(want, tuple):
+            return value.isin(*want)
+        own = {SET: value.rlike(FORMS[name]), EMPTY: value == ""}
+        return F.when(action == "start", own[EMPTY]).otherwise(own[SET]) if want == EMPTY_AT_START else own[want]
+
+    rules = [(F.lit(True), name, wants) for name, wants in ALWAYS] + [(outcome == o, name, wants) for o, of_it in OUTCOMES.items() for name, wants in of_it]
+    broken = [F.when(held & ~reduce(and_, [meets(f, want) for f, want in wants.items()]), name) for held, name, wants in rules]
+    return F.coalesce(*broken, F.when(outcome.isin(*OUTCOMES), None).otherwise("outcome"))
 
 
 def phase_of(outcome: Column) -> Column:

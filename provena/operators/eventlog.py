@@ -60,6 +60,35 @@ def observation(events: DataFrame, run: str, line: str) -> DataFrame:
     return out.withColumn("within_limits", (F.col("n") <= MAX_EVENTS) & (F.col("bytes") <= MAX_LOG_BYTES) & (F.col("longest") <= MAX_EVENT_BYTES))
 
 
+def whole(events: DataFrame, run: str, sequence: str, line: str) -> DataFrame:
+    """Per run: records (n), bytes, longest record, the SHA-256 of the whole log in the order of its sequence, and whether the limits hold.
+
+    As for the chain, a log is hashed where its sorted rows stream by; a null line has no bytes, a null run is a run."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    rows = events.select(run, sequence, line).repartition(F.col(run)).sortWithinPartitions(run, sequence)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, n, size, longest = None, None, 0, 0, 0
+
+        def ended() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([now, *[pa.array([x]) for x in (n, size, longest, state.hexdigest())]], names=[run, "n", "bytes", "longest", "sha256"])
+
+        for batch in batches:
+            for k, (r, body) in enumerate(zip(batch.column(0), batch.column(2).to_pylist(), strict=True)):
+                if state is None or r != now[0]:
+                    if state is not None:
+                        yield ended()
+                    now, state, n, size, longest = batch.column(0).slice(k, 1), hashlib.sha256(), 0, 0, 0
+                raw = (body or "").encode()
+                state.update(raw)
+                n, size, longest = n + 1, size + len(raw), max(longest, len(raw))
+        if state is not None:
+            yield ended()
+
+    out = rows.mapInArrow(hashed, f"`{run}` {kinds[run]}, n long, bytes long, longest long, sha256 string")
+    return out.withColumn("within_limits", (F.col("n") <= MAX_EVENTS) & (F.col("bytes") <= MAX_LOG_BYTES) & (F.col("longest") <= MAX_EVENT_BYTES))
+
+
 def transition_status(acknowledged: Column, logged: Column, pending: Column, prefix_equal: Column) -> Column:
     """stable, pending_before_log, pending_after_log or diverged, from counts, the pending mark and whether the acknowledged prefix is unchanged."""
     return (
