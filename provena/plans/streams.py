@@ -1,4 +1,4 @@
-"""Queries on logs as streams, whole-log digests and replayed states, with DuckDB oracles that start from nothing at each row."""
+"""Queries on logs as streams, whole-log digests, replayed states, ordered lines and trees of files, with DuckDB oracles that start from nothing at each row."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from provena.functions import identity as I
 from provena.operators import eventlog, replay
 from provena.plans import tables as t
-from provena.shared import streamed
+from provena.shared import streamed, text_files
+from provena.sources import lines, trees
 from provena.streaming import runs
 
 
@@ -47,14 +48,54 @@ def workspace_replay(spark, sf):
     return replay.replay(baseline, made.unionByName(over.select(*made.columns)))
 
 
-QUERIES = {f.__name__: f for f in (stream_chain, stream_phases, log_digests, workspace_replay)}
+#: Documents whose lines are in one file.
+CHUNK = 5_000
+
+
+def _listed(spark, sf):
+    """Documents as lines of checksum lists, one for each source and range of ids, in order but for drawn flaws: source, chunk, doc_id, line."""
+    d = t.read(spark, sf, "documents", "doc_id", "source", "text")
+    drawn = lambda place: t._digit("doc_id", place)
+    number = F.when(drawn(3) == 0, F.col("doc_id") - F.col("doc_id") % 2).otherwise(F.col("doc_id"))
+    name = F.concat(F.when(drawn(2) == 0, "!").when(drawn(2) == 1, "a//").otherwise("f/"), F.lpad(number.cast("string"), 12, "0"), F.when(drawn(4) == 0, "\r").otherwise(""))
+    digest = I.sha256(F.coalesce("text", F.lit("")))
+    line = F.concat(F.when(drawn(1) == 0, F.upper(digest)).otherwise(digest), F.lit("  "), name)
+    return d.select(F.coalesce("source", F.lit("none")).alias("source"), F.expr(f"doc_id div {CHUNK}").alias("chunk"), "doc_id", line.alias("line"))
+
+
+def _part(path, key: str):
+    return F.url_decode(F.regexp_extract(path, f"/{key}=([^/]*)", 1))
+
+
+def checksum_order(spark, sf):
+    rows = lines.checksum_rows(lines.numbered_lines(spark, text_files(_listed(spark, sf), ["source", "chunk"], "doc_id", "line")))
+    return rows.select(_part("path", "source").alias("source"), _part("path", "chunk").cast("long").alias("chunk"), "number", "start", "file", "ended", F.array_join("faults", ",").alias("faults"))
+
+
+def tree_entries(spark, sf):
+    """The tree of those lists, scanned twice; what the writer leaves beside them (names with a dot or underscore first) is left out."""
+    root = text_files(_listed(spark, sf), ["source", "chunk"], "doc_id", "line")
+    found = trees.observed(spark, root).filter(~F.col("path").rlike(r"(^|/)[._][^/]*$"))
+    return found.select(F.regexp_replace(F.url_decode("path"), r"/part-[^/]*\.txt$", "/part").alias("path"), "kind", "size", "sha256")
+
+
+QUERIES = {f.__name__: f for f in (stream_chain, stream_phases, log_digests, workspace_replay, checksum_order, tree_entries)}
 
 _LOG = "log AS (SELECT user_id AS run, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_type, event_id || '|' || epoch_us(ts) || '|' || event_type || '|' || props || chr(10) AS line FROM events)"
 _BAD = "UNION ALL SELECT run, number, {0}, 'number again' FROM log WHERE seq % 50 = 0 UNION ALL SELECT run, NULL, {0}, 'no run or number' FROM log WHERE seq % 97 = 0"
 #: Nodes of a level of the tree from the members below it, as members of the level above.
 _LEVEL = """{to} AS (SELECT run, step, nd[1:{digits}] AS node, nd[{digits} + 1:] AS name, sum(n) AS n, sum(size) AS size, sha256(string_agg(name || chr(0) || sha || chr(0) || size, chr(10) ORDER BY name)) AS sha
         FROM (SELECT * EXCLUDE (node), node AS nd FROM {of}) GROUP BY run, step, nd)"""
+_LISTS = f"""k AS (SELECT doc_id, coalesce(source, 'none') AS source, doc_id // {CHUNK} AS chunk, sha256(coalesce(text, '')) AS h, md5(doc_id::VARCHAR) AS m FROM documents),
+    n AS (SELECT *, CASE {t.digit_sql(2)} WHEN 0 THEN '!' WHEN 1 THEN 'a//' ELSE 'f/' END || lpad((CASE WHEN {t.digit_sql(3)} = 0 THEN doc_id - doc_id % 2 ELSE doc_id END)::VARCHAR, 12, '0') || CASE WHEN {t.digit_sql(4)} = 0 THEN chr(13) ELSE '' END AS name,
+      {t.digit_sql(1)} = 0 AS bad FROM k), l AS (SELECT *, CASE WHEN bad THEN upper(h) ELSE h END || '  ' || name AS line FROM n)"""
 ORACLES = {
+    "checksum_order": f"""WITH {_LISTS}, f AS (SELECT *, CASE WHEN NOT bad THEN name END AS file FROM l), o AS (SELECT *, row_number() OVER w AS number, lag(file) OVER w AS before FROM f WINDOW w AS (PARTITION BY source, chunk ORDER BY doc_id))
+        SELECT source, chunk, number, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY source, chunk ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, file, true AS ended,
+          array_to_string([x FOR x IN [CASE WHEN bad THEN 'form' END, CASE WHEN contains(line, chr(13)) THEN 'ending' END, CASE WHEN NOT bad AND contains(name, '//') THEN 'path' END, CASE WHEN file <= before THEN 'order' END] IF x IS NOT NULL], ',') AS faults FROM o""",
+    "tree_entries": f"""WITH {_LISTS} SELECT DISTINCT 'source=' || source AS path, 'directory' AS kind, NULL::BIGINT AS size, NULL AS sha256 FROM l
+        UNION ALL SELECT DISTINCT 'source=' || source || '/chunk=' || chunk, 'directory', NULL, NULL FROM l
+        UNION ALL SELECT 'source=' || source || '/chunk=' || chunk || '/part', 'file', sum(strlen(line) + 1)::BIGINT, sha256(string_agg(line || chr(10), '' ORDER BY doc_id)) FROM l GROUP BY source, chunk""",
     "stream_chain": f"""WITH {_LOG}, whole AS (SELECT run, number, coalesce(string_agg(line, '') OVER (PARTITION BY run ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, line FROM log)
         SELECT run, number, sha256(b) AS previous_sha256, sha256(b || line) AS sha256, strlen(b || line)::BIGINT AS size, NULL AS fault FROM whole {_BAD.format("NULL, NULL, NULL")}""",
     "stream_phases": f"""WITH {_LOG}, e AS (SELECT *, max(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM log),

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def importable(spark: SparkSession) -> None:
@@ -40,6 +41,19 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most_rows: int) -> DataFrame:
+    """A written() table with a broadcast hint if it has at most so many rows, else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def text_files(lines: DataFrame, keys: list[str], order: str, line: str) -> str:
+    """Lines in ``order`` as one text file for each value of the keys, in folders ``key=value`` of the shared folder, whose path is returned."""
+    path = f"{folder(lines.sparkSession)}/files"
+    rows = lines.select(*keys, order, line).repartition(*keys).sortWithinPartitions(*keys, order)
+    rows.select(*keys, line).write.partitionBy(*keys).option("lineSep", "\n").text(path)
+    return path
+
+
 def streamed(rows: DataFrame, order: str, step: Callable[[DataFrame], DataFrame], batches: int = 4) -> DataFrame:
     """What a streaming step makes of a table that comes in ranges of ``order``, in so many batches, each range at any time.
 
