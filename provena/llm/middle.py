@@ -35,7 +35,9 @@ def draw(salt: str, key: Column, place: int) -> Column:
 
 
 def _checked(sentinels: Sequence[str]) -> tuple[str, str, str]:
-    if len(set(sentinels)) != 3 or any(not s or any(c in t[1:] for c in {x[0] for x in sentinels} for t in sentinels) for s in sentinels) or any(a != b and b.startswith(a) for a in sentinels for b in sentinels):
+    first = {s[:1] for s in sentinels}
+    again = any(c in s[1:] for c in first for s in sentinels)
+    if len(sentinels) != 3 or "" in first or again or any(i != j and b.startswith(a) for i, a in enumerate(sentinels) for j, b in enumerate(sentinels)):
         raise ValueError("three sentinels are needed, whose first characters are found nowhere else in them and none of which starts another")
     return tuple(sentinels)
 

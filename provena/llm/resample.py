@@ -36,9 +36,12 @@ def buckets_of(words: Column, longest: int = 1, buckets: int = BUCKETS) -> Colum
     """The bucket of each run of 1 to ``longest`` words (a column of its own, not an expression: lambdas compute it anew)."""
     bucket = lambda feature: (F.crc32(feature) % buckets).cast("int")
     runs = [F.transform(words, bucket)]
-    for n in range(2, longest + 1):
+
+    def of(n: int) -> Column:
         heads = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        runs.append(F.transform(heads, lambda w, i, n=n: bucket(F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, n)]))))
+        return F.transform(heads, lambda w, i: bucket(F.concat_ws(" ", w, *[F.get(words, i + j) for j in range(1, n)])))
+
+    runs += [of(n) for n in range(2, longest + 1)]
     return runs[0] if longest == 1 else F.flatten(F.array(*runs))
 
 
