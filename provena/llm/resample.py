@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import table, written
+from provena.llm.common import kept_after, table, written
 from provena.llm.decontaminate import words_of
 from provena.llm.middle import draw
 
@@ -79,7 +79,7 @@ def ranked(rows: DataFrame, id_col: str = "doc_id", least_words: int = LEAST_WOR
 
     ``rows`` are read twice; give a written table where they are costly to make."""
     spark, fit = rows.sparkSession, F.col("n_words") >= least_words
-    histogram = sorted(((r["score"], r["n"]) for r in rows.filter(fit).groupBy("score").agg(F.count("*").alias("n")).collect()), reverse=True)
+    histogram = sorted(((r["score"], r["n"]) for r in kept_after(rows, fit).groupBy("score").agg(F.count("*").alias("n")).collect()), reverse=True)
     most = percent * sum(n for _, n in histogram) // 100
     above, before = [], 0
     for score, n in histogram:
@@ -91,11 +91,11 @@ def ranked(rows: DataFrame, id_col: str = "doc_id", least_words: int = LEAST_WOR
     if not above:
         return rows.withColumn("rank", rank)
     cut = above[-1][0]
-    high = rows.filter(fit & (F.col("score") >= cut)).withColumn("_score", F.col("score"))
+    high = kept_after(rows, fit & (F.col("score") >= cut)).withColumn("_score", F.col("score"))
     high = high.join(F.broadcast(spark.createDataFrame(above, "_at long, _before long")), F.col("_score") == F.col("_at"))
     within = Window.partitionBy("_score").orderBy(F.col(f"`{id_col}`").asc_nulls_last(), "n_features", "weight")
     high = high.withColumn("_rank", F.col("_before") + F.row_number().over(within)).withColumn("rank", F.when(F.col("_rank") <= most, F.col("_rank")))
-    rest = rows.filter(~(fit & (F.col("score") >= cut))).withColumn("rank", rank)
+    rest = kept_after(rows, ~(fit & (F.col("score") >= cut))).withColumn("rank", rank)
     return high.select(*rows.columns, "rank").unionByName(rest)
 
 
