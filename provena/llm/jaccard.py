@@ -35,7 +35,7 @@ an empty table gives no rows; other columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -64,10 +64,9 @@ PEELS = 2
 #: Bytes of text that are hashed at a time.
 SLICE = 500_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -76,14 +75,43 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, SLICE + 1)
-        up, down = np.full(n, _BASE), np.full(n, np.uint64(pow(int(_BASE), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _powers["up"], _powers["down"]
+#: Two primes below 2^31 and a base for each: sums of bytes times powers are exact in 64 bits over PIECE bytes.
+MODULI, BASES, PIECE = (2147483647, 2147483629), (1103515245, 1566083941), 1 << 22
+
+
+def _powers_of(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo its prime, n of each at least."""
+    p = np.uint64(MODULI[m])
+    if m not in _powers or len(_powers[m][0]) < n:
+        both = []
+        for base in (BASES[m], pow(BASES[m], -1, MODULI[m])):
+            out = np.ones(1, np.uint64)
+            while len(out) < max(n, SLICE + 1):
+                out = np.concatenate([out, out * np.uint64(pow(base, len(out), MODULI[m])) % p])
+            both.append(out)
+        _powers[m] = both[0], both[1]
+    return _powers[m]
+
+
+def byte_hashes(raw: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that hashes the bytes from starts to ends, 62 bits under two primes mixed with their number: polynomials modulo a power of
+    two would take some long words of two letters for each other, whatever their base."""
+    sums = []
+    for m, p in enumerate(map(np.uint64, MODULI)):
+        up, down = _powers_of(m, len(raw) + 1)
+        total, carry = np.zeros(len(raw) + 1, np.uint64), np.uint64(0)
+        for at in range(0, len(raw), PIECE):
+            piece = raw[at : at + PIECE]
+            total[at + 1 : at + 1 + len(piece)] = np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[at : at + len(piece)]) + carry
+            carry = total[at + len(piece)] % p
+            total[at + len(piece)] = carry
+        sums.append((total, down, p))
+
+    def hashed(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = ((total[end] % p + p - total[start] % p) % p * down[start] % p for total, down, p in sums)
+        return _mixed(_mixed(a << np.uint64(31) | b) + (end - start).astype(np.uint64))
+
+    return hashed
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, last: bool = False) -> tuple[np.ndarray, ...]:
@@ -98,10 +126,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, last: bool = False) -> tup
     tails = offsets[1:][offsets[:-1] < offsets[1:]] - 1
     end[tails] = word[tails]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = _power(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    hashes = _mixed((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+    hashes = byte_hashes(raw)(s, e)
     n = np.searchsorted(s, offsets[1:]) - np.searchsorted(s, offsets[:-1])
     return (hashes, n, raw[e - 1]) if last else (hashes, n)
 

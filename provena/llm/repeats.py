@@ -5,8 +5,9 @@ is repeated if its suffix shares that much with a neighbour. Strings that cannot
 
 1. Every string has an anchor, its byte gram of least hash. Strings in a row with the same anchor are a run; equal strings
    lie at the same place of runs with equal anchors. A run is described by the hash of its anchor and the hash of all of
-   its bytes, 128 bits of two functions together; both are counted over the corpus, summed per batch before the shuffle.
-   Only runs around one and the same anchor are told apart by 64 bits, of which an anchor would need some billion to err.
+   its bytes; both are counted over the corpus, summed per batch before the shuffle. Equal runs are cut under these hashes, with
+   no byte compared: runs around one anchor are told apart by 62 bits of all of their bytes, of which an anchor would need about a billion
+   distinct ones to err, and runs around different anchors by those of the anchor as well.
 2. Runs whose bytes recur as a whole are repeated entirely: their strings need no comparison. Runs whose anchor no other
    bytes share are unique. What is left, one run for each distinct content, goes to the shard of its anchor.
 3. A shard is sorted in blocks of whole anchors. An anchor with over MOST distinct runs would make a block that grows with
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.llm.common import dropped, let_go, released, scratch, table, written
-from provena.llm.jaccard import _mixed, _power, slices
+from provena.llm.jaccard import _mixed, byte_hashes, slices
 from provena.llm.suffix import ordered
 
 GRAM = 50
@@ -39,17 +40,26 @@ MOST, BLOCK, TASK = 20_000, 3_000_000, 12_000_000
 PLACE = 32
 
 
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """Hashes of all grams: sums of bytes by powers of an odd number modulo 2^64, doubling the width; short ones are told apart well by these."""
+    out, base, width, rest = None, 0x9E3779B97F4A7C15, 1, raw.astype(np.uint64) + np.uint64(1)
+    done = 0
+    for bit in range(GRAM.bit_length()):  # rest[i] covers ``width`` bytes from i on
+        if GRAM >> bit & 1:
+            out = rest if out is None else out[: len(rest) - done] * np.uint64(pow(base, width, 1 << 64)) + rest[done : done + len(out[: len(rest) - done])]
+            done += width
+        if GRAM >> bit + 1:
+            rest, width = rest[:-width] * np.uint64(pow(base, width, 1 << 64)) + rest[width:], 2 * width
+    return _mixed(out[: len(raw) - GRAM + 1])
+
+
 def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Runs of strings with one anchor: text number, start, end (of the last string), place of the anchor in it, hashes of anchor and bytes."""
     none = tuple(np.zeros(0, np.int64) for _ in range(6))
     n, wide = len(raw), length - GRAM + 1
     if n < length:
         return none
-    up, down = _power(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    m = n - GRAM + 1
-    grams = _mixed((total[GRAM:] - total[:m]) * down[:m])
+    hashed, m, grams = byte_hashes(raw), n - GRAM + 1, _grams(raw)
     low = np.uint64((1 << PLACE) - 1)
     least, width = (grams & ~low) | np.arange(m, dtype=np.uint64), 1
     while width * 2 <= wide:
@@ -72,7 +82,7 @@ def runs_of(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(s)) - 1
     start, end, at = s[first], s[last] + length, at[first]
-    whole = _mixed(_mixed((total[end] - total[start]) * down[start]) + (at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64))
+    whole = hashed(start, end) ^ ((at - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     doc = np.searchsorted(offsets, start, "right") - 1
     return doc, start - offsets[doc], end - offsets[doc], at - start, grams[at].astype(np.int64), whole.astype(np.int64)
 
