@@ -7,16 +7,19 @@ are dealt into two halves; in each round every symbol of one half is shifted, mo
 half. Each round can be undone, so this is a permutation of the format: equal values get equal pseudonyms in every
 document and different values different ones. Check digits are left out and computed anew. Who has the key can invert.
 
-Kinds: mail address (local part), phone number (North American plan, or international with or without separators), payment card, IBAN,
-social security number, IPv4 address, date (ISO, day/month/year or month/day/year with slashes, or with dots), access key and assigned
+Kinds: mail address (local part; letters of all scripts are part of it, those outside ASCII stay), phone number (North American plan, international with or
+without separators, or an area code and a subscriber's number, which alone is permuted), payment card, IBAN, social security number, IPv4 address, IPv6
+address of eight groups, date (ISO, day/month/year or month/day/year with slashes, or with dots), access key, token known by its start, and assigned
 secret. What fails its validation stays: a number without separators and + has none, and a date outside the years 1000 to 9799 is none. The
 text goes through no shuffle and is read once; texts without a digit, @, = or : are passed through. The key must be given: who has it can invert.
 
-A date that can only be month/day/year (its day is over 12) is permuted among those, and any other with slashes among day/month/year, so the
-form of a pseudonym tells how to invert it. Patterns repeat groups a bounded number of times, so no text makes the regular expression engine recurse far.
+Equal dates are linked in whatever form they are written. A date that can only be month/day/year (its day is over 12) is read as that, any other with
+slashes as day/month/year, and no permutation crosses from one to the other, so the form of a pseudonym tells how to invert it. Where small numbers have one
+digit, a pseudonym may have two; its inverse is the date, not the number of digits. So for groups of an IPv6 address with leading zeros. Patterns repeat groups
+a bounded number of times, so no text makes the regular expression engine recurse far.
 
 Edge cases: a null text stays null, with no values; empty and very long texts are ordinary; repeated rows get equal results;
-the local part of a mail address is at most 64 characters, what stands before is left. An empty table gives no rows. Other columns
+a local part of a mail address of over 512 characters is none. An empty table gives no rows. Other columns
 stay, whatever their names; one named n_values is replaced by the count.
 """
 
@@ -32,10 +35,15 @@ from provena.llm.common import table
 ROUNDS = 8
 DEMO_KEY = "provena demonstration key"
 
-MAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,40}[A-Za-z]{2,63}"
+MAIL = r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,511}+@(?:[\p{L}\p{N}-]{1,63}\.){1,40}\p{L}{2,63}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
-DAY_DATE = r"[0-9]{2}([/.])[0-9]{2}\1[0-9]{4}(?![0-9])"
+DAY_DATE = r"[0-9]{1,2}([/.])[0-9]{1,2}\1[0-9]{4}(?![0-9])"
+#: The same in small letters; addresses of eight groups; numbers of which only the subscriber's part is not grouped; tokens known by how they start.
+LOW_IBAN = r"[a-z]{2}[0-9]{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,3})?(?![A-Za-z0-9])"
+IPV6 = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Za-z:])"
+LOCAL = r"(?:\+[1-9][0-9]{0,2}[ ./-]?(?:\(0\) ?)?[1-9][0-9]{1,3}|0[1-9][0-9]{1,3})[ /-][0-9]{5,9}(?![0-9])"
+TOKEN = r"(?:gh[pousr]_|github_pat_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,255}(?![0-9A-Za-z_-])"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![ .-]?[0-9])"
@@ -43,9 +51,9 @@ E164 = r"\+[1-9][0-9]{7,14}(?![0-9])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 ACCESS = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
 SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ \t]{0,3}[=:][ \t]{0,3}[\"']?[0-9A-Za-z_+/-]{8,64}(?![0-9A-Za-z_+/-])"
-ANY = r"(?<![0-9A-Za-z])(?:" + "|".join([MAIL, ACCESS, SECRET, IBAN, ISO_DATE, DAY_DATE.replace(r"([/.])", r"(?<sep>[/.])").replace(r"\1", r"\k<sep>"), IPV4, SSN, E164, CARD, PHONE]) + ")"
-#: Days from 1800-01-01 of one calendar cycle of 400 years: 146097 = 189 * 773; those after the 12th of a month: 88497 = 9 * 9833.
-FIRST_DAY, DAY_RADIX, LATE_RADIX = "1800-01-01", (189, 773), (9, 9833)
+ANY = r"(?<![0-9A-Za-z])(?:" + "|".join([MAIL, ACCESS, TOKEN, SECRET, IPV6, IBAN, LOW_IBAN, ISO_DATE, DAY_DATE.replace(r"([/.])", r"(?<sep>[/.])").replace(r"\1", r"\k<sep>"), IPV4, SSN, E164, CARD, PHONE, LOCAL]) + ")"
+#: Days from 1800-01-01 of one calendar cycle of 400 years: 146097, of which to the 12th of a month 57600 = 240 * 240, and after it 88497 = 9 * 9833.
+FIRST_DAY, CYCLE, EARLY_RADIX, LATE_RADIX = "1800-01-01", 146_097, (240, 240), (9, 9833)
 #: Cycles before and after that of the first day whose years have four digits.
 CYCLES = (-2, 19)
 
@@ -59,15 +67,16 @@ def _split(v: Column) -> Column:
 
 
 def feistel(symbols: Column, radix: Column, kind: str, key: str, inverse: bool = False) -> Column:
-    """The symbols (array of long, each below its radix) permuted; up to 64 of them."""
+    """The symbols (array of long, each below its radix) permuted."""
     n = F.size(symbols)
     half = F.floor(n / 2).cast("int")
     left, right = (lambda a: F.slice(a, F.lit(1), half)), (lambda a: F.slice(a, half + 1, n - half))
 
     def shifted(target: Column, other: Column, radices: Column, r: Column) -> Column:
         seed = F.concat_ws("|", F.lit(key), F.lit(kind), n.cast("string"), r.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ","))
-        digest = F.sha2(seed, 512)
-        return F.transform(target, lambda x, i: F.pmod(x + (-1 if inverse else 1) * F.conv(F.substr(digest, 4 * i + 1, F.lit(4)), 16, 10).cast("long"), F.get(radices, i)))
+        digest, most = F.sha2(seed, 512), 32  # shifts in a digest; further ones come from digests with the number of their own
+        shift = lambda i: F.when(i < most, F.substr(digest, 4 * i + 1, F.lit(4))).otherwise(F.substr(F.sha2(F.concat_ws("|", seed, F.floor(i / most).cast("string")), 512), 4 * (i % most) + 1, F.lit(4)))
+        return F.transform(target, lambda x, i: F.pmod(x + (-1 if inverse else 1) * F.conv(shift(i), 16, 10).cast("long"), F.get(radices, i)))
 
     def step(acc: Column, r: Column) -> Column:
         even = r % 2 == 0
@@ -90,7 +99,7 @@ def _by_class(v: Column, kind: str, key: str, inverse: bool) -> Column:
     wide = lambda c: F.when(c.rlike("[0-9]"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1).cast("long")
     chars = _split(v)
     new = feistel(F.transform(chars, lambda c: (F.ascii(c) - low(c)).cast("long")), F.transform(chars, wide), kind, key, inverse)
-    return F.array_join(F.zip_with(chars, new, lambda c, x: F.char(low(c) + x)), "")
+    return F.array_join(F.zip_with(chars, new, lambda c, x: F.when(c.rlike("[0-9a-zA-Z]"), F.char(low(c) + x)).otherwise(c)), "")
 
 
 def _numbers(digits: Column) -> Column:
@@ -150,40 +159,71 @@ def _ssn(v: Column, key: str, inverse: bool) -> Column:
     return F.when(fine, F.format_string("%03d-%02d-%04d", F.when(back >= 665, back + 2).otherwise(back + 1), F.get(new, 1) + 1, F.get(new, 2) + 1))
 
 
-def _date(v: Column, form: str, key: str, inverse: bool) -> Column:
-    """The date that stands for one in this form; null if it is none. A date keeps its cycle of 400 years."""
-    first, cycle = F.lit(FIRST_DAY).cast("date"), DAY_RADIX[0] * DAY_RADIX[1]
-    day = F.try_to_timestamp(v, F.lit(form)).cast("date")
-    whole = F.datediff(day, first).cast("long")
-    n, at = F.pmod(whole, F.lit(cycle)), F.floor(whole / cycle).cast("long")
-    moved = _moved(n, DAY_RADIX, "date", key, inverse)
-    return F.when(at.between(*CYCLES), F.date_format(F.date_add(first, (at * cycle + moved).cast("int")), form))
-
-
 def _moved(n: Column, radix: tuple[int, int], kind: str, key: str, inverse: bool) -> Column:
     """A number below the product of two radices permuted."""
     new = feistel(F.array(F.floor(n / radix[1]).cast("long"), n % radix[1]), F.array(*[F.lit(x) for x in radix]).cast("array<bigint>"), kind, key, inverse)
     return F.get(new, 0) * radix[1] + F.get(new, 1)
 
 
-def _late_date(v: Column, key: str, inverse: bool) -> Column:
-    """The same for month/day/year with a day over 12, numbered without the first 12 days of all months."""
-    first, cycle, form = F.lit(FIRST_DAY).cast("date"), DAY_RADIX[0] * DAY_RADIX[1], "MM/dd/yyyy"
-    day = F.try_to_timestamp(v, F.lit(form)).cast("date")
-    whole = F.datediff(day, first).cast("long")
-    n, at = F.pmod(whole, F.lit(cycle)), F.floor(whole / cycle).cast("long")
-    months = 12 * (F.year(day) - 1800 - 400 * at) + F.month(day)  # to the end of its own
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once, however often it is named: the value is the element of an array."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+#: Forms of dates: what they look like, day first, and month first where the day is over 12. Numbers may have one digit where the form says so.
+FORMS = (
+    (r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "yyyy-MM-dd", None), (r"[0-9]{2}/[0-9]{2}/[0-9]{4}", "dd/MM/yyyy", "MM/dd/yyyy"), (r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}", "d/M/yyyy", "M/d/yyyy"),
+    (r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}", "dd.MM.yyyy", None), (r"[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}", "d.M.yyyy", None),
+)
+
+
+def _date(v: Column, key: str, inverse: bool) -> Column:
+    """The date that stands for one, in the same form; null if it is none.
+
+    A date keeps its cycle of 400 years. Days to the 12th are permuted among themselves, numbered by month and day, and so are
+    those after it, numbered in order; so one permutation holds for all forms, and a month/day/year stays one that cannot be a day/month/year."""
+    first = F.lit(FIRST_DAY).cast("date")
+    day_first, month_first = (F.coalesce(*[F.when(v.rlike(f"^(?:{form[0]})$"), F.lit(form[k])) for form in FORMS]) for k in (1, 2))
+    parsed = F.struct(*[F.try_to_timestamp(v, form).cast("date").alias(name) for name, form in (("a", day_first), ("b", month_first))])
+    read = _let(parsed, lambda p: F.when(p["a"].isNotNull(), F.struct(p["a"].alias("day"), day_first.alias("form"))).when(F.dayofmonth(p["b"]) > 12, F.struct(p["b"].alias("day"), month_first.alias("form"))))
 
-    def days_of(moved: Column) -> Column:
+    def numbered(r: Column) -> Column:
+        whole = F.datediff(r["day"], first).cast("long")
+        at = F.floor(whole / CYCLE).cast("long")
+        months = 12 * (F.year(r["day"]) - 1800 - 400 * at) + F.month(r["day"])  # to the end of its own
+        return F.struct(F.pmod(whole, F.lit(CYCLE)).alias("n"), at.alias("at"), months.cast("long").alias("months"), F.dayofmonth(r["day"]).cast("long").alias("of_month"), r["form"].alias("form"))
+
+    def after_early(moved: Column) -> Column:
+        return (F.datediff(F.add_months(first, F.floor(moved / 12).cast("int")), first) + moved % 12).cast("long")
+
+    def after_late(moved: Column) -> Column:
         """Days from the first one. The month that holds the number is next to the one it would be in if all were of equal length."""
         guess = F.floor(moved * 4800 / (LATE_RADIX[0] * LATE_RADIX[1])).cast("int")
-        late = lambda m: (F.datediff(F.add_months(first, m), first) - 12 * m).cast("long")
-        month = F.array_max(F.filter(F.sequence(F.greatest(guess - 3, F.lit(0)), F.least(guess + 3, F.lit(4799))), lambda m: late(m) <= moved))
-        return moved + 12 * (month + 1)
+        before = lambda m: (F.datediff(F.add_months(first, m), first) - 12 * m).cast("long")
+        month = F.array_max(F.filter(F.sequence(F.greatest(guess - 3, F.lit(0)), F.least(guess + 3, F.lit(4799))), lambda m: before(m) <= moved))
+        return (moved + 12 * (month + 1)).cast("long")
+
+    def replaced(d: Column) -> Column:
+        early = _let(_moved(12 * (d["months"] - 1) + d["of_month"] - 1, EARLY_RADIX, "early date", key, inverse), after_early)
+        late = _let(_moved(d["n"] - 12 * d["months"], LATE_RADIX, "late date", key, inverse), after_late)
+        day = F.date_add(first, (d["at"] * CYCLE + F.when(d["of_month"] > 12, late).otherwise(early)).cast("int"))
+        return F.when(d["at"].between(*CYCLES), F.call_function("date_format", day, d["form"]))
+
+    return _let(_let(read, numbered), replaced)
+
+
+def _subscriber(v: Column, key: str, inverse: bool) -> Column:
+    """A number whose last digits are permuted; what is before their separator stays."""
+    last = F.regexp_extract(v, "([0-9]+)$", 1)
+    return F.concat(F.substr(v, F.lit(1), F.char_length(v) - F.char_length(last)), F.array_join(feistel(_numbers(last), _tens(F.char_length(last)), "subscriber", key, inverse), ""))
+
 
-    # as the element of an array the number is computed once, however often it is named
-    days = F.get(F.transform(F.array(_moved(n - 12 * months, LATE_RADIX, "late date", key, inverse)), days_of), 0)
-    return F.when(at.between(*CYCLES) & (F.dayofmonth(day) > 12), F.date_format(F.date_add(first, (at * cycle + days).cast("int")), form))
+def _ipv6(v: Column, key: str, inverse: bool) -> Column:
+    """Groups permuted as numbers and written with as many digits at least as they had, in the case of the value."""
+    groups = F.split(F.lower(v), ":")
+    new = feistel(F.transform(groups, lambda g: F.conv(g, 16, 10).cast("long")), F.transform(groups, lambda g: F.lit(65_536).cast("long")), "ipv6", key, inverse)
+    out = F.array_join(F.transform(new, lambda x: F.lower(F.hex(x))), ":")
+    return F.when(v == F.upper(v), F.upper(out)).otherwise(out)
 
 
 def _mod97(text: Column) -> Column:
@@ -209,11 +249,13 @@ def pseudonym(v: Column, key: str, inverse: bool = False) -> Column:
     lead = F.char_length(F.regexp_extract(v, r"^([^=:]*[=:][ \t]*[\"']?)", 1))
     secret = F.concat(F.substr(v, F.lit(1), lead), _by_class(F.substr(v, lead + 1, F.char_length(v)), "secret", key, inverse))
     access = F.concat(F.substr(v, F.lit(1), F.lit(4)), _by_class(F.substr(v, F.lit(5), F.lit(16)), "access", key, inverse))
+    head = F.char_length(F.regexp_extract(v, "^(gh[pousr]_|github_pat_|sk-|xox[abprs]-)", 1))
+    token = F.concat(F.substr(v, F.lit(1), head), _by_class(F.substr(v, head + 1, F.char_length(v)), "token", key, inverse))
     new = (
-        F.when(whole(MAIL), mail).when(whole(ACCESS), access).when(whole(SECRET), secret).when(whole(IBAN), _iban(v, key, inverse))
-        .when(whole(ISO_DATE), _date(v, "yyyy-MM-dd", key, inverse)).when(whole(r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), F.coalesce(_date(v, "dd/MM/yyyy", key, inverse), _late_date(v, key, inverse)))
-        .when(whole(r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), _date(v, "dd.MM.yyyy", key, inverse)).when(whole(IPV4), _ipv4(v, key, inverse))
-        .when(whole(SSN), _ssn(v, key, inverse)).when(whole(E164), _phone(v, key, inverse)).when(whole(CARD), F.coalesce(_card(v, key, inverse), F.when(v.rlike(PHONE), _phone(v, key, inverse)))).when(whole(PHONE), _phone(v, key, inverse))
+        F.when(whole(MAIL), mail).when(whole(ACCESS), access).when(whole(TOKEN), token).when(whole(SECRET), secret).when(whole(IPV6), _ipv6(v, key, inverse))
+        .when(whole(IBAN), _iban(v, key, inverse)).when(whole(LOW_IBAN), F.lower(_iban(F.upper(v), key, inverse)))
+        .when(whole("|".join(form[0] for form in FORMS)), _date(v, key, inverse)).when(whole(IPV4), _ipv4(v, key, inverse))
+        .when(whole(SSN), _ssn(v, key, inverse)).when(whole(E164), _phone(v, key, inverse)).when(whole(CARD), F.coalesce(_card(v, key, inverse), F.when(v.rlike(PHONE), _phone(v, key, inverse)))).when(whole(PHONE), F.coalesce(_phone(v, key, inverse), F.when(v.rlike(f"^(?:{LOCAL})$"), _subscriber(v, key, inverse)))).when(whole(LOCAL), _subscriber(v, key, inverse))
     )
     return F.coalesce(new, v)
 

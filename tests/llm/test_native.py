@@ -81,10 +81,47 @@ def test_numbers_and_dates_in_other_forms(spark):
 def test_late_dates_are_permuted(spark):
     days = [d for y in (1999, 2000) for m in range(1, 13) for d in (f"{m:02d}/{x:02d}/{y}" for x in range(13, 32)) if _is_date(d)]
     df = spark.createDataFrame([(d,) for d in days], "v string")
-    got = df.select("v", pii._late_date(F.col("v"), KEY, False).alias("new")).select("v", "new", pii._late_date(F.col("new"), KEY, True).alias("back")).collect()
+    got = df.select("v", pii._date(F.col("v"), KEY, False).alias("new")).select("v", "new", pii._date(F.col("new"), KEY, True).alias("back")).collect()
     assert all(r.back == r.v and _is_date(r.new) and int(r.new[3:5]) > 12 for r in got) and len({r.new for r in got}) == len(days) > 400
 
 
+def test_equal_dates_are_linked_in_all_forms(spark):
+    days = [datetime.date(1990, 2, 13), datetime.date(2001, 3, 4), datetime.date(1805, 12, 12), datetime.date(2000, 2, 29), datetime.date(9799, 12, 31), datetime.date(1000, 1, 1)]
+    forms = [(i, f, d.strftime(f).replace(d.strftime("%Y"), f"{d.year:04d}")) for i, d in enumerate(days) for f in ("%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", *(["%m/%d/%Y"] if d.day > 12 else []))]
+    out = pii.pseudonymised(spark.createDataFrame([(i, f, f"on {x}, yes") for i, f, x in forms], "i int, f string, text string"), KEY)
+    got = {(r.i, r.f): datetime.datetime.strptime(r.text[3:-5], r.f).date() for r in out.collect()}
+    for i, d in enumerate(days):
+        of_it = {v for (k, _), v in got.items() if k == i}
+        assert len(of_it) == 1 and of_it != {d} and (next(iter(of_it)).day > 12) == (d.day > 12)
+    back = {(r.i, r.f): r.text[3:-5] for r in pii.pseudonymised(out, KEY, inverse=True).collect()}
+    assert back == {(i, f): x for i, f, x in forms}
+    short = pii.pseudonymised(spark.createDataFrame([("5/7/1990 05/07/1990 1990-07-05",)], "text string"), KEY).first()
+    a, b, c = short.text.split(" ")
+    assert short.n_values == 3 and [int(x) for x in a.split("/")] == [int(x) for x in b.split("/")] == [int(x) for x in c.split("-")][::-1]
+
+
+def test_early_dates_are_permuted(spark):
+    days = [datetime.date(y, m, x) for y in (1999, 2000) for m in range(1, 13) for x in range(1, 13)]
+    df = spark.createDataFrame([(d.isoformat(),) for d in days], "v string")
+    got = df.select("v", pii._date(F.col("v"), KEY, False).alias("new")).select("v", "new", pii._date(F.col("new"), KEY, True).alias("back")).collect()
+    assert all(r.back == r.v and int(r.new[8:]) <= 12 and 1800 <= int(r.new[:4]) < 2200 for r in got) and len({r.new for r in got}) == 288
+
+
+def test_values_that_were_left(spark):
+    values = [
+        "a" * 200 + "b.c@mail.example.org", "müller@x.com", "o.é.名前7@dömäne.de", "+49 30 1234567", "030 1234567", "089/1234567", "+44 (0)20 12345678", "de89370400440532013000", "ghp_abcdefghijklmnop0123456789ABCDEFGHIJ",
+        "sk-abcdefGHIJKL0123456789", "2001:db8:0:0:8:800:200c:417a", "2001:0DB8:0000:0000:0008:0800:200C:417A", "4155552671", "12:34:56", "0123", "2001:db8::1",
+    ]
+    out = pii.pseudonymised(spark.createDataFrame([(i, f"({v})") for i, v in enumerate(values)], "i int, text string"), KEY)
+    got = {r.i: r.text[1:-1] for r in out.collect()}
+    assert [got[i] == v for i, v in enumerate(values)] == [False] * 12 + [True] * 4
+    assert got[0].endswith("@mail.example.org") and len(got[0]) == len(values[0]) and "a" * 20 not in got[0] and got[1][1] == "ü" and got[2].endswith("@dömäne.de") and got[2][2] == "é" and "名前" in got[2]
+    assert got[3].startswith("+49 30 ") and got[4].startswith("030 ") and got[5].startswith("089/") and got[6].startswith("+44 (0)20 ") and got[7].startswith("de") and got[7] == got[7].lower()
+    assert got[8].startswith("ghp_") and got[9].startswith("sk-") and got[11] == got[11].upper() and [int(x, 16) for x in got[10].split(":")] == [int(x, 16) for x in got[11].split(":")]
+    back = {r.i: r.text[1:-1] for r in pii.pseudonymised(out, KEY, inverse=True).collect()}
+    assert [back[i] for i in range(11)] == values[:11]
+
+
 def _is_date(text):
     try:
         return bool(datetime.datetime.strptime(text, "%m/%d/%Y"))
