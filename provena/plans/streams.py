@@ -83,9 +83,9 @@ QUERIES = {f.__name__: f for f in (stream_chain, stream_phases, log_digests, wor
 
 _LOG = "log AS (SELECT user_id AS run, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_type, event_id || '|' || epoch_us(ts) || '|' || event_type || '|' || props || chr(10) AS line FROM events)"
 _BAD = "UNION ALL SELECT run, number, {0}, 'number again' FROM log WHERE seq % 50 = 0 UNION ALL SELECT run, NULL, {0}, 'no run or number' FROM log WHERE seq % 97 = 0"
-#: Nodes of a level of the tree from the members below it, as members of the level above.
-_LEVEL = """{to} AS (SELECT run, step, nd[1:{digits}] AS node, nd[{digits} + 1:] AS name, sum(n) AS n, sum(size) AS size, sha256(string_agg(name || chr(0) || sha || chr(0) || size, chr(10) ORDER BY name)) AS sha
-        FROM (SELECT * EXCLUDE (node), node AS nd FROM {of}) GROUP BY run, step, nd)"""
+#: Nodes of a level of the tree from the members below it, as members of the level above; the root, once made, stays.
+_LEVEL = """{to} AS (SELECT run, step, left(o.node, len(o.node) - 1) AS node, right(o.node, 1) AS name, sum(o.n) AS n, sum(o.size) AS size, sha256(string_agg(o.name || chr(0) || o.sha || chr(0) || o.size, chr(10) ORDER BY o.name)) AS sha,
+        o.node = '' AS done FROM {of} o WHERE NOT o.done GROUP BY run, step, o.node UNION ALL SELECT * FROM {of} WHERE done)"""
 _LISTS = f"""k AS (SELECT doc_id, coalesce(source, 'none') AS source, doc_id // {CHUNK} AS chunk, sha256(coalesce(text, '')) AS h, md5(doc_id::VARCHAR) AS m FROM documents),
     n AS (SELECT *, CASE {t.digit_sql(2)} WHEN 0 THEN '!' WHEN 1 THEN 'a//' ELSE 'f/' END || lpad((CASE WHEN {t.digit_sql(3)} = 0 THEN doc_id - doc_id % 2 ELSE doc_id END)::VARCHAR, 12, '0') || CASE WHEN {t.digit_sql(4)} = 0 THEN chr(13) ELSE '' END AS name,
       {t.digit_sql(1)} = 0 AS bad FROM k), l AS (SELECT *, CASE WHEN bad THEN upper(h) ELSE h END || '  ' || name AS line FROM n)"""
@@ -109,10 +109,8 @@ ORACLES = {
         runs AS (SELECT DISTINCT run FROM ch), st AS (SELECT DISTINCT run, step FROM ch UNION ALL SELECT run, -1 FROM runs),
         every AS (SELECT run, -1 AS since, path, sha, size FROM runs, base UNION ALL SELECT * FROM ch),
         held AS (SELECT st.run, st.step, path, arg_max({{'sha': sha, 'size': size}}, since) AS e FROM st JOIN every ON every.run = st.run AND since <= st.step GROUP BY 1, 2, 3),
-        leaf AS (SELECT run, step, sha256(path)[1:3] AS node, path AS name, 1 AS n, e.size AS size, e.sha AS sha FROM held WHERE e.sha IS NOT NULL),
-        {_LEVEL.format(to="l3", of="leaf", digits=2)},
-        {_LEVEL.format(to="l2", of="l3", digits=1)},
-        {_LEVEL.format(to="l1", of="l2", digits=0)},
-        {_LEVEL.format(to="l0", of="l1", digits=0)}
-        SELECT run, step::BIGINT AS step, n::BIGINT AS n_entries, size::BIGINT AS total_bytes, sha AS root_sha256 FROM l0""",
+        digits AS (SELECT min(d) AS d FROM range(1, 9) g(d) WHERE 16::DOUBLE ** d >= (SELECT count(*) FROM base)),
+        leaf AS (SELECT run, step, sha256(path)[1:d] AS node, path AS name, 1 AS n, e.size AS size, e.sha AS sha, false AS done FROM held, digits WHERE e.sha IS NOT NULL),
+        {", ".join(_LEVEL.format(to=f"l{i + 1}", of=f"l{i}" if i else "leaf") for i in range(9))}
+        SELECT run, step::BIGINT AS step, n::BIGINT AS n_entries, size::BIGINT AS total_bytes, sha AS root_sha256 FROM l9""",
 }

@@ -76,7 +76,7 @@ def test_replay_equals_a_tree_made_from_nothing(spark):
         for step in rng.sample(range(20), 9):
             for path in rng.sample([*base, "out/x", "out/y", "z"], 3):
                 changes.append((run, step, path, *((sha(f"{run}{step}{path}"), step) if rng.random() < 0.7 else (None, None))))
-    changes += [("a", 30, "not/there", None, None), ("b", 30, "d0/f0", *base["d0/f0"]), (None, 1, "x", "y", 1), ("a", None, "x", "y", 1), ("a", 1, None, "y", 1)]
+    changes += [("a", 30, "not/there", None, 9), ("b", 30, "d0/f0", *base["d0/f0"]), (None, 1, "x", "y", 1), ("a", None, "x", "y", 1), ("a", 1, None, "y", 1)]
     baseline = spark.createDataFrame([(p, *e) for p, e in base.items()], E_)
     for digits in (1, 2):
         got = replay.replay(baseline, spark.createDataFrame(changes, "run string, step int, " + E_), digits).collect()
