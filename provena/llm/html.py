@@ -10,8 +10,10 @@ is the article, with near runs (lists dive inside an article) and the title befo
 scale; any text there is a surge, and only lines without text outside links dive.
 
 Where the markup names the article (``article`` or ``main``) the same line blocks are measured within it, against the scale that the
-markup vouches for: any text outside links is article, so the text dives where all lines of a block are links only (lists of related
+markup vouches for: any text outside links is article, so the text dives where all lines of a block are short links only (lists of related
 pages, menus, indexes) and surges behind them. All between a surge and its dive stays, not the heaviest run alone, as nothing else may be dropped.
+Names may mislead: comments of readers are none, and where the heaviest run outside all named articles outweighs each of them more than twice (teaser
+cards beside an article in a plain element), that run is the article. A short line that is a notice as a whole goes wherever it stands.
 
 White space inside a block becomes one space, blocks are trimmed and joined in page order by two newlines; character
 references are decoded. Nothing is capped: a page of any length is one pass (PASSES + 1 at most, where marks mislead) of a tokenizing pattern that cannot
@@ -36,7 +38,7 @@ from provena.llm.common import released, table
 #: Elements whose content is raw text, none of it shown as prose.
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video", "noframes", "xmp"])
 #: Elements that are dropped with their content.
-DROPPED = frozenset(["nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "label", "datalist"])
+DROPPED = frozenset(["nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "datalist"])
 #: Dropped outside the article only: a header inside an article holds its title.
 HEADER = "header"
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
@@ -45,7 +47,7 @@ BLOCK = frozenset(["address", "article", "blockquote", "body", "caption", "cente
 #: Any other word beside them makes it a state of the page or something unknown ("has-sidebar", "comments-open"), no mark.
 READERS = r"comments?|commentlist|disqus|respond|reply|replies"
 MARK = rf"ads?|advert[a-z]*|adsense|banner|promo[a-z]*|sponsor[a-z]*|nav|navs|navbar|menu|menus|menubar|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend[a-z]*|{READERS}|pagination|pager|toolbar|search[a-z]*|widgets?|skip-link|copyright|contentinfo|complementary|navigation"
-BESIDE = r"\d+|area|articles?|bars?|block|bottom|box|buttons?|col|column|container|content|form|global|group|head|header|icons?|inner|items?|left|links?|list|main|media|outer|page|panel|posts?|primary|right|row|secondary|section|side|site|slot|stories|sub|text|top|unit|wrap|wrapper"
+BESIDE = r"\d+|area|articles?|bars?|block|body|bottom|box|buttons?|col|column|container|content|form|global|group|head|header|icons?|inner|items?|left|links?|list|main|media|outer|page|panel|posts?|primary|right|row|secondary|section|side|site|slot|stories|sub|text|top|unit|wrap|wrapper"
 MARKS = re.compile(rf"(?:(?:{BESIDE})[_-]+)*(?:side-bar|{MARK})(?:[_-]+(?:{BESIDE}|{MARK}))*", re.IGNORECASE)
 OF_READERS = re.compile(rf"(?:^|[_-])(?:{READERS})(?:$|[_-])", re.IGNORECASE)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
@@ -60,53 +62,64 @@ PROSE = 80
 SHARE, MOST = 0.25, 240
 
 
+#: Links of a block of at least so many characters a line are no menu. An unnamed run of text that outweighs every named article so many times is the article.
+LABEL, OUTWEIGHS = 25, 2
+#: Short lines that are a notice as a whole.
+NOTICE = re.compile(r"(?:advertisement|advertorial|sponsored(?: content| post)?|(?:we|this (?:web)?site|our (?:web)?site) uses? cookies\b.*|(?:copyright\b|\(c\)|©).{0,20}\b(?:19|20)\d\d\b.*)", re.IGNORECASE | re.DOTALL)
+SHORT = 100
+
+
 #: Passes over a page in which marked elements may prove to hold its article; after these, marks are not regarded.
 PASSES = 4
 
 
 def _marked(tag: str, attributes: str) -> str:
     """Why an element is dropped: "mark", "readers" (their comments), "hidden", or the empty text if it is not."""
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return ""
     found = [x for m in NAMED.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").split() if MARKS.fullmatch(x)]
+    if found and any(OF_READERS.search(x) for x in found):
+        return "readers"
+    if tag == "article":
+        return ""  # nothing but readers' comments is marked under that name
     if found:
-        return "readers" if any(OF_READERS.search(x) for x in found) else "mark"
+        return "mark"
     return "hidden" if HIDDEN.search(attributes) else ""
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines in page order: text, characters outside links, whether inside a named article, whether a top heading.
+def lines_of(page: str) -> list[tuple[str, int, int, bool]]:
+    """The lines in page order: text, characters outside links, the number of the named article it is in (0: none), whether a top heading.
 
-    A marked element is spared if it holds the only named article, or most of the text of a page without one."""
+    A marked element is spared if it holds the only named article, or most of the text of a page without one; comments of readers never are."""
     spared: set[int] | None = set()
     for _ in range(PASSES):
         out, held = _lines(page, spared)
         if any(x[2] for x in out):
             return out
         total = sum(x[1] for x in out) + sum(h[2] for h in held if h[1] == "mark")
-        more = {h[0] for h in held if h[3]} or {h[0] for h in held if h[1] == "mark" and 2 * h[2] > total}
+        more = {h[0] for h in held if h[3] and h[1] != "readers"} or {h[0] for h in held if h[1] == "mark" and 2 * h[2] > total}
         if not more:
             return out
         spared |= more
     return _lines(page, None)[0]
 
 
-def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, bool, bool]], list[list]]:
+def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, int, bool]], list[list]]:
     """The lines, and the marked elements dropped: place, why, characters outside links, whether a named article is in it.
 
     Elements at the places in ``spared`` are not dropped for a mark; none is if it is None."""
     held: list[list] = []
     marked = False  # whether the skip began at a marked element
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, int, bool]] = []
     parts: list[str] = []
     state = {"free": 0, "heading": False}
-    article = link = 0
+    article = link = number = 0
     skip: list[str] = []  # open elements from the first dropped one on
 
     def end() -> None:
         body = " ".join("".join(parts).split())
         if body:
-            out.append((body, state["free"], article > 0, state["heading"]))
+            out.append((body, state["free"], number if article else 0, state["heading"]))
         parts.clear()
         state["free"] = 0
 
@@ -177,6 +190,7 @@ def _lines(page: str, spared: set[int] | None) -> tuple[list[tuple[str, int, boo
             end()
             state["heading"] = tag == "h1" and not closing
         if tag in ("article", "main"):
+            number += not closing and not article
             article = max(0, article - 1) if closing else article + 1
         elif tag == "a":
             link = int(not closing and bool(HREF.search(attributes)))  # an anchor that is only a name is none
@@ -190,13 +204,15 @@ def main_text(page: str | None) -> str:
     """The article of a page; the empty text if it has none."""
     if not page:
         return ""
-    lines = lines_of(page)
+    lines = [x for x in lines_of(page) if len(x[0]) > SHORT or not NOTICE.fullmatch(x[0])]
     named = [x for x in lines if x[2]]
-    if named:
-        kept = between([free for _, free, *_ in named])
-        return "\n\n".join(x[0] for x, keep in zip(named, kept, strict=True) if keep)
+    lines = [x for x in lines if not x[2]]
     size = [free for _, free, *_ in lines]
     runs = surges(size, least_of(size))
+    heaviest = max((sum(size[a:b]) for a, b in runs), default=0)
+    if named and heaviest <= OUTWEIGHS * max(weighed(named).values()):
+        kept = between([free for _, free, *_ in named], [len(body) for body, *_ in named])
+        return "\n\n".join(x[0] for x, keep in zip(named, kept, strict=True) if keep)
     if not runs:
         return ""
     first, last = article_of(size, runs)
@@ -206,13 +222,22 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(body for body, *_ in lines[first:last])
 
 
-def between(size: list[int]) -> list[bool]:
-    """For the lines of a named article whether they lie between a surge and its dive: all but those of whole blocks below SURGE.
+def weighed(lines: list[tuple[str, int, int, bool]]) -> dict[int, int]:
+    """Characters of each named article, those of links too: an article of links only has a weight."""
+    out: dict[int, int] = {}
+    for body, _, number, _ in lines:
+        out[number] = out.get(number, 0) + len(body)
+    return out
+
+
+def between(size: list[int], length: list[int] | None = None) -> list[bool]:
+    """For the lines of a named article, by characters outside links and in all, whether they lie between a surge and its dive.
 
-    An article of nothing but such blocks keeps them, as it is a list."""
-    kept = [True] * len(size)
+    A block dives if it is below SURGE and its links are as short as those of a menu; longer ones are references. An
+    article of nothing but such blocks keeps them, as it is a list."""
+    kept, length = [True] * len(size), length or [0] * len(size)
     for i in range(len(size) - WINDOW + 1):
-        if sum(size[i : i + WINDOW]) < SURGE:
+        if sum(size[i : i + WINDOW]) < SURGE and sum(length[i : i + WINDOW]) < WINDOW * LABEL:
             kept[i : i + WINDOW] = [False] * WINDOW
     return kept if any(kept) else [True] * len(size)
 

@@ -561,6 +561,32 @@ def test_pages_with_sloppy_markup(page):
     assert got.startswith(ARTICLE.strip()) or got == ARTICLE.strip()
 
 
+COMMENT = "<article class='{}'><p>I do not agree with a word of what is written here, and neither does my neighbour.</p></article>"
+CARD = "<article class=card><h3><a href=/{0}>Another story {0}</a></h3><p>A teaser of it.</p></article>"
+
+
+def test_the_heaviest_body_is_the_article():
+    body = "".join(f"<p>{ARTICLE}</p>" for _ in range(3))
+    want = "\n\n".join([ARTICLE.strip()] * 3)
+    for kind in ("comment-body", "comment", "x"):
+        for holder in ("id='comments'", "class='comments-area'"):
+            assert html.main_text(f"<body><div class='entry-content'>{body}</div><div {holder}>{COMMENT.format(kind) * 4}</div></body>") == want
+    assert html.main_text(f"<body><div class='entry-content'>{body}</div>{COMMENT.format('comment-body') * 4}</body>") == want
+    cards = "".join(CARD.format(i) for i in range(5))
+    assert html.main_text(f"<body><div>{body}</div><div class=more>{cards}</div></body>") == want
+    assert html.main_text(f"<body><article>{body}</article><div>{COMMENT.format('comment-body')}</div></body>") == want
+    short = "<article><h1>News</h1><p>A short article, but the markup names it.</p></article>"
+    assert html.main_text(f"<body>{short}<div>Weather: mild.</div><div>Prices with tax.</div></body>") == "News\n\nA short article, but the markup names it."
+
+
+def test_what_an_article_keeps_and_what_is_a_notice():
+    refs = "".join(f"<li><a href=/{i}>A study of the {i}. kind, in: Proceedings of its workshop</a></li>" for i in range(3))
+    page = f"<body><article><h1>T</h1><p>Press <label>Enter</label> now. {ARTICLE}</p><p>Advertisement</p><ol>{refs}</ol><p>We use cookies on this site.</p><p>Copyright 2020 ACME</p></article></body>"
+    assert html.main_text(page).split("\n\n") == ["T", f"Press Enter now. {ARTICLE.strip()}", *(f"A study of the {i}. kind, in: Proceedings of its workshop" for i in range(3))]
+    assert html.main_text(f"<div><p>{ARTICLE}</p></div><div>Copyright 2020 ACME</div>") == ARTICLE.strip()
+    assert html.main_text("<article><p>Copyright law was made in 1710 and changed very often after that, as the next pages of this book will tell.</p></article>").startswith("Copyright law")
+
+
 def test_parts_between_link_lines_both_stay():
     links = "".join(f"<p><a href=/{i}>page {i}</a></p>" for i in range(4))
     got = html.main_text(f"<body><div><p>{ARTICLE}</p>{links}<p>Part two. {ARTICLE}</p></div></body>")
