@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of ``provena.plans``; each has QUERIES (name -> callable) and ORACLES (name -> SQL).
-PLANS = ("integrity", "process", "rules", "evidence_rules", "streams")
+PLANS = ("integrity", "process", "rules", "evidence_rules", "streams", "documents")
 
 
 def queries() -> dict[str, Query]:

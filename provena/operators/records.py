@@ -154,7 +154,7 @@ def quarantine_faults(records: DataFrame, outputs: DataFrame) -> DataFrame:
     return rows.select(*records.columns, _broken(rules).alias("faults"))
 
 
-#: The roles of what a bundle seals.
+#: Roles that rows of sealed things may have where they are recorded as a table; the shape of a bundle document is in ``operators.documents``.
 ROLES = ("artifact", "log", "output", "plan", "state")
 
 
@@ -169,11 +169,6 @@ def bundle_faults(rows: DataFrame, bundle: str) -> DataFrame:
     return row.unionByName(twice).unionByName(lone[0]).unionByName(lone[1])
 
 
-def lock_faults(owner: Column, token: Column, host: Column, created: Column) -> Column:
-    """Rules that a writer-lock record breaks: a positive owner, a token of 32 hexadecimal digits, a host on one line, and a time."""
-    return _broken({"owner": owner <= 0, "token": ~token.rlike("^[0-9a-f]{32}$"), "host": ~F.char_length(host).between(1, 255) | host.rlike(r"\p{C}"), "created": created.isNull()})
-
-
 def context_sha(*fields: str) -> Column:
     """The digest of a context: SHA-256 of the canonical JSON of its fields in name order, nulls kept, with a newline."""
     return F.sha2(F.concat(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), F.lit("\n")), 256)

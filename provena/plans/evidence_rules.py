@@ -31,7 +31,10 @@ def _event_lines(spark, sf):
         F.lit(',"run_id":'), text(F.when(d(8) == 0, "x").otherwise(F.col("user_id").cast("string"))), F.lit(',"sequence":'), (F.col("record") + F.when(d(9) == 0, 1).otherwise(0)).cast("string"),
         F.lit(f',"previous_sha256":"{FIRST}","details":{{'), details, more, F.lit("}"), F.when(d(6) < 8, ',"task_id":"t1"').when(d(6) < 12, ',"task_id":"zz"').otherwise(""), F.when(d(11) == 0, ',"extra":0').otherwise(""), F.lit("}"),
     )
-    return e.select("user_id", "record", F.concat(F.when(d(12) == 0, "[1]").when(d(12) == 1, '{"a":1,"a":2}').otherwise(line), F.lit("\n")).alias("line"))
+    e = e.withColumn("line", F.concat(F.when(d(12) == 0, "[1]").when(d(12) == 1, '{"a":1,"a":2}').otherwise(line), F.lit("\n")))
+    # all lines name the prefix of the first one, but for half of the second ones, which name their own
+    own = F.sha2(F.lag("line").over(Window.partitionBy("user_id").orderBy("event_id")), 256)
+    return e.select("user_id", "record", F.when((F.col("record") == 2) & (d(13) < 8), F.replace("line", F.lit(FIRST), own)).otherwise(F.col("line")).alias("line"))
 
 
 def event_rules(spark, sf):
@@ -93,7 +96,7 @@ def bundle_rules(spark, sf):
 
 def avoided_work(spark, sf):
     a = t.attempts(spark, sf)
-    resumed = a.filter("done or flag <> 'N'")
+    resumed = a.filter("(done or flag <> 'N') and not (done and number % 2 = 0)")
     work = lambda rows: state.work(rows, "worker", "task", F.col("done"))
     return records.avoided_work(work(a), work(resumed), "worker")
 
@@ -106,8 +109,10 @@ def context_bindings(spark, sf):
 
 
 def volatile_overlap(spark, sf):
-    p = t.url_paths(spark, sf).distinct()
-    return records.volatile_overlap(p, p.filter(F.size(F.split("path", "/")) == 2))
+    """Orders as paths, of which some lie below the path of their order or another one; some orders' own paths are immutable."""
+    o = t.read(spark, sf, "orders", "o_orderkey").withColumn("own", F.concat(F.lit("w/"), F.col("o_orderkey").cast("string")))
+    volatile = o.select(_one_of(_digit("o_orderkey", 1), F.col("own"), F.concat("own", F.lit("/log")), F.concat("own", F.lit("/a/b")), F.concat("own", F.lit("x")), F.concat(F.lit("w/"), F.right("own", F.lit(2)))).alias("path"))
+    return records.volatile_overlap(volatile, o.filter(_digit("o_orderkey", 2) < 8).select(F.col("own").alias("path")))
 
 
 def changed_between(spark, sf):
@@ -140,7 +145,7 @@ ORACLES = {
           CASE WHEN no_json OR {_d(7)} % 8 < 2 THEN 'schema_version' END,
           CASE WHEN no_json OR {_d(8)} = 0 THEN 'run_id' END,
           CASE WHEN no_json OR {_d(9)} = 0 THEN 'sequence' END,
-          CASE WHEN no_json OR record > 1 THEN 'previous_sha256' END,
+          CASE WHEN no_json OR record > 1 AND NOT (record = 2 AND {_d(13)} < 8) THEN 'previous_sha256' END,
           CASE WHEN no_json OR {_d(10)} = 0 THEN 'time' END,
           CASE WHEN no_json OR kind = 'odd' THEN 'type' END,
           CASE WHEN no_json OR CASE WHEN kind LIKE 'task%' THEN {_d(6)} >= 8 ELSE {_d(6)} < 12 END THEN 'task_id' END,
@@ -164,17 +169,15 @@ ORACLES = {
     "bundle_rules": f"""WITH {_BUNDLES} SELECT bundle, path, 'role' AS rule FROM b WHERE role = 'extra' UNION ALL SELECT bundle, path, 'path' FROM b WHERE path LIKE '%//%' UNION ALL SELECT bundle, path, 'identity' FROM b WHERE odd
         UNION ALL SELECT bundle, path, 'sealed twice' FROM b GROUP BY 1, 2 HAVING count(*) > 1
         UNION ALL SELECT bundle, NULL, 'not one plan' FROM b GROUP BY bundle HAVING count(*) FILTER (role = 'plan') <> 1 UNION ALL SELECT bundle, NULL, 'not one state' FROM b GROUP BY bundle HAVING count(*) FILTER (role = 'state') <> 1""",
-    "avoided_work": """WITH a AS (SELECT l_suppkey AS worker, l_partkey AS task, count(*) AS c, count(*) FILTER (l_linestatus = 'F') AS g, count(*) FILTER (l_linestatus = 'F' OR l_returnflag <> 'N') AS c2 FROM lineitem GROUP BY 1, 2)
-        SELECT worker, (sum(c) - sum(c2))::BIGINT AS avoided_calls, 0::BIGINT AS avoided_duplicates FROM a GROUP BY worker HAVING sum(c2) > 0""",
+    "avoided_work": """WITH a AS (SELECT l_suppkey AS worker, l_partkey AS task, count(*) AS c, count(*) FILTER (l_linestatus = 'F') AS g, count(*) FILTER ((l_linestatus = 'F' OR l_returnflag <> 'N') AND NOT again) AS c2,
+          count(*) FILTER (l_linestatus = 'F' AND NOT again) AS g2 FROM (SELECT *, l_linestatus = 'F' AND l_linenumber % 2 = 0 AS again FROM lineitem) GROUP BY 1, 2)
+        SELECT worker, (sum(c) - sum(c2))::BIGINT AS avoided_calls, (sum(greatest(0, g - 1)) - sum(greatest(0, g2 - 1)))::BIGINT AS avoided_duplicates FROM a GROUP BY worker HAVING sum(c2) > 0""",
     "context_bindings": f"""WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem), p AS (SELECT l_orderkey, l_linenumber, {_SHA} AS digest FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS mode FROM l WHERE l_linenumber > 1 GROUP BY 1, 2)),
           a AS (SELECT DISTINCT l_orderkey, l_linenumber, {_SHA} AS digest FROM (SELECT l_orderkey, l_linenumber, CASE WHEN {_d(1, "md5(l_orderkey::VARCHAR)")} = 0 THEN 'PIPE' ELSE l_returnflag END AS mode FROM l))
         SELECT a.* FROM a LEFT JOIN p USING (l_orderkey, l_linenumber) WHERE p.digest IS DISTINCT FROM a.digest""",
-    "volatile_overlap": """WITH u AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path
-        FROM pages),
-      f AS (SELECT path
-        FROM u
-        WHERE len(string_split(path, '/')) = 2) SELECT DISTINCT u.path
-        FROM u JOIN f ON u.path = f.path OR starts_with(u.path, f.path || '/')""",
+    "volatile_overlap": f"""WITH k AS (SELECT 'w/' || o_orderkey AS own, md5(o_orderkey::VARCHAR) AS m FROM orders), i AS (SELECT own FROM k WHERE {_d(2)} < 8),
+          v AS (SELECT DISTINCT [own, own || '/log', own || '/a/b', own || 'x', 'w/' || right(own, 2)][{_d(1)} % 5 + 1] AS path FROM k)
+        SELECT DISTINCT path FROM v JOIN i ON own = array_to_string(string_split(path, '/')[1:2], '/')""",
     "changed_between": f"SELECT o_orderkey FROM (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS m FROM orders) WHERE {_d(1)} = 0 OR {_d(2)} = 0",
     "summary_rules": """WITH b AS (SELECT o_custkey AS k, count(*) % 25 AS v FROM orders GROUP BY 1) SELECT coalesce(c_custkey, k) AS k, CASE WHEN k IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'extra' WHEN c_nationkey = v THEN 'match' ELSE 'drift' END AS status FROM customer FULL JOIN b ON c_custkey = k""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.functions import identity as I
@@ -72,7 +72,7 @@ def _digit(key: str, place: int):
 
 def _one_of(digit, *values):
     """The value at the digit modulo their number; None is null."""
-    return F.get(F.array(*[F.lit(v) for v in values]), digit % len(values))
+    return F.get(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), digit % len(values))
 
 
 def digit_sql(place: int, md5: str = "m") -> str:

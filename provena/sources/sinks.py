@@ -61,11 +61,13 @@ def current(spark: SparkSession, root: str) -> DataFrame:
 def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
     """A text file at a place that must not exist; with ``replace`` one rename puts it in the place of the old one, so there is always one of them."""
     fs, where = _fs(spark, path)
-    if not replace and fs.exists(where):
+    local = fs.getScheme() == "file"  # there a check and a creation are two steps, but for a new empty file
+    made = local and not replace and spark.sparkContext._jvm.java.io.File(where.toUri().getPath()).createNewFile()
+    if not replace and not made and (local or fs.exists(where)):
         raise EvidenceError(f"{path} exists")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     to = hadoop.Path(f"{path}.{uuid.uuid4().hex}") if replace else where
-    out = fs.create(to, False)
+    out = fs.create(to, bool(made))
     out.write(bytearray(text.encode()))
     out.close()
     if replace:

@@ -208,8 +208,6 @@ def test_strict_json(spark):
 def test_records(spark):
     from provena.operators import records
 
-    lock = table(spark, [(1, "a" * 32, "h", 5, 0), (0, "A", "", None, 4)], "o int, t string, h string, c int, n int")
-    assert lock.filter(F.size(records.lock_faults(*map(F.col, "othc"))) != F.col("n")).count() == 0
     body = '{"action":"start","agent_run_uid":"","bundle_sha256":"","error_code":"","execution_spec_sha256":"","outcome":"","protocol":"","resume_decision_sha256":"","run_id":"r"}'
     df = table(spark, [(body, None), (body + " ", None), (body.replace('"r"', "1"), "not a text"), ("", "empty"), (None, "empty"), (body[:-1] + ',"x":""}', "fields")], "m string, want string")
     assert df.filter(~records.termination(F.col("m")).eqNullSafe(F.col("want"))).count() == 0
