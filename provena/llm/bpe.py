@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from provena.llm.common import released, table
+from provena.llm.common import importable, released, table
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens and token pairs that a worker remembers.
@@ -159,6 +159,7 @@ def encoder(key: str, vocab: dict) -> Encoder:
 
 def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", digests: bool = True) -> DataFrame:
     """Per document: its id, n_tokens, and the digests of ids and decoded text, or else ids (array) and decoded (text)."""
+    importable(docs.sparkSession)
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(vocabulary(path))
     source = docs.select(id_col, text)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import released, table
+from provena.llm.common import importable, released, table
 
 #: Elements whose content is raw text, none of it shown as prose.
 RAW = frozenset(["script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object", "canvas", "audio", "video", "noframes", "xmp"])
@@ -285,6 +285,7 @@ def article_of(size: list[int], runs: list[tuple[int, int]]) -> tuple[int, int]:
 
 def extracted(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with text and n_chars, its code points, in the place of the markup."""
+    importable(pages.sparkSession)
     pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c == html or c not in ("text", "n_chars")])
     at = pages.columns.index(html)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != html)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.llm.common import dropped, let_go, released, small, table, written
+from provena.llm.common import dropped, importable, let_go, released, small, table, written
 
 #: Members of a cell whose pairs in the window are compared without looking at deviations.
 SMALL = 8
@@ -570,6 +570,7 @@ def _components_with(links: list[DataFrame]) -> DataFrame:
 def joined(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, also: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: id, the columns named in ``also``, n_shingles, component_id, the least id reachable by links of Jaccard similarity of ``percent`` or more, and
     stays, true for the row of that id (a null one if there is no other; of equal ids that of the least text hash) and for rows with an empty set."""
+    importable(docs.sparkSession)
     spark = docs.sparkSession
     rows = written(described(docs, id_col, text, k, percent, also))
     classes = rows.filter("n_shingles > 0").groupBy("cls").agg(F.min(F.struct("id", "tid")).alias("rep"), F.first("n_regions").alias("n_regions"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm.common import dropped, let_go, released, scratch, table, written
+from provena.llm.common import dropped, importable, let_go, released, scratch, table, written
 from provena.llm.jaccard import _mixed, byte_hashes, slices
 from provena.llm.suffix import ordered
 
@@ -232,6 +232,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 200, digests: bool = True) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, and the digest of the bytes kept, or else these (binary)."""
+    importable(docs.sparkSession)
     keyed = _keyed(docs, id_col, text)
     kind = keyed.schema["id"].dataType.simpleString()
     found = repeats(docs, id_col, text, length)

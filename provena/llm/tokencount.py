@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from provena.llm.bpe import PATTERN
-from provena.llm.common import released, table
+from provena.llm.common import importable, released, table
 
 MOST_NODES = 400_000
 MOST_WORDS = 400_000
@@ -136,6 +136,7 @@ _counters: dict[str, Counter] = {}
 
 def counted(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: its id, n_pretokens, n_tokens."""
+    importable(docs.sparkSession)
     vocab = docs.sparkSession.sparkContext.broadcast(scores(path))
     source = docs.select(id_col, text)
 
