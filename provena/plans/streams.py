@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from provena.functions import identity as I
 from provena.operators import eventlog, replay
 from provena.plans import tables as t
-from provena.shared import streamed, text_files
-from provena.sources import lines, trees
+from provena.shared import folder, streamed, text_files
+from provena.sources import lines, packages, trees
 from provena.streaming import runs
 
 
@@ -79,7 +79,17 @@ def tree_entries(spark, sf):
     return found.select(F.regexp_replace(F.url_decode("path"), r"/part-[^/]*\.txt$", "/part").alias("path"), "kind", "size", "sha256")
 
 
-QUERIES = {f.__name__: f for f in (stream_chain, stream_phases, log_digests, workspace_replay, checksum_order, tree_entries)}
+def package_files(spark, sf):
+    """The identities of up to 1000 documents of a source as a file each, published as a package and read back."""
+    d = t.read(spark, sf, "documents", "doc_id", "source", "text")
+    line = F.concat_ws(" ", F.lpad(F.col("doc_id").cast("string"), 12, "0"), I.sha256(F.coalesce("text", F.lit(""))))
+    files = d.groupBy(F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.expr("doc_id div 1000").cast("string")).alias("name")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("content"))
+    root = f"{folder(spark)}"
+    packages.publish(files, root)
+    return packages.verified(spark, root)
+
+
+QUERIES = {f.__name__: f for f in (stream_chain, stream_phases, log_digests, workspace_replay, checksum_order, tree_entries, package_files)}
 
 _LOG = "log AS (SELECT user_id AS run, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_type, event_id || '|' || epoch_us(ts) || '|' || event_type || '|' || props || chr(10) AS line FROM events)"
 _BAD = "UNION ALL SELECT run, number, {0}, 'number again' FROM log WHERE seq % 50 = 0 UNION ALL SELECT run, NULL, {0}, 'no run or number' FROM log WHERE seq % 97 = 0"
@@ -90,6 +100,8 @@ _LISTS = f"""k AS (SELECT doc_id, coalesce(source, 'none') AS source, doc_id //
     n AS (SELECT *, CASE {t.digit_sql(2)} WHEN 0 THEN '!' WHEN 1 THEN 'a//' ELSE 'f/' END || lpad((CASE WHEN {t.digit_sql(3)} = 0 THEN doc_id - doc_id % 2 ELSE doc_id END)::VARCHAR, 12, '0') || CASE WHEN {t.digit_sql(4)} = 0 THEN chr(13) ELSE '' END AS name,
       {t.digit_sql(1)} = 0 AS bad FROM k), l AS (SELECT *, CASE WHEN bad THEN upper(h) ELSE h END || '  ' || name AS line FROM n)"""
 ORACLES = {
+    "package_files": """WITH f AS (SELECT coalesce(source, 'none') || '/' || doc_id // 1000 AS name, string_agg(lpad(doc_id::VARCHAR, 12, '0') || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id) AS c FROM documents GROUP BY 1)
+        SELECT name, sha256(c) AS sha256, strlen(c)::BIGINT AS size, 'match' AS status FROM f""",
     "checksum_order": f"""WITH {_LISTS}, f AS (SELECT *, CASE WHEN NOT bad THEN name END AS file FROM l), o AS (SELECT *, row_number() OVER w AS number, lag(file) OVER w AS before FROM f WINDOW w AS (PARTITION BY source, chunk ORDER BY doc_id))
         SELECT source, chunk, number, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY source, chunk ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, file, true AS ended,
           array_to_string([x FOR x IN [CASE WHEN bad THEN 'form' END, CASE WHEN contains(line, chr(13)) THEN 'ending' END, CASE WHEN NOT bad AND contains(name, '//') THEN 'path' END, CASE WHEN file <= before THEN 'order' END] IF x IS NOT NULL], ',') AS faults FROM o""",

@@ -8,7 +8,7 @@ import random
 
 import pytest
 
-from provena.sources import lines, trees
+from provena.sources import lines, packages, trees
 
 
 def sha(raw: bytes) -> str:
@@ -141,3 +141,46 @@ def test_a_tree_that_changes_is_refused(spark, root, monkeypatch):
     monkeypatch.setattr(trees, "tree", scan)
     with pytest.raises(Exception, match="changed between two scans"):
         trees.observed(spark, str(root))
+
+
+def test_package(spark, tmp_path):
+    files = spark.createDataFrame([(f"d/{i}", f"body {i % 7}".encode()) for i in range(40)] + [("é x", b""), ("big", b"z" * 100_000)], "name string, content binary").repartition(5)
+    root = f"{tmp_path}/p"
+    packages.publish(files, root)
+    got = {r.name: (r["sha256"], r["size"], r.status) for r in packages.verified(spark, root).collect()}
+    assert got == {r.name: (sha(bytes(r.content)), len(r.content), "match") for r in files.collect()}
+    with pytest.raises(Exception, match="exists"):
+        packages.publish(files, root)
+    assert packages.verified(spark, root).count() == 42
+    victim = next((tmp_path / "p/objects").glob(f"*/{sha(b'body 3')}"))
+    victim.write_bytes(b"other")
+    assert {r.status for r in packages.verified(spark, root).collect() if r["sha256"] == sha(b"body 3")} == {"drift"}
+    victim.unlink()
+    assert {r.status for r in packages.verified(spark, root).collect() if r["sha256"] == sha(b"body 3")} == {"missing"}
+    part = next((tmp_path / "p/sums").iterdir())
+    part.write_bytes(part.read_bytes() + b"\n")
+    with pytest.raises(Exception, match="missing, changed"):
+        packages.listed(spark, root).collect()
+    (tmp_path / "p/SHA256SUMS").write_bytes(b"")
+    with pytest.raises(Exception, match="marker"):
+        packages.listed(spark, root)
+
+
+def test_a_failed_task_leaves_no_package(spark, tmp_path):
+    good = [(f"n{i}", b"x") for i in range(20)]
+    for bad in ((None, b"x"), ("a\nb", b"x"), ("c", None), ("", b"x")):
+        root = f"{tmp_path}/{len(os.listdir(tmp_path))}"
+        with pytest.raises(Exception, match="no name or content"):
+            packages.publish(spark.createDataFrame([*good, bad], "name string, content binary").repartition(3), root)
+        assert not os.path.exists(root)
+    (tmp_path / "half/objects/aa").mkdir(parents=True)  # as a driver that died leaves it
+    with pytest.raises(Exception, match="is no package"):
+        packages.listed(spark, f"{tmp_path}/half")
+
+
+def test_packages_of_nothing_and_of_doubles(spark, tmp_path):
+    none = spark.createDataFrame([], "name string, content string")
+    packages.publish(none, f"{tmp_path}/none")
+    assert packages.listed(spark, f"{tmp_path}/none").count() == 0
+    packages.publish(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "name string, content string").coalesce(1), f"{tmp_path}/two")
+    assert sorted((r.name, r.status) for r in packages.verified(spark, f"{tmp_path}/two").collect()) == [("a", "listed twice"), ("a", "listed twice"), ("b", "match")]
