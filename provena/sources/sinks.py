@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,13 +62,13 @@ def current(spark: SparkSession, root: str) -> DataFrame:
 def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -> None:
     """A text file at a place that must not exist; with ``replace`` one rename puts it in the place of the old one, so there is always one of them."""
     fs, where = _fs(spark, path)
-    local = fs.getScheme() == "file"  # there a check and a creation are two steps, but for a new empty file
-    made = local and not replace and spark.sparkContext._jvm.java.io.File(where.toUri().getPath()).createNewFile()
-    if not replace and not made and (local or fs.exists(where)):
+    # on a local file system a check and a creation are two steps; a second name for a whole file is given in one
+    linked = not replace and fs.getScheme() == "file"
+    if not replace and fs.exists(where):
         raise EvidenceError(f"{path} exists")
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    to = hadoop.Path(f"{path}.{uuid.uuid4().hex}") if replace else where
-    out = fs.create(to, bool(made))
+    to = hadoop.Path(where.getParent(), f".{where.getName()}.{uuid.uuid4().hex}") if replace or linked else where
+    out = fs.create(to, False)
     out.write(bytearray(text.encode()))
     out.close()
     if replace:
@@ -75,6 +76,14 @@ def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -
         how = spark.sparkContext._gateway.new_array(kind, 1)
         how[0] = kind.OVERWRITE
         hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(to, where, how)
+    elif linked:
+        jvm, name = spark.sparkContext._jvm, lambda x: x.toUri().getPath()
+        try:
+            jvm.java.nio.file.Files.createLink(jvm.java.io.File(name(where)).toPath(), jvm.java.io.File(name(to)).toPath())
+        except Py4JJavaError as e:
+            raise EvidenceError(f"{path} exists") from e
+        finally:
+            fs.delete(to, False)
 
 
 def get_text(spark: SparkSession, path: str) -> str:
