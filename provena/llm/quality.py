@@ -11,7 +11,8 @@ line that holds a third of all rows only adds to counts. The table of boilerplat
 texts meet their own boilerplate lines by a shuffle.
 
 Edge cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; documents
-with equal id and text are counted one by one (unless copies count once) and get equal verdicts; an empty table gives an empty result. Lines
+with equal id and text are counted one by one (unless copies count once) and get equal verdicts; a line at its host's limit, and a document with just
+``least_left`` of its text left, stay; an empty table gives an empty result. Lines
 of equal 64-bit hash are taken as equal.
 """
 

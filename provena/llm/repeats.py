@@ -17,7 +17,8 @@ Spans of a text are joined to it by id and text hash, united, and cut. Documents
 costs its bytes once per copy and no pairs. Shuffle files of a finished phase are let go before the next.
 
 Edge cases: null is the empty text; texts under ``length`` bytes have no strings and stay; equal rows are separate documents
-and repeat each other; an empty table gives no rows.
+and repeat each other; there are no ties, as all equal strings go, the first one too; of grams of equal least hash the left one is
+the anchor; an empty table gives no rows.
 """
 
 from __future__ import annotations
