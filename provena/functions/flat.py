@@ -7,17 +7,21 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from provena.functions import canonical
 
 #: pointer and its pattern (RFC 6901; in the pattern * stands for places of arrays and keys of maps), those of the parent, own key, kind, value
 #: (canonical text of scalars), n (members), sha256 of the canonical form with its newline, body_sha256 of that of an object without its seal.
-NODE = "array<struct<pointer: string, pattern: string, parent: string, above: string, key: string, kind: string, value: string, n: bigint, sha256: string, body_sha256: string>>"
+NODE = "pointer string, pattern string, parent string, above string, key string, kind string, value string, n bigint, sha256 string, body_sha256 string"
+#: Documents whose nodes are held at a time.
+DOCUMENTS = 200
 
 
 def _sha(text: str) -> str:
@@ -59,13 +63,37 @@ def nodes(text: str | None, maps: frozenset[str], seal: str) -> list[tuple] | No
     return out
 
 
-def flattened(text: Column, maps: tuple[str, ...] = (), seal: str = "context_sha256") -> Column:
-    """The nodes of a JSON text as an array of structs; null if the text is not strict."""
-    visit = partial(nodes, maps=frozenset(maps), seal=seal)
-
-    @F.pandas_udf(NODE)
-    def each(texts: pd.Series) -> pd.Series:
-        names = [x.split(":")[0].strip() for x in NODE[len("array<struct<") : -2].split(", ")]
-        return texts.map(lambda x: None if (found := visit(x)) is None else [dict(zip(names, node, strict=True)) for node in found])
-
-    return each(text)
+def flattened(docs: DataFrame, key: str, text: str, maps: tuple[str, ...] = (), seal: str = "context_sha256") -> DataFrame:
+    """Per node of each document: the key, the fields of NODE, of an object the names of its members and the value of its seal; a text that is
+    not strict has one row without a pointer. Texts are read once, and their nodes go out as columns."""
+    visit, source = partial(nodes, maps=frozenset(maps), seal=seal), docs.select(key, text)
+    fields = T.StructType.fromDDL(f"{NODE}, names array<string>, seal string")
+    types = [to_arrow_type(f.dataType) for f in fields]
+    names = [key, *fields.names]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(first, DOCUMENTS)
+                at, out = [], []
+                for i, x in enumerate(part.column(1).to_pylist()):
+                    found = visit(x)
+                    found = [(None,) * len(types)] if found is None else _with_members(found, seal)
+                    at.extend([i] * len(found))
+                    out.extend(found)
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int32())), *(pa.array(c, kind) for c, kind in zip(columns, types, strict=True))], names=names)
+
+    return source.mapInArrow(rows, T.StructType([T.StructField(key, source.schema[0].dataType), *fields]))
+
+
+def _with_members(found: list[tuple], seal: str) -> list[tuple]:
+    """Nodes with the names of an object's members and the value of its seal."""
+    members: dict[str, list[str]] = {n[0]: [] for n in found if n[5] == "object"}
+    seals: dict[str, str | None] = {}
+    for n in found:
+        if n[2] in members:
+            members[n[2]].append(n[4])
+            if n[4] == seal:
+                seals[n[2]] = n[6]
+    return [(*n, members.get(n[0]), seals.get(n[0])) for n in found]

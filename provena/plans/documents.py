@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from provena.operators import documents as D
 from provena.plans import tables as t
+from provena.shared import written
 
 
 def _orders(spark, sf):
-    o = t.read(spark, sf, "orders", "o_orderkey")
+    o = t.dealt(t.read(spark, sf, "orders", "o_orderkey"))
     return o.select(F.col("o_orderkey").alias("run"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("h"), *[t._digit("o_orderkey", i).alias(f"d{i}") for i in range(1, 7)])
 
 
@@ -31,10 +32,10 @@ BUNDLE = '{"run_id":"<id>","schema_version":<version>,<created>"kind":"bundle","
 def _documents(spark, sf):
     """Per order the texts of a plan, canonical, and of a bundle in another spelling; some bundles have no plan."""
     h, one = F.col("h"), lambda place, value, bad, good: F.when(F.col(f"d{place}") == value, F.lit(bad)).otherwise(F.lit(good))
-    inner = F.sha2(F.concat(_filled("{" + BODY, h=h), F.lit("\n")), 256)
+    _inner, inner = F.sha2(F.concat(_filled("{" + BODY, h=h), F.lit("\n")), 256), F.col("_inner")
     task = lambda seal: F.concat(F.lit('{"context_sha256":"'), seal, F.lit('",'), _filled(BODY, h=h))
     tasks = lambda seal: F.concat(_filled(f'"descriptor":{DESCRIPTOR},"tasks":{{"t1":', h=h), task(seal), F.lit("}}"))
-    outer = F.sha2(F.concat(F.lit("{"), tasks(inner), F.lit("\n")), 256)
+    _outer, outer = F.sha2(F.concat(F.lit("{"), tasks(inner), F.lit("\n")), 256), F.col("_outer")
     context = lambda seal: F.concat(F.lit('{"context_sha256":"'), outer, F.lit('",'), tasks(seal))
     plan = _filled(PLAN, context=context(inner), id=F.substring(h, 1, 32), h=h)
     spelled = F.replace(context(F.when(F.col("d4") == 0, F.repeat(F.lit("0"), 64)).otherwise(inner)), F.lit('":'), F.lit('" : '))
@@ -44,12 +45,14 @@ def _documents(spark, sf):
         suite=one(3, 1, "../s", "suite.toml"), size=one(3, 0, "10", "9"), outputs=F.when(F.col("d5") == 1, F.concat(output, F.lit(", "), output)).otherwise(output), context=spelled,
         more=F.concat(one(1, 0, ',"more":1', ""), one(6, 0, ',"kind":"again"', "")), h=h,
     )
-    return _orders(spark, sf).select("run", F.when(F.col("d6") != 1, plan).alias("plan"), bundle.alias("bundle"))
+    rows = _orders(spark, sf).withColumn("_inner", _inner).withColumn("_outer", _outer)
+    return rows.select("run", F.when(F.col("d6") != 1, plan).alias("plan"), bundle.alias("bundle"))
 
 
 def bundle_documents(spark, sf):
     docs = _documents(spark, sf)
-    bundles, plans = D.flat(docs, "run", "bundle"), D.flat(docs.filter("plan IS NOT NULL"), "run", "plan")
+    # many rules ask for the nodes, so texts are made and read once
+    bundles, plans = written(D.flat(docs, "run", "bundle")), written(D.flat(docs.filter("plan IS NOT NULL"), "run", "plan"))
     found = D.shape_faults(bundles, "run", D.BUNDLES[2]).unionByName(D.seal_faults(bundles, "run"))
     return found.unionByName(D.binding_faults(bundles, plans, "run")).unionByName(D.undeclared(bundles, plans, "run"))
 

@@ -14,8 +14,13 @@ def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Columns of documents, dealt out where the file has fewer splits than there are cores: what is done with a text costs more than its way."""
-    rows, cores = read(spark, sf_dir, "documents", *columns), spark.sparkContext.defaultParallelism
+    """Columns of documents, dealt out: what is done with a text costs more than its way."""
+    return dealt(read(spark, sf_dir, "documents", *columns))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out where their file has fewer splits than there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 

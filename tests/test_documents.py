@@ -105,3 +105,11 @@ def test_documents_without_a_partner_and_locks(spark):
 def test_shapes_are_tables(shape):
     assert len({x[0] for x in shape}) == len(shape) and all(x[2] in (*D.FORMS, "path") for x in shape)
     assert all(x[0] == "" or x[0].rsplit("/", 1)[0] in {y[0] for y in shape} for x in shape)
+
+
+def test_texts_are_read_once_and_rules_of_one_document_move_nothing(spark):
+    nodes_of = D.flat(spark.createDataFrame([(1, json.dumps(BUNDLE)), (2, "{")], "run int, t string"), "run", "t")
+    plan = D.shape_faults(nodes_of, "run", D.BUNDLES[2]).unionByName(D.seal_faults(nodes_of, "run"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "hashpartitioning" not in plan
+    root = next(r for r in nodes_of.collect() if r.pointer == "/execution_context")
+    assert root.names == ["context_sha256", "descriptor", "tasks"] and root.seal == json.dumps(CONTEXT["context_sha256"])
