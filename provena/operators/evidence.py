@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.operators.manifest import diff
+from provena.shared import by_keys
 
 
 def exactness(expected: DataFrame, present: DataFrame, key: str) -> DataFrame:
     """Keys on one side only: (key, fault) with fault missing or unexpected."""
-    a, b = expected.select(key).distinct(), present.select(key).distinct()
-    return a.join(b, key, "left_anti").withColumn("fault", F.lit("missing")).unionByName(b.join(a, key, "left_anti").withColumn("fault", F.lit("unexpected")))
+    sides = expected.select(key, F.lit(True).alias("_expected")).unionByName(present.select(key, F.lit(False).alias("_expected")))
+    found = by_keys(sides, expected.count() + present.count(), key).groupBy(key).agg(F.min("_expected").alias("_all"), F.max("_expected").alias("_any"))
+    return found.filter(F.col("_all") == F.col("_any")).select(key, F.when(F.col("_all"), "missing").otherwise("unexpected").alias("fault"))
 
 
 def equal_sets(a: DataFrame, b: DataFrame) -> bool:

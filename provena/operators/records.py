@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from provena.functions import identity as I
 from provena.functions import paths as P
 from provena.operators import eventlog
+from provena.shared import by_keys
 
 #: The details of each type of event; a text, a count, or a code, which may be negative or null.
 DETAILS = {
@@ -95,20 +96,17 @@ def event_faults(log: DataFrame, run: str, record: str, line: str, plans: DataFr
 def termination(message: Column) -> Column:
     """What is wrong with a termination message, which is one JSON object of exactly the nine texts, or null."""
     value = strict_json(message)
-    keys = F.when(value.isNotNull(), F.array_sort(F.map_keys(F.from_json(message, "map<string,string>"))))
-    kinds = [F.schema_of_variant(F.variant_get(value, f"$.{name}", "variant")) for name in RESULT_FIELDS]
-    every = F.lit(True)
-    for kind in kinds:
-        every = every & F.coalesce(kind == "STRING", F.lit(False))
+    keys = F.array_sort(F.map_keys(F.from_json(message, "map<string,string>")))
+    every = F.schema_of_variant(value) == f"OBJECT<{', '.join(f'{name}: STRING' for name in sorted(RESULT_FIELDS))}>"
     return (
         F.when(F.coalesce(message, F.lit("")) == "", "empty").when(F.octet_length(message) > MAX_RESULT, "too long").when(value.isNull() | ~F.schema_of_variant(value).startswith("OBJECT"), "not one object")
         .when(keys != F.array(*map(F.lit, RESULT_FIELDS)), "fields").when(~every, "not a text")
     )
 
 
-def termination_fields(message: Column) -> Column:
-    """The nine fields of a message as a struct; null for a message with a fault."""
-    return F.when(termination(message).isNull(), F.from_json(message, ", ".join(f"{name} string" for name in RESULT_FIELDS)))
+def termination_fields(message: Column, fault: Column | None = None) -> Column:
+    """The nine fields of a message as a struct; null for a message with a fault, which may be known."""
+    return F.when((termination(message) if fault is None else fault).isNull(), F.from_json(message, ", ".join(f"{name} string" for name in RESULT_FIELDS)))
 
 
 def plan_faults(tasks: DataFrame, run: str) -> DataFrame:
@@ -182,8 +180,11 @@ def context_bindings(attempts: DataFrame, plans: DataFrame, keys: list[str], dig
 
 def volatile_overlap(volatile: DataFrame, immutable: DataFrame, key: str = "path") -> DataFrame:
     """Volatile paths that are also declared immutable, or lie below one that is."""
+    n_volatile, n_immutable = volatile.count(), immutable.count()
     up = volatile.select(F.col(key), F.explode(F.concat(F.array(F.col(key)), P.ancestors(F.col(key)))).alias("_up"))
-    return up.join(immutable.select(F.col(key).alias("_up")).distinct(), "_up", "left_semi").select(key).distinct()
+    rows = 4 * max(n_volatile, n_immutable)
+    found = by_keys(up, rows, "_up").join(by_keys(immutable.select(F.col(key).alias("_up")), rows, "_up"), "_up", "left_semi").select(key)
+    return by_keys(found, n_volatile, key).distinct()
 
 
 def summary_matches(summary: DataFrame, records: DataFrame, key: str, value: str) -> DataFrame:

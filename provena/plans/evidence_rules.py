@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provena.operators import records, state
 from provena.plans import tables as t
 from provena.plans.tables import _digit, _one_of
+from provena.shared import by_keys
 
 FIRST = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 #: Details of the types in the made-up logs: A stands for a drawn count, T for a text, C for a code.
@@ -49,7 +50,8 @@ def termination_rules(spark, sf):
     body = ",".join(f'"{name}":"x"' for name in records.RESULT_FIELDS[1:])
     whole = F.concat(F.lit('{"action":'), F.when(d == 5, "1").when(d == 8, "null").otherwise('"start"'), F.lit(f",{body}"), F.when(d == 1, F.concat(F.lit(',"run_id2":"'), F.repeat(F.lit("x"), 1024), F.lit('"'))).when(d == 4, ',"more":"x"').when(d == 7, ',"outcome":"y"').otherwise(""), F.lit("}"), F.when(d == 6, " x").otherwise(""))
     message = F.when(d == 0, "").when(d == 2, "[]").when(d == 3, f"{{{body}}}").otherwise(whole)
-    return o.select("o_orderkey", records.termination(message).alias("fault"), records.termination_fields(message)["action"].alias("action"))
+    judged = o.select("o_orderkey", message.alias("message")).withColumn("fault", records.termination(F.col("message")))
+    return judged.select("o_orderkey", "fault", records.termination_fields(F.col("message"), F.col("fault"))["action"].alias("action"))
 
 
 def _plan_tasks(spark, sf):
@@ -102,7 +104,8 @@ def avoided_work(spark, sf):
 
 
 def context_bindings(spark, sf):
-    lines = t.read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    lines = t.read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag")
+    lines = by_keys(lines, 2 * lines.count(), "l_orderkey", "l_linenumber").distinct()
     plans = lines.filter("l_linenumber > 1").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("mode")).withColumn("digest", records.context_sha("mode", "l_linenumber"))
     attempts = lines.select("l_orderkey", "l_linenumber", F.when(_digit("l_orderkey", 1) == 0, "PIPE").otherwise(F.col("l_returnflag")).alias("mode")).withColumn("digest", records.context_sha("mode", "l_linenumber")).distinct()
     return records.context_bindings(attempts, plans, ["l_orderkey", "l_linenumber"], "digest").select("l_orderkey", "l_linenumber", "digest")

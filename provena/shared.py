@@ -46,6 +46,15 @@ def bounded(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: Rows of a task that groups or sorts them: AQE goes by compressed bytes, of which keys have few.
+IN_TASK = 2_000_000
+
+
+def by_keys(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys into as many tasks as so many rows take, IN_TASK each; groups and joins by these keys then stay in their task."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // IN_TASK + 1), *keys)
+
+
 def text_files(lines: DataFrame, keys: list[str], order: str, line: str) -> str:
     """Lines in ``order`` as one text file for each value of the keys, in folders ``key=value`` of the shared folder, whose path is returned."""
     path = f"{folder(lines.sparkSession)}/files"
