@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from provena.operators import documents as D
 from provena.plans import tables as t
-from provena.shared import written
 
 
 def _orders(spark, sf):
@@ -16,10 +17,8 @@ def _orders(spark, sf):
 
 def _filled(form: str, **values):
     """A text with the columns in the places of their names, which stand between angle brackets."""
-    out = F.lit(form)
-    for name, value in values.items():
-        out = F.replace(out, F.lit(f"<{name}>"), value)
-    return out
+    parts = re.split(f"<({'|'.join(values)})>", form)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
 
 
 DESCRIPTOR = '{"digest":"sha256:<h>","media_type":"m","path":"c.json","size":3}'
@@ -50,11 +49,7 @@ def _documents(spark, sf):
 
 
 def bundle_documents(spark, sf):
-    docs = _documents(spark, sf)
-    # many rules ask for the nodes, so texts are made and read once
-    bundles, plans = written(D.flat(docs, "run", "bundle")), written(D.flat(docs.filter("plan IS NOT NULL"), "run", "plan"))
-    found = D.shape_faults(bundles, "run", D.BUNDLES[2]).unionByName(D.seal_faults(bundles, "run"))
-    return found.unionByName(D.binding_faults(bundles, plans, "run")).unionByName(D.undeclared(bundles, plans, "run"))
+    return D.bundle_faults(_documents(spark, sf), "run", "bundle", "plan", D.BUNDLES[2])
 
 
 def lock_documents(spark, sf):

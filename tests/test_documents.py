@@ -7,7 +7,7 @@ import json
 
 import pytest
 
-from provena.functions.flat import nodes
+from provena.functions.flat import Nodes, digests, nodes
 from provena.operators import documents as D
 
 
@@ -113,3 +113,45 @@ def test_texts_are_read_once_and_rules_of_one_document_move_nothing(spark):
     assert plan.count("MapInArrow") == 2 and "hashpartitioning" not in plan
     root = next(r for r in nodes_of.collect() if r.pointer == "/execution_context")
     assert root.names == ["context_sha256", "descriptor", "tasks"] and root.seal == json.dumps(CONTEXT["context_sha256"])
+
+
+def test_bundles_beside_their_plans_have_the_faults_of_the_parts(spark, data):
+    plans = [json.dumps(PLAN)] * len(CASES) + [None, "{", '{"run_id":1,"run_id":1}', "[]", json.dumps({**PLAN, "suite": {"tasks": [7, [], {"id": 1, "outputs": [1.0, None]}]}})]
+    bundles = [b for b, _ in CASES] + [BUNDLE] * 4 + [changed(verified_outputs=[{"task_id": 1, "path": 1.0}, {"size": 1}, {"size": 1}, {}, [1], {"task_id": "t", "path": [1]}])]
+    texts = [json.dumps(b, indent=i % 3) for i, b in enumerate(bundles)] + ["{", None, '{"a":1, "a":1}', "7"]
+    docs = spark.createDataFrame(list(enumerate(zip(texts, [*plans, *[json.dumps(PLAN)] * 4], strict=True))), "run int, d struct<b: string, p: string>").select("run", "d.*")
+    b, p = D.flat(docs, "run", "b"), D.flat(docs.filter("p IS NOT NULL"), "run", "p")
+    parts = D.shape_faults(b, "run", D.BUNDLES[3]).unionByName(D.seal_faults(b, "run")).unionByName(D.binding_faults(b, p, "run")).unionByName(D.undeclared(b, p, "run"))
+    found = sorted(map(str, D.bundle_faults(docs, "run", "b", "p", D.BUNDLES[3]).collect()))
+    assert found == sorted(map(str, parts.collect()))
+    n = len(CASES)
+    assert {(r.run, r.pointer) for r in parts.filter("rule = 'unbound'").collect()} == {(n + i, "") for i in range(3)}
+    assert {r.pointer for r in parts.filter(f"run = {n + 4} AND rule = 'undeclared'").collect()} == {f"/verified_outputs/{i}" for i in (1, 2, 4, 5)}
+    assert {r.run for r in parts.filter("rule = 'json'").collect()} == {n + 5, n + 6, n + 7}
+
+
+def test_of_bundles_only_faults_and_outputs_without_a_declaration_are_written(spark, data):
+    from provena.plans import documents as plans
+
+    found = plans.bundle_documents(spark, data)
+    written = spark.read.parquet(*found.inputFiles())
+    assert found.count() <= written.count() < 2 * spark.read.parquet(f"{data}/orders.parquet").count()
+    assert "/suite_file/path" in {r.pointer for r in found.select("pointer").distinct().collect()}
+
+
+def test_documents_of_one_form_have_their_own_nodes():
+    held = Nodes(frozenset(["/m"]), "s", frozenset(["", "/m"]))
+    texts = ['{"m":{"%s":1,"b:":"%d"},"s":"x"}', '{"m":{"%s":"1","b:":[]},"s":"x"}', '{"m":{"%s":1,"%s":1},"s":"x"}', '{"m":{"%s":1,"b:":"y:"},"s":[1, {"s":null}]}', '{"m":1e999}', '{"s":"x","m":{"b:":"%d","%s":1}}', '{"\\u006d":1,"m":1}', '[{"%s":"\\u003a","b":":"}]']
+    good = [x for i, x in enumerate(texts) if i not in (2, 4, 6)]
+    for text in texts:
+        assert (held.add(text) is not None) == (text in good) == (digests(text, ("/m", "", "/m/%s", "/0/b"), frozenset()) is not None)
+        if text in good:
+            value = json.loads(text)
+            assert held.told_of == {"": canonical(value)} | ({"/m": canonical(value["m"])} if isinstance(value, dict) else {})
+            want = [canonical(value["m"]), canonical(value), canonical(value["m"]["%s"]), None] if isinstance(value, dict) else [None, canonical(value), None, canonical(":")]
+            assert digests(text, ("/m", "", "/m/%s", "/0/b"), frozenset())[0] == want
+    columns = held.arrow(("pointer", "body_sha256", "seal", "names"))
+    got = list(zip(*(columns[x].to_pylist() for x in ("pointer", "kind", "value", "body_sha256", "seal", "names")), strict=True))
+    want = [n for text in good for n in nodes(text, frozenset(["/m"]), "s")]
+    assert [(x[0], x[1], x[2], x[3]) for x in got] == [(n[0], n[5], n[6], n[9]) for n in want]
+    assert [x[5] for x in got if x[0] == "/m"] == [["%s", "b:"]] * 4 and [x[4] for x in got if x[0] == "" and x[1] == "object"] == ['"x"', '"x"', None, '"x"']
